@@ -1,0 +1 @@
+"""Nothing here: all jobs are batch jobs, and no stream operator is part of the scope."""
