@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def with_values(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Rows with a value in each of the columns, as plain IS NOT NULL filters that reach the scan."""
+    for column in columns:
+        df = df.where(F.col(column).isNotNull())
+    return df
+
+
 def null_if_nan(column: Column) -> Column:
     return F.when(F.isnan(column), None).otherwise(column)
 

@@ -44,7 +44,7 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     columns = list(columns)
     means = df.agg(F.array(*[F.coalesce(F.avg(c), F.lit(0.0)) for c in columns])).scalar()
-    centred = [(F.col(c).cast("double") - means[i]).alias(f"c{i}") for i, c in enumerate(columns)]
+    centred = [(F.col(c).cast("double") - F.col("_means")[i]).alias(f"c{i}") for i, c in enumerate(columns)]
 
     def products(batches):
         total = np.zeros((5, len(columns), len(columns)))
@@ -62,7 +62,9 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     sums = ("n", "sx", "sy", "sxy", "sxx", "syy")
     schema = "i INT, j INT, " + ", ".join(f"{c} DOUBLE" for c in sums)
-    per_pair = df.select(*centred).mapInArrow(products, schema).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums])
+    rows = df.select(*columns).withColumn("_means", means).select(*centred)
+    totals = [F.sum(c).alias(c) for c in sums]
+    per_pair = rows.mapInArrow(products, schema).groupBy("i", "j").agg(*totals)
     n, sx, sy, sxy, sxx, syy = (F.col(c) for c in sums)
     spread_x, spread_y = sxx - F.try_divide(sx * sx, n), syy - F.try_divide(sy * sy, n)
     r = F.try_divide(sxy - F.try_divide(sx * sy, n), F.sqrt(spread_x) * F.sqrt(spread_y))

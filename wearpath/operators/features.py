@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wearpath.functions.names import renumbered
+from wearpath.functions.scalar import with_values
 from wearpath.operators.sizing import broadcast_if_small
 from wearpath.spec import TURBOFAN, TelemetrySpec
 
@@ -32,7 +33,7 @@ def frame_features(spec: TelemetrySpec = TURBOFAN, mean_prefix="mean_s", dev_pre
 
 def reject_incomplete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows that have a value in each of the columns."""
-    return df.dropna(subset=list(columns))
+    return with_values(df, columns)
 
 
 def count_incomplete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -98,13 +99,14 @@ def minmax_columns(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
         spread = high - low
         return F.when(F.col(c).isNull(), None).when(spread == 0, 0.5).otherwise((F.col(c) - low) / spread).alias(c)
 
-    if not by:
-        row = ranges.select(F.struct(*ranges.columns).alias("r")).scalar()
-        bounds = {c: (row[f"{c}_min"], row[f"{c}_max"]) for c in columns}
-        return df.select(*[scaled(c, *bounds[c]) if c in bounds else F.col(c) for c in df.columns])
-    joined = df.join(broadcast_if_small(ranges), list(by))
-    bounds = {c: (F.col(f"{c}_min"), F.col(f"{c}_max")) for c in columns}
-    return joined.select(*[scaled(c, *bounds[c]) if c in bounds else F.col(c) for c in df.columns])
+    # One struct column for all bounds: a subquery named once is planned once.
+    row = F.struct(*[c for c in ranges.columns if c not in by]).alias("_range")
+    if by:
+        ranged = df.join(broadcast_if_small(ranges.select(*by, row)), list(by))
+    else:
+        ranged = df.withColumn("_range", ranges.select(row).scalar())
+    bounds = {c: (F.col(f"_range.{c}_min"), F.col(f"_range.{c}_max")) for c in columns}
+    return ranged.select(*[scaled(c, *bounds[c]) if c in bounds else F.col(c) for c in df.columns])
 
 
 def label_counts(df: DataFrame, label: str) -> DataFrame:
@@ -114,7 +116,7 @@ def label_counts(df: DataFrame, label: str) -> DataFrame:
 def label_index(df: DataFrame, label: str) -> DataFrame:
     """Index of each label by falling frequency, ties in label order; one row per label."""
     order = Window.orderBy(F.desc("n"), F.col(label).cast("string"))
-    return label_counts(df.dropna(subset=[label]), label).withColumn(
+    return label_counts(with_values(df, [label]), label).withColumn(
         "label_index", (F.row_number().over(order) - 1).cast("double")
     )
 
@@ -125,7 +127,7 @@ def label_indexer(label: str, output: str = "indexedLabel", order: str = "freque
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """One row per class with weight = rows / (classes * rows of the class)."""
-    counts = label_counts(df.dropna(subset=[label]), label)
+    counts = label_counts(with_values(df, [label]), label)
     all_classes = Window.partitionBy()
     total, classes = F.sum("n").over(all_classes), F.count(F.lit(1)).over(all_classes)
     return counts.withColumn("weight", total / (classes * F.col("n")))

@@ -76,11 +76,13 @@ def train(
     label: str = "label2",
     features: str = "scaledFeatures",
     label_order: str = "frequencyDesc",
+    keep: bool = True,
     **options,
 ) -> PipelineModel:
     """Fit a classifier of ``KINDS``; ``options`` override its parameters.
 
-    Only label, features and weight are kept for the iterations, in memory as far as it goes.
+    Only label, features and weight are kept for the iterations, in memory as far as it goes, then
+    on disk. ``keep=False`` reads the table again instead, for one larger than the cluster's disks.
     """
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {sorted(KINDS)}, not {kind!r}")
@@ -90,14 +92,16 @@ def train(
     if is_weighted:
         rows = with_class_weights(rows, label, "_weight")
         parameters.setdefault("weightCol", "_weight")
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    if keep:
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         indexer = label_indexer(label, order=label_order).fit(rows)
         back = IndexToString(inputCol="_class", outputCol="_label", labels=indexer.labels)
         indexed = indexer.transform(rows)
         return PipelineModel(stages=[indexer, build(features, **parameters).fit(indexed), back])
     finally:
-        rows.unpersist()
+        if keep:
+            rows.unpersist()
 
 
 def classifier(model: PipelineModel):

@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from wearpath.functions.names import renumbered
+from wearpath.functions.scalar import with_values
 from wearpath.operators.sequence import (
     ROWS_PER_TASK,
     LongUnits,
+    UnitStep,
     find_long_units,
     number_in_slices,
+    run_per_unit,
     window_in_slices,
-    window_per_unit,
+    window_step,
 )
 from wearpath.spec import TURBOFAN, TelemetrySpec
 
@@ -60,6 +63,23 @@ def _reach(start: int, stop: int, mode: str) -> tuple[int, int]:
     return depth * max(-start, 0), depth * max(stop, 0)
 
 
+def rolling_step(
+    spec: TelemetrySpec = TURBOFAN,
+    start: int = 1 - FRAME,
+    stop: int = 0,
+    mode: str = "literal",
+    divisor: int = FRAME,
+    mean_prefix: str = "a",
+    dev_prefix: str = "sd",
+) -> UnitStep:
+    """``rolling_by_unit`` as a step of a longer computation per unit."""
+    sensors = list(spec.sensors)
+    compute = _statistics(
+        sensors, renumbered(sensors, mean_prefix), renumbered(sensors, dev_prefix), start, stop, mode, divisor
+    )
+    return window_step(spec.unit, spec.time, *_reach(start, stop, mode), compute)
+
+
 def rolling_by_unit(
     df: DataFrame,
     spec: TelemetrySpec = TURBOFAN,
@@ -79,12 +99,8 @@ def rolling_by_unit(
         ``population``: population deviation of the frame;
         ``full``: mean and population deviation, NULL until the frame is complete.
     """
-    sensors = list(spec.sensors)
-    compute = _statistics(
-        sensors, renumbered(sensors, mean_prefix), renumbered(sensors, dev_prefix), start, stop, mode, divisor
-    )
-    behind, ahead = _reach(start, stop, mode)
-    return window_per_unit(df, spec.unit, spec.time, behind, ahead, compute, long_units, rows_per_task)
+    step = rolling_step(spec, start, stop, mode, divisor, mean_prefix, dev_prefix)
+    return run_per_unit(df, spec.unit, spec.time, [step], long_units, rows_per_task)
 
 
 def rolling_by_mode(
@@ -108,7 +124,7 @@ def rolling_by_mode(
     window. The last unit column must be an integer. Rows without a unit or cycle are dropped, as
     attaching the mode by join on these keys does.
     """
-    df = df.dropna(subset=spec.key)
+    df = with_values(df, spec.key)
     sensors = list(spec.sensors)
     compute = _statistics(
         sensors, renumbered(sensors, mean_prefix), renumbered(sensors, dev_prefix), start, stop, mode, divisor

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearpath.operators.sequence import ROWS_PER_TASK, LongUnits, find_long_units
+from wearpath.functions.scalar import with_values
+from wearpath.operators.sequence import (
+    ROWS_PER_TASK,
+    LongUnits,
+    UnitStep,
+    last_time_step,
+    lookup_step,
+    row_step,
+    run_per_unit,
+)
 from wearpath.spec import TURBOFAN, TelemetrySpec
 
 #: Label thresholds in cycles, bounds included.
@@ -20,27 +29,30 @@ def with_last_cycle(
     long_units: LongUnits | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Add the last cycle of each unit; rows without a unit key are dropped, as a join would.
-
-    Ordinary units use a window over the unit, whose shuffle later windows share. Long units use
-    an aggregate, combined on the map side, that is joined back.
-    """
-    keys = list(spec.unit)
-    df = df.dropna(subset=keys)
-    units = long_units or find_long_units(df, keys, spec.time, rows_per_task)
-    ordinary, long_rows = units.split(df)
-    result = ordinary.withColumn(name, F.max(spec.time).over(Window.partitionBy(*keys)))
-    if long_rows is None:
-        return result
-    long_rows = long_rows.drop("_n", "_lo", "_hi")
-    last = long_rows.groupBy(*keys).agg(F.max(spec.time).alias(name))
-    return result.unionByName(long_rows.join(units.hint(last), keys).select(*result.columns))
+    """Add the last cycle of each unit; rows without a unit key are dropped, as a join would."""
+    steps = [last_time_step(spec.unit, spec.time, name)]
+    return run_per_unit(with_values(df, spec.unit), spec.unit, spec.time, steps, long_units, rows_per_task)
 
 
 def last_cycle_per_unit(df: DataFrame, spec: TelemetrySpec = TURBOFAN, name: str = "maxcycle") -> DataFrame:
     return df.groupBy(*spec.unit).agg(F.max(spec.time).alias(name))
 
 
+def rul_steps(
+    spec: TelemetrySpec = TURBOFAN, truth: DataFrame | None = None, truth_column: str = "RUL_at_maxcycle"
+) -> list[UnitStep]:
+    """Steps that add ``rul``: last cycle - cycle, plus the life left after it where truth is given."""
+    last = last_time_step(spec.unit, spec.time, "_last")
+    if truth is None:
+        return [last, row_step(lambda df: df.withColumn("rul", F.col("_last") - F.col(spec.time)).drop("_last"))]
+    rul = F.col(truth_column) + F.col("_last") - F.col(spec.time)
+    return [
+        last,
+        lookup_step(truth.select(*spec.unit, truth_column), spec.unit),
+        row_step(lambda df: df.withColumn("rul", rul).drop("_last", truth_column)),
+    ]
+
+
 def rul_from_run_to_failure(
     df: DataFrame,
     spec: TelemetrySpec = TURBOFAN,
@@ -48,11 +60,8 @@ def rul_from_run_to_failure(
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """``rul`` = last cycle of the unit - cycle, so the last row has 0."""
-    return (
-        with_last_cycle(df, spec, "_last", long_units, rows_per_task)
-        .withColumn("rul", F.col("_last") - F.col(spec.time))
-        .drop("_last")
-    )
+    df = with_values(df, spec.unit)
+    return run_per_unit(df, spec.unit, spec.time, rul_steps(spec), long_units, rows_per_task)
 
 
 def rul_from_truth(
@@ -65,17 +74,11 @@ def rul_from_truth(
 ) -> DataFrame:
     """``rul`` of truncated series: life left after the last cycle + cycles until then.
 
-    Units without truth are dropped. The join carries no hint: a truth file under the session's
-    broadcast threshold is broadcast by its known size, a larger one is merged by unit key, and
-    the adaptive skew join splits a unit that dominates.
+    Units without truth are dropped.
     """
-    keys = list(spec.unit)
-    return (
-        with_last_cycle(df, spec, "_last", long_units, rows_per_task)
-        .join(truth.select(*keys, truth_column), keys)
-        .withColumn("rul", F.col(truth_column) + F.col("_last") - F.col(spec.time))
-        .drop("_last", truth_column)
-    )
+    df = with_values(df, spec.unit)
+    steps = rul_steps(spec, truth, truth_column)
+    return run_per_unit(df, spec.unit, spec.time, steps, long_units, rows_per_task)
 
 
 def add_labels(
@@ -119,6 +122,6 @@ def truncate_units(
 
 def truth_of_truncation(df: DataFrame, share: float, spec: TelemetrySpec = TURBOFAN) -> DataFrame:
     """The truth table that goes with ``truncate_units``."""
-    last = last_cycle_per_unit(df.dropna(subset=list(spec.unit)), spec, "_last")
+    last = last_cycle_per_unit(with_values(df, spec.unit), spec, "_last")
     left = F.col("_last") - F.floor(F.lit(share) * F.col("_last"))
     return last.select(*spec.unit, left.cast("int").alias("RUL_at_maxcycle"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from wearpath.functions.scalar import seconds_axis
-from wearpath.operators.sizing import SMALL_ROWS, kept_if_small
+from wearpath.operators.sizing import SMALL_ROWS, broadcast_if_small, kept_if_small
 
 #: Rows of one unit that a single task may sort and window.
 ROWS_PER_TASK = 1_000_000
@@ -154,42 +154,123 @@ def window_in_slices(
     return compute(copies, window).where(F.col("_slice") == slice_of(place)).drop("_slice")
 
 
-def number_rows(
+@dataclass(frozen=True)
+class UnitStep:
+    """One computation per unit, in the form for ordinary units and the form for long ones.
+
+    The long form finds ``_n``, ``_lo`` and ``_hi`` in its rows and keeps them.
+    """
+
+    ordinary: Callable[[DataFrame], DataFrame]
+    long: Callable[[DataFrame, LongUnits], DataFrame]
+
+
+def row_step(function: Callable[[DataFrame], DataFrame]) -> UnitStep:
+    """A step that looks at single rows, so it is the same for all units."""
+    return UnitStep(function, lambda df, units: function(df))
+
+
+def run_per_unit(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[str],
-    name: str,
+    time: str,
+    steps: Sequence[UnitStep],
     long_units: LongUnits | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Number the rows of each unit 1..n. The first ``order`` column is the time axis."""
-    units = long_units or find_long_units(df, keys, order[0], rows_per_task)
+    """Run steps one after the other. The table is split once, and only if there are long units."""
+    units = long_units or find_long_units(df, keys, time, rows_per_task)
     ordinary, long_rows = units.split(df)
-    numbered = ordinary.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    for step in steps:
+        ordinary = step.ordinary(ordinary)
     if long_rows is None:
-        return numbered
-    cut = long_rows.withColumn("_part", time_slice(long_rows, order[0], units.rows_per_task))
-    placed = number_in_slices(cut, keys, ["_part"], order, name).withColumn(name, F.col(name).cast("int"))
-    return numbered.unionByName(placed.select(*numbered.columns))
+        return ordinary
+    for step in steps:
+        long_rows = step.long(long_rows, units)
+    return ordinary.unionByName(long_rows.select(*ordinary.columns))
 
 
-def window_per_unit(
-    df: DataFrame,
+def number_step(keys: Sequence[str], order: Sequence[str], name: str) -> UnitStep:
+    """Number the rows of each unit 1..n. The first ``order`` column is the time axis."""
+
+    def ordinary(df):
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+    def long(df, units):
+        cut = df.withColumn("_part", time_slice(df, order[0], units.rows_per_task))
+        placed = number_in_slices(cut, keys, ["_part"], order, name).drop("_part")
+        return placed.withColumn(name, F.col(name).cast("int"))
+
+    return UnitStep(ordinary, long)
+
+
+def window_step(
     keys: Sequence[str],
     time: str,
     behind: int,
     ahead: int,
     compute: Callable[[DataFrame, WindowSpec], DataFrame],
+) -> UnitStep:
+    """Row-frame windows in time order, reaching ``behind`` rows back and ``ahead`` forward."""
+
+    def ordinary(df):
+        return compute(df, Window.partitionBy(*keys).orderBy(time))
+
+    def long(df, units):
+        cut = df.withColumn("_part", time_slice(df, time, units.rows_per_task))
+        placed = number_in_slices(cut, keys, ["_part"], [time], "_place").drop("_part")
+        done = window_in_slices(placed, keys, "_place", behind, ahead, units.rows_per_task, compute)
+        return done.drop("_place")
+
+    return UnitStep(ordinary, long)
+
+
+def last_time_step(keys: Sequence[str], time: str, name: str) -> UnitStep:
+    """Add the last time of each unit.
+
+    Ordinary units use a window, whose shuffle later windows share; long units an aggregate, which
+    is combined on the map side and has one row per long unit when joined back.
+    """
+
+    def ordinary(df):
+        # Ordered although the maximum needs no order: rolling windows then find their rows sorted.
+        whole = Window.partitionBy(*keys).orderBy(time)
+        whole = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return df.withColumn(name, F.max(time).over(whole))
+
+    def long(df, units):
+        last = df.groupBy(*keys).agg(F.max(time).alias(name))
+        return df.join(units.hint(last), list(keys))
+
+    return UnitStep(ordinary, long)
+
+
+def lookup_step(table: DataFrame, keys: Sequence[str]) -> UnitStep:
+    """Inner join with a table of one row per unit.
+
+    For ordinary units the join carries no hint: a table under the session's broadcast threshold is
+    broadcast by its known size, a larger one is merged in the partitioning the windows use. Long
+    units need only their own few rows of the table, which are measured.
+    """
+    keys = list(keys)
+
+    def ordinary(df):
+        return df.join(table, keys)
+
+    def long(df, units):
+        own = table.join(units.hint(units.table.select(*keys)), keys, "left_semi")
+        return df.join(broadcast_if_small(own), keys)
+
+    return UnitStep(ordinary, long)
+
+
+def number_rows(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    name: str,
     long_units: LongUnits | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Row-frame windows per unit in time order, with long units cut into slices."""
-    units = long_units or find_long_units(df, keys, time, rows_per_task)
-    ordinary, long_rows = units.split(df)
-    result = compute(ordinary, Window.partitionBy(*keys).orderBy(time))
-    if long_rows is None:
-        return result
-    cut = long_rows.withColumn("_part", time_slice(long_rows, time, units.rows_per_task))
-    placed = number_in_slices(cut, keys, ["_part"], [time], "_place").drop("_n", "_lo", "_hi", "_part")
-    sliced = window_in_slices(placed, keys, "_place", behind, ahead, units.rows_per_task, compute)
-    return result.unionByName(sliced.select(*result.columns))
+    """Number the rows of each unit 1..n. The first ``order`` column is the time axis."""
+    return run_per_unit(df, keys, order[0], [number_step(keys, order, name)], long_units, rows_per_task)

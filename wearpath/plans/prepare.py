@@ -15,6 +15,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wearpath.functions.scalar import with_values
 from wearpath.operators.features import (
     apply_scaler,
     feature_columns,
@@ -23,9 +24,9 @@ from wearpath.operators.features import (
     scaler_columns,
 )
 from wearpath.operators.modes import add_modes, fit_modes
-from wearpath.operators.rolling import rolling_by_mode, rolling_by_unit
-from wearpath.operators.rul import add_labels, rul_from_run_to_failure, rul_from_truth
-from wearpath.operators.sequence import ROWS_PER_TASK, LongUnits, find_long_units
+from wearpath.operators.rolling import rolling_by_mode, rolling_step
+from wearpath.operators.rul import add_labels, rul_steps
+from wearpath.operators.sequence import ROWS_PER_TASK, LongUnits, row_step, run_per_unit
 from wearpath.sources.scans import read_prepared, read_telemetry, read_telemetry_sets, read_truth
 from wearpath.sources.sinks import write_csv as to_csv
 from wearpath.sources.sinks import write_parquet
@@ -47,11 +48,12 @@ def label_telemetry(
     spec: TelemetrySpec = TURBOFAN,
     truth: DataFrame | None = None,
     long_units: LongUnits | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Remaining life (from truth if given), then both labels."""
-    if truth is None:
-        return add_labels(rul_from_run_to_failure(df, spec, long_units))
-    return add_labels(rul_from_truth(df, truth, spec, long_units=long_units))
+    steps = [*rul_steps(spec, truth), row_step(add_labels)]
+    df = with_values(df, spec.unit)
+    return run_per_unit(df, spec.unit, spec.time, steps, long_units, rows_per_task)
 
 
 def enrich(
@@ -62,8 +64,9 @@ def enrich(
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Life, labels, trailing mean and deviation: one shuffle by unit serves all of them."""
-    units = long_units or find_long_units(df, spec.unit, spec.time, rows_per_task)
-    return rolling_by_unit(label_telemetry(df, spec, truth, units), spec, long_units=units)
+    steps = [*rul_steps(spec, truth), row_step(add_labels), rolling_step(spec)]
+    df = with_values(df, spec.unit)
+    return run_per_unit(df, spec.unit, spec.time, steps, long_units, rows_per_task)
 
 
 def _finish(
