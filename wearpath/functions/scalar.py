@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +13,7 @@ from pyspark.sql import types as T
 
 def with_values(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Rows with a value in each of the columns, as plain IS NOT NULL filters that reach the scan."""
-    for column in columns:
-        df = df.where(F.col(column).isNotNull())
-    return df
+    return df.where(reduce(and_, [F.col(c).isNotNull() for c in columns]))
 
 
 def null_if_nan(column: Column) -> Column:

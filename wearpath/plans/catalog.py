@@ -898,6 +898,27 @@ def m1_modes(spark, sf_dir):
     return modes.mode_centres(modes.fit_modes(df), df)
 
 
+@_query(
+    "m1_modes_nearest",
+    _sql("SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS not_nearest, CAST(6 AS BIGINT) AS modes FROM tel"),
+)
+def m1_modes_nearest(spark, sf_dir):
+    """Every row must lie in the mode whose centre is nearest."""
+    df = fx.telemetry(spark, sf_dir, TelemetrySpec(sensors=()))[0]
+    model = modes.fit_modes(df)
+    centres = model.stages[-1].clusterCenters()
+    gaps = [
+        sum((F.col(c) - F.lit(float(x))) * (F.col(c) - F.lit(float(x))) for c, x in zip(SETTING_NAMES, centre))
+        for centre in centres
+    ]
+    own = F.array(*gaps)[F.col("operationmode")]
+    return modes.add_modes(df, model).agg(
+        F.count("*").alias("n"),
+        F.count_if(own > F.least(*gaps) + 1e-9).alias("not_nearest"),
+        F.countDistinct("operationmode").alias("modes"),
+    )
+
+
 @_query("m3_minmax", _sql(_minmax_sql(SPEC.measures), SPEC))
 def m3_minmax(spark, sf_dir):
     return _rounded_doubles(features.minmax_columns(fx.telemetry(spark, sf_dir)[0], SPEC.measures))
@@ -964,6 +985,34 @@ for _name, _kind, _label in (
     _query(_name)(_model_query(_kind, _label))
 
 
+@_query(
+    "m6_logistic_optimum",
+    _sql(
+        "SELECT CAST(label2 AS DOUBLE) AS label, CAST(count(*) AS BIGINT) AS n, TRUE AS at_optimum FROM lab GROUP BY label2",
+        NARROW,
+        **_LABELLED,
+    ),
+)
+def m6_logistic_optimum(spark, sf_dir):
+    """At the maximum likelihood the mean of (probability - hit) * feature is zero per class.
+
+    A constant feature has no part in the fit: its coefficient is fixed at zero.
+    """
+    df = _scaled(fx.labelled(spark, sf_dir, NARROW)[0], NARROW)
+    model = models.train(df, "lr", "label2")
+    fitted = models.classifier(model).coefficientMatrix.toArray()
+    x, p = vector_to_array("scaledFeatures"), vector_to_array("probability")
+    scored = models.score(df, model, "label2").select("label", x.alias("x"), p.alias("p"))
+    gaps = [
+        F.abs(F.avg((F.col("p")[k] - F.when(F.col("label") == float(label), 1.0).otherwise(0.0)) * F.col("x")[j]))
+        for k, label in enumerate(model.stages[0].labels)
+        for j in range(fitted.shape[1])
+        if fitted[:, j].any()
+    ]
+    steepest = scored.select(F.greatest(*gaps)).scalar()
+    return scored.groupBy("label").agg(F.count("*").alias("n")).withColumn("at_optimum", steepest < 1e-3)
+
+
 def _prepared_path(spark: SparkSession, sf_dir: str) -> str:
     path = work_path(spark, "prepared")
     sinks.write_parquet(_scaled(fx.labelled(spark, sf_dir, NARROW)[0], NARROW), path)
@@ -987,6 +1036,17 @@ def m13_score(spark, sf_dir):
     return models.score(df, models.train(df, "rf", "label2"), "label2").select("id", "cycle", "label", "prediction")
 
 
+@_query(
+    "m13_score_complete",
+    _sql("SELECT id, cycle, CAST(label1 AS DOUBLE) AS label, TRUE AS is_class FROM lab", NARROW, **_LABELLED),
+)
+def m13_score_complete(spark, sf_dir):
+    """Each row is scored once, with one of the classes."""
+    df = _scaled(fx.labelled(spark, sf_dir, NARROW)[0], NARROW)
+    scored = models.score(df, models.train(df, "rf", "label1"), "label1")
+    return scored.select("id", "cycle", "label", F.col("prediction").isin(0.0, 1.0).alias("is_class"))
+
+
 @_query("m14_evaluate_saved")
 def m14_evaluate_saved(spark, sf_dir):
     data, model = _prepared_path(spark, sf_dir), work_path(spark, "model")
@@ -1009,10 +1069,15 @@ def m15_grid(spark, sf_dir):
     return models.train_grid({name: _scaled(table, NARROW) for name, table in by_set.items()}, ["lr", "rf"])
 
 
-@_query("m16_implicit_factors")
+@_query(
+    "m16_implicit_factors",
+    "SELECT DISTINCT CAST(l_partkey AS INT) AS id, CAST(40 AS INT) AS rank, TRUE AS finite"
+    " FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+)
 def m16_implicit_factors(spark, sf_dir):
-    model = factors.fit_implicit(fx.ratings(spark, sf_dir))
-    return factors.item_factors(model).select("id", F.size("features").alias("rank"), F.array_max("features").alias("largest"))
+    vectors = factors.item_factors(factors.fit_implicit(fx.ratings(spark, sf_dir)))
+    finite = F.forall("features", lambda v: F.abs(v) < float("inf"))
+    return vectors.select("id", F.size("features").alias("rank"), finite.alias("finite"))
 
 
 @_query("m17_libsvm_metrics")
@@ -1074,19 +1139,66 @@ def job_prepare_sets(spark, sf_dir):
     return _without_mode(scans.read_prepared(spark, output).drop("scaledFeatures"))
 
 
-@_query("job_prepare_forward")
+@_query(
+    "job_prepare_forward",
+    _sql(f"SELECT id, cycle AS cykle, rul, label1, label2, {oracle.rounded(SENSOR_NAMES)}, 68 AS features FROM lab", SPEC, **_LABELLED),
+)
 def job_prepare_forward(spark, sf_dir):
     text = _staged_text(spark, fx.telemetry(spark, sf_dir)[0], "forward")
     done = prepare.prepare_forward(spark, text, work_path(spark, "job-forward"))
-    return scans.read_prepared(spark, done.scaled).drop("scaledFeatures")
+    width = F.size(vector_to_array("scaledFeatures")).alias("features")
+    table = scans.read_prepared(spark, done.scaled)
+    return _rounded_doubles(table.select("id", "cykle", "rul", "label1", "label2", *SENSOR_NAMES, width))
 
 
-@_query("job_frame_study")
-def job_frame_study(spark, sf_dir):
+def _frame_texts(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Gzip text of train, test and truth; units are numbered from 1, as line numbers are."""
     df, units = fx.telemetry(spark, sf_dir)
     from_one = F.col("id") - df.select(F.min("id")).scalar() + 1
     cut = rul.truncate_units(df, fx.TEST_SHARE, SPEC, units)
     truth = rul.truth_of_truncation(df, fx.TEST_SHARE).orderBy("id").select("RUL_at_maxcycle")
     texts = {"train": df.withColumn("id", from_one), "test": cut.withColumn("id", from_one), "truth": truth}
-    paths = [_staged_text(spark, table, f"study-{name}", compression="gzip") for name, table in texts.items()]
-    return learn.frame_study(spark, *paths, truth_per_file=False)
+    return [_staged_text(spark, table, f"study-{name}", compression="gzip") for name, table in texts.items()]
+
+
+_FRAME_FEATURES = [c for c in features.frame_features() if c != "cycle"]
+
+
+def _frame_features_sql() -> str:
+    w = "OVER (PARTITION BY part, id ORDER BY cycle ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
+    columns = ["setting1", "setting2"]
+    for s in SENSOR_NAMES:
+        columns += [
+            f"round({s}, 6) AS {s}",
+            f"round(CASE WHEN count(*) {w} = 5 THEN avg({s}) {w} ELSE {s} END, 6) AS mean_{s}",
+            f"round(CASE WHEN count(*) {w} = 5 THEN stddev_pop({s}) {w} ELSE 0 END, 6) AS stdv_{s}",
+        ]
+    both = "SELECT 'train' AS part, * FROM lab UNION ALL BY NAME SELECT 'test' AS part, * FROM cutlab"
+    return _sql(
+        f"SELECT part, CAST(id - first + 1 AS INT) AS id, cycle, rul, label1, label2, {', '.join(columns)}"
+        " FROM rows, (SELECT min(id) AS first FROM tel)",
+        SPEC,
+        **_LABELLED,
+        truth=oracle.truth(),
+        cut=oracle.truncated(),
+        cutruled=_TEST_CTES["ruled"],
+        cutlab=oracle.with_labels("cutruled"),
+        rows=both,
+    )
+
+
+@_query("job_frame_features", _frame_features_sql())
+def job_frame_features(spark, sf_dir):
+    train, test, truth = _frame_texts(spark, sf_dir)
+    life = scans.read_truth_by_position(spark, truth, per_file=False).drop("file")
+    parts = {
+        "train": learn.frame_enrich(learn.frame_telemetry(spark, train)),
+        "test": learn.frame_enrich(learn.frame_telemetry(spark, test), truth=life),
+    }
+    both = tables.append(parts, "part")
+    return _rounded_doubles(both.select("part", "id", "cycle", "rul", "label1", "label2", *_FRAME_FEATURES))
+
+
+@_query("job_frame_study")
+def job_frame_study(spark, sf_dir):
+    return learn.frame_study(spark, *_frame_texts(spark, sf_dir), truth_per_file=False)
