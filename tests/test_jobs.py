@@ -131,7 +131,7 @@ def test_frame_study(spark, texts):
 
 def test_simple_example(spark, tmp_path):
     assert learn.simple_example(spark, str(tmp_path)) == 12
-    table = spark.read.parquet(str(tmp_path / "SimpleExample.parquet"))
+    table = spark.read.parquet(str(tmp_path / "simple_example.parquet"))
     assert sorted(map(tuple, table.collect()))[:2] == [(1, 1, 1), (1, 2, 11)]
     with pytest.raises(AnalysisException):
         learn.simple_example(spark, str(tmp_path))

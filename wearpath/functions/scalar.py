@@ -20,19 +20,21 @@ def null_if_nan(column: Column) -> Column:
     return F.when(F.isnan(column), None).otherwise(column)
 
 
-def seconds_axis(df: DataFrame, name: str) -> Column:
-    """A monotone BIGINT reading of a time column: integers as they are, times in seconds.
+def time_axis(df: DataFrame, name: str) -> Column:
+    """A monotone BIGINT reading of a time column: integers as they are, times in microseconds.
 
-    A timestamp without zone is read field by field, so that no daylight-saving shift of
-    the session zone can reorder rows.
+    A timestamp without zone is read field by field, so that no daylight-saving shift of the
+    session zone can reorder rows.
     """
     kind = df.schema[name].dataType
     column = F.col(name)
     if isinstance(kind, T.TimestampType):
-        return F.unix_seconds(column)
+        return F.unix_micros(column)
     if isinstance(kind, T.TimestampNTZType):
         days = F.unix_date(column.cast("date")).cast("long")
-        return days * 86400 + F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
+        minutes = days * 1440 + F.hour(column) * 60 + F.minute(column)
+        seconds = F.date_part(F.lit("SECOND"), column)  # decimal, with six digits after the point
+        return minutes * 60_000_000 + (seconds * 1_000_000).cast("long")
     if isinstance(kind, T.DateType):
         return F.unix_date(column).cast("long")
     return column.cast("long")

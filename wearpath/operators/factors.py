@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wearpath.functions.scalar import joined_decimals
+from wearpath.session import keep_checkpoints
 
 
 def fit_implicit(
@@ -17,7 +18,8 @@ def fit_implicit(
     alpha: float = 150.0,
     seed: int = 11,
 ) -> ALSModel:
-    """Implicit-feedback ALS on (user, item, rating). Set a checkpoint folder to cut its lineage."""
+    """Implicit-feedback ALS on (user, item, rating). Its lineage is cut every ten iterations."""
+    keep_checkpoints(ratings.sparkSession)
     als = ALS(
         rank=rank,
         maxIter=iterations,

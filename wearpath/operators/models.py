@@ -26,6 +26,7 @@ from pyspark.storagelevel import StorageLevel
 
 from wearpath.operators.features import label_indexer, with_class_weights
 from wearpath.operators.metrics import evaluate
+from wearpath.session import keep_checkpoints
 
 _COLUMNS = {"labelCol": "indexedLabel", "predictionCol": "_class"}
 
@@ -88,6 +89,7 @@ def train(
         raise ValueError(f"kind must be one of {sorted(KINDS)}, not {kind!r}")
     build, fixed, is_weighted = KINDS[kind]
     parameters = {**fixed, **options}
+    keep_checkpoints(df.sparkSession)
     rows = df.select(label, features)
     if is_weighted:
         rows = with_class_weights(rows, label, "_weight")

@@ -17,11 +17,15 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from wearpath.functions.scalar import seconds_axis
+from wearpath.functions.scalar import time_axis
 from wearpath.operators.sizing import SMALL_ROWS, broadcast_if_small, kept_if_small
 
 #: Rows of one unit that a single task may sort and window.
-ROWS_PER_TASK = 1_000_000
+ROWS_PER_TASK = 500_000
+
+#: Parts of the time axis per ``ROWS_PER_TASK`` rows of a long unit. Rows may lie unevenly in time;
+#: with small parts even a busy stretch stays a small group, and a part costs one counted row.
+PARTS_PER_TASK = 16
 
 
 @dataclass(frozen=True)
@@ -72,7 +76,7 @@ def find_long_units(
     It is combined on the map side, so a hot unit is no burden, and at most one unit in
     ``rows_per_task`` rows can be reported.
     """
-    axis = seconds_axis(df, time)
+    axis = time_axis(df, time)
     profile = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"), F.min(axis).alias("_lo"), F.max(axis).alias("_hi"))
@@ -82,13 +86,13 @@ def find_long_units(
     return LongUnits(tuple(keys), None if count == 0 else table, count is not None, rows_per_task)
 
 
-def time_slice(df: DataFrame, time: str, rows_per_task: int) -> Column:
-    """Slice number of a long unit's row: equal parts of the unit's own time extent.
+def time_part(df: DataFrame, time: str, rows_per_task: int) -> Column:
+    """Part of the unit's own time extent, cut into equal parts, that a long unit's row lies in.
 
-    A row without a time sorts first, so it goes to a slice before all others.
+    A row without a time sorts first, so it goes to a part before all others.
     """
-    parts = F.ceil(F.col("_n") / F.lit(rows_per_task))
-    offset = (seconds_axis(df, time) - F.col("_lo")).cast("double")
+    parts = F.ceil(F.col("_n") / F.lit(rows_per_task)) * PARTS_PER_TASK
+    offset = (time_axis(df, time) - F.col("_lo")).cast("double")
     part = F.floor(offset * parts / (F.col("_hi") - F.col("_lo") + 1)).cast("long")
     return F.when(F.col(time).isNull(), F.lit(-(2**62)).cast("long")).otherwise(part)
 
@@ -197,7 +201,7 @@ def number_step(keys: Sequence[str], order: Sequence[str], name: str) -> UnitSte
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
     def long(df, units):
-        cut = df.withColumn("_part", time_slice(df, order[0], units.rows_per_task))
+        cut = df.withColumn("_part", time_part(df, order[0], units.rows_per_task))
         placed = number_in_slices(cut, keys, ["_part"], order, name).drop("_part")
         return placed.withColumn(name, F.col(name).cast("int"))
 
@@ -217,7 +221,7 @@ def window_step(
         return compute(df, Window.partitionBy(*keys).orderBy(time))
 
     def long(df, units):
-        cut = df.withColumn("_part", time_slice(df, time, units.rows_per_task))
+        cut = df.withColumn("_part", time_part(df, time, units.rows_per_task))
         placed = number_in_slices(cut, keys, ["_part"], [time], "_place").drop("_part")
         done = window_in_slices(placed, keys, "_place", behind, ahead, units.rows_per_task, compute)
         return done.drop("_place")

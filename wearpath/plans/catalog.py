@@ -128,17 +128,24 @@ def s9_flat_csv(spark, sf_dir):
     return _rounded_doubles(spark.read.schema(schema).csv(path, header=True))
 
 
-@_query(
-    "s11_single_csv",
-    _sql("SELECT id, CAST(count(*) AS BIGINT) AS cycles, round(avg(s1), 6) AS mean_s1, CAST(1 AS BIGINT) AS files FROM tel GROUP BY id"),
+_DESCRIBED = ["cycle", *SETTING_NAMES, *SENSOR_NAMES]
+_DESCRIPTION_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST(count({c}) AS BIGINT) AS count, round(avg({c}), 6) AS mean,"
+    f" round(stddev({c}), 6) AS stddev, round(CAST(min({c}) AS DOUBLE), 6) AS min,"
+    f" round(CAST(max({c}) AS DOUBLE), 6) AS max FROM tel"
+    for c in _DESCRIBED
 )
+
+
+@_query("s11_single_csv", _sql(f"SELECT *, CAST(1 AS BIGINT) AS files FROM ({_DESCRIPTION_SQL})", SPEC))
 def s11_single_csv(spark, sf_dir):
+    """The description of a table, a report of one row per column, as one file."""
     path = work_path(spark, "single-csv")
-    sinks.write_csv(fx.telemetry(spark, sf_dir, ONE_SENSOR)[0], path, single_file=True)
-    read = spark.read.schema("id INT, cycle INT, s1 DOUBLE").csv(path, header=True)
+    table = explore.describe(fx.telemetry(spark, sf_dir)[0], _DESCRIBED)
+    sinks.write_csv(table, path, single_file=True)
+    read = spark.read.schema(table.schema).csv(path, header=True)
     files = read.select(F.input_file_name().alias("f")).distinct().agg(F.count("f")).scalar()
-    per_unit = read.groupBy("id").agg(F.count("*").alias("cycles"), F.round(F.avg("s1"), 6).alias("mean_s1"))
-    return per_unit.withColumn("files", files)
+    return _rounded_doubles(read).withColumn("files", files)
 
 
 @_query(
@@ -440,21 +447,7 @@ def a2_count(spark, sf_dir):
     return explore.row_count(fx.telemetry(spark, sf_dir, ONE_SENSOR)[0])
 
 
-_DESCRIBED = ["cycle", *SETTING_NAMES, *SENSOR_NAMES]
-
-
-@_query(
-    "a3_describe",
-    _sql(
-        " UNION ALL ".join(
-            f"SELECT '{c}' AS \"column\", CAST(count({c}) AS BIGINT) AS count, round(avg({c}), 6) AS mean,"
-            f" round(stddev({c}), 6) AS stddev, round(CAST(min({c}) AS DOUBLE), 6) AS min,"
-            f" round(CAST(max({c}) AS DOUBLE), 6) AS max FROM tel"
-            for c in _DESCRIBED
-        ),
-        SPEC,
-    ),
-)
+@_query("a3_describe", _sql(_DESCRIPTION_SQL, SPEC))
 def a3_describe(spark, sf_dir):
     return _rounded_doubles(explore.describe(fx.telemetry(spark, sf_dir)[0], _DESCRIBED))
 

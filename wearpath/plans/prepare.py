@@ -133,13 +133,18 @@ def prepare_forward(
     input: str,
     output: str,
     spec: TelemetrySpec = TURBOFAN_CYKLE,
+    truth: str | None = None,
     seed: int | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> Prepared:
-    """The second preparation: rolling forward within each operation mode. For training data."""
+    """The second preparation: rolling forward within each operation mode.
+
+    Without ``truth`` the series must run to failure, as life is counted to their last cycle.
+    """
     df = reject_incomplete(read_telemetry(spark, input, spec), [*spec.key, *spec.measures])
     modes = fit_modes(df, spec, seed=seed)
-    labelled = label_telemetry(add_modes(df, modes), spec)
+    life = read_truth(spark, truth) if truth else None
+    labelled = label_telemetry(add_modes(df, modes), spec, life)
     rolled = rolling_by_mode(labelled, spec, rows_per_task=rows_per_task)
     return _finish(rolled, output, modes, None, write_csv=False, single_csv=False)
 

@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 from wearpath.operators.factors import factor_lines
 from wearpath.operators.features import vector_columns
 
+#: Rows of a spreadsheet, without the header.
+SPREADSHEET_ROWS = 1_048_575
+
 
 def write_parquet(df: DataFrame, path: str, fail_if_exists: bool = False, partition_by: Sequence[str] = ()) -> None:
     """Parquet, replacing what is there unless ``fail_if_exists``."""
@@ -48,12 +51,12 @@ def write_csv(
 ) -> None:
     """CSV with header.
 
-    ``single_file`` is an export for spreadsheets: one task writes the whole table, so it is
-    meant for tables a spreadsheet can hold.
+    ``single_file`` is an export for spreadsheets: one file, written by one task, if the table was
+    measured to fit a spreadsheet; a longer one is written in parts all the same.
     """
     table = flat(df, vector_names)
-    if single_file:
-        table = table.coalesce(1)
+    if single_file and df.count() <= SPREADSHEET_ROWS:
+        table = table.repartition(1)
     table.write.mode("errorifexists" if fail_if_exists else "overwrite").csv(path, header=True)
 
 
