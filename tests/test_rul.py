@@ -45,7 +45,7 @@ def test_truncated_series_with_truth_agree_with_the_full_series(spark, sf_dir):
 
 
 def test_labels_agree_with_each_other(spark, sf_dir):
-    df, _ = fx.labelled(spark, sf_dir, SPEC)
+    df = fx.labelled(spark, sf_dir, SPEC)
     assert df.where((F.col("label2") >= 1) != (F.col("label1") == 1)).count() == 0
 
 

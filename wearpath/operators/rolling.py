@@ -71,13 +71,17 @@ def rolling_step(
     divisor: int = FRAME,
     mean_prefix: str = "a",
     dev_prefix: str = "sd",
+    dense: bool = False,
 ) -> UnitStep:
-    """``rolling_by_unit`` as a step of a longer computation per unit."""
+    """``rolling_by_unit`` as a step of a longer computation per unit.
+
+    ``dense`` says that cycles are known to run 1, 2, 3, ... in each unit.
+    """
     sensors = list(spec.sensors)
     compute = _statistics(
         sensors, renumbered(sensors, mean_prefix), renumbered(sensors, dev_prefix), start, stop, mode, divisor
     )
-    return window_step(spec.unit, spec.time, *_reach(start, stop, mode), compute)
+    return window_step(spec.unit, spec.time, *_reach(start, stop, mode), compute, dense)
 
 
 def rolling_by_unit(

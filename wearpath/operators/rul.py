@@ -112,6 +112,11 @@ def _observed(share: float, last: Column) -> Column:
     return F.floor(F.lit(Decimal(str(share))) * last).cast("int")
 
 
+def truncate_steps(share: float, spec: TelemetrySpec = TURBOFAN) -> list[UnitStep]:
+    kept = F.col(spec.time) <= _observed(share, F.col("_last"))
+    return [last_time_step(spec.unit, spec.time, "_last"), row_step(lambda df: df.where(kept).drop("_last"))]
+
+
 def truncate_units(
     df: DataFrame,
     share: float,
@@ -120,11 +125,8 @@ def truncate_units(
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Keep the first ``floor(share * last cycle)`` cycles of each unit, as a test set would."""
-    return (
-        with_last_cycle(df, spec, "_last", long_units, rows_per_task)
-        .where(F.col(spec.time) <= _observed(share, F.col("_last")))
-        .drop("_last")
-    )
+    df = with_values(df, spec.unit)
+    return run_per_unit(df, spec.unit, spec.time, truncate_steps(share, spec), long_units, rows_per_task)
 
 
 def truth_of_truncation(df: DataFrame, share: float, spec: TelemetrySpec = TURBOFAN) -> DataFrame:

@@ -214,17 +214,24 @@ def window_step(
     behind: int,
     ahead: int,
     compute: Callable[[DataFrame, WindowSpec], DataFrame],
+    dense: bool = False,
 ) -> UnitStep:
-    """Row-frame windows in time order, reaching ``behind`` rows back and ``ahead`` forward."""
+    """Row-frame windows in time order, reaching ``behind`` rows back and ``ahead`` forward.
+
+    ``dense`` says that the time column is known to count the rows of each unit 1..n, so that long
+    units need no numbering of their own.
+    """
 
     def ordinary(df):
         return compute(df, Window.partitionBy(*keys).orderBy(time))
 
     def long(df, units):
-        cut = df.withColumn("_part", time_part(df, time, units.rows_per_task))
-        placed = number_in_slices(cut, keys, ["_part"], [time], "_place").drop("_part")
-        done = window_in_slices(placed, keys, "_place", behind, ahead, units.rows_per_task, compute)
-        return done.drop("_place")
+        place = time
+        if not dense:
+            place = "_place"
+            cut = df.withColumn("_part", time_part(df, time, units.rows_per_task))
+            df = number_in_slices(cut, keys, ["_part"], [time], place).drop("_part")
+        return window_in_slices(df, keys, place, behind, ahead, units.rows_per_task, compute).drop("_place")
 
     return UnitStep(ordinary, long)
 

@@ -75,7 +75,7 @@ def s1_text_scan(spark, sf_dir):
 @_query("s2_truth_scan", _sql("SELECT id, RUL_at_maxcycle FROM truth", NARROW, truth=oracle.truth()))
 def s2_truth_scan(spark, sf_dir):
     path = work_path(spark, "truth")
-    sinks.write_text_table(rul.truth_of_truncation(fx.telemetry(spark, sf_dir, NARROW)[0], fx.TEST_SHARE), path)
+    sinks.write_text_table(fx.truth(spark, sf_dir), path)
     return scans.read_truth(spark, path)
 
 
@@ -96,16 +96,14 @@ def s5_gzip_positional(spark, sf_dir):
 )
 def s6_truth_by_position(spark, sf_dir):
     path = work_path(spark, "truth-lines")
-    truth = rul.truth_of_truncation(fx.telemetry(spark, sf_dir, NARROW)[0], fx.TEST_SHARE)
-    sinks.write_text_table(truth.orderBy("id").select("RUL_at_maxcycle"), path)
+    sinks.write_text_table(fx.truth(spark, sf_dir).orderBy("id").select("RUL_at_maxcycle"), path)
     return scans.read_truth_by_position(spark, path, per_file=False).drop("file")
 
 
 @_query("s7_s12_parquet_roundtrip", _sql(_select_rounded([*_TELEMETRY_NARROW, "rul"], "ruled"), NARROW, **_RULED).replace("round(rul, 6) AS rul", "rul"))
 def s7_s12_parquet_roundtrip(spark, sf_dir):
     path = work_path(spark, "prepared")
-    df, units = fx.telemetry(spark, sf_dir, NARROW)
-    sinks.write_parquet(rul.rul_from_run_to_failure(df, NARROW, units), path)
+    sinks.write_parquet(fx.telemetry(spark, sf_dir, NARROW, rul.rul_steps(NARROW))[0], path)
     return _rounded_doubles(scans.read_prepared(spark, path))
 
 
@@ -130,13 +128,19 @@ def s9_flat_csv(spark, sf_dir):
 
 _DESCRIBED = ["cycle", *SETTING_NAMES, *SENSOR_NAMES]
 _DESCRIPTION_SQL = " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", CAST(count({c}) AS BIGINT) AS count, round(avg({c}), 4) AS mean,"
-    f" round(stddev({c}), 4) AS stddev, round(CAST(min({c}) AS DOUBLE), 4) AS min,"
-    f" round(CAST(max({c}) AS DOUBLE), 4) AS max FROM tel"
+    f"SELECT '{c}' AS \"column\", CAST(count({c}) AS BIGINT) AS count, round(avg({c}) + 1e-9, 6) AS mean,"
+    f" round(stddev({c}), 6) AS stddev, round(CAST(min({c}) AS DOUBLE), 6) AS min,"
+    f" round(CAST(max({c}) AS DOUBLE), 6) AS max FROM tel"
     for c in _DESCRIBED
 )
 
 
+def _description(df: DataFrame) -> DataFrame:
+    """Means of two-decimal values often end in a 5 after the last kept digit. The shift, far below
+    that digit, makes both engines round such a tie the same way."""
+    return _rounded_doubles(df.withColumn("mean", F.col("mean") + 1e-9))
+
+
 @_query("s11_single_csv", _sql(f"SELECT *, CAST(1 AS BIGINT) AS files FROM ({_DESCRIPTION_SQL})", SPEC))
 def s11_single_csv(spark, sf_dir):
     """The description of a table, a report of one row per column, as one file."""
@@ -145,7 +149,7 @@ def s11_single_csv(spark, sf_dir):
     sinks.write_csv(table, path, single_file=True)
     read = spark.read.schema(table.schema).csv(path, header=True)
     files = read.select(F.input_file_name().alias("f")).distinct().agg(F.count("f")).scalar()
-    return _rounded_doubles(read, 4).withColumn("files", files)
+    return _description(read).withColumn("files", files)
 
 
 @_query(
@@ -159,9 +163,8 @@ def s11_single_csv(spark, sf_dir):
 )
 def s13_glob_scan(spark, sf_dir):
     base = work_path(spark, "sets")
-    df, units = fx.telemetry(spark, sf_dir, ONE_SENSOR)
-    sinks.write_parquet(df, f"{base}/prepared_full")
-    sinks.write_parquet(rul.truncate_units(df, fx.TEST_SHARE, ONE_SENSOR, units), f"{base}/prepared_cut")
+    sinks.write_parquet(fx.telemetry(spark, sf_dir, ONE_SENSOR)[0], f"{base}/prepared_full")
+    sinks.write_parquet(fx.cut(spark, sf_dir, ONE_SENSOR), f"{base}/prepared_cut")
     return _rounded_doubles(scans.read_prepared_sets(spark, f"{base}/prepared_*"))
 
 
@@ -171,7 +174,7 @@ def s13_glob_scan(spark, sf_dir):
 )
 def s15_libsvm_scan(spark, sf_dir):
     path = work_path(spark, "libsvm")
-    df = features.assemble(fx.labelled(spark, sf_dir, NARROW)[0], NARROW.sensors)
+    df = features.assemble(fx.labelled(spark, sf_dir, NARROW), NARROW.sensors)
     sinks.write_libsvm(df, path, "label2")
     slots = vector_to_array("features")
     read = scans.read_libsvm(spark, path, len(NARROW.sensors))
@@ -203,7 +206,7 @@ def s17_factor_lines(spark, sf_dir):
     _sql("SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS changed FROM tel"),
 )
 def s18_s19_model_roundtrip(spark, sf_dir):
-    df = _scaled(fx.labelled(spark, sf_dir, NARROW)[0], NARROW)
+    df = _scaled(fx.labelled(spark, sf_dir, NARROW), NARROW)
     path = work_path(spark, "model")
     model = models.train(df, "rf", "label2")
     models.save(model, path)
@@ -251,8 +254,8 @@ def p1_projection(spark, sf_dir):
          + " FROM _means", SPEC, _means=oracle.rolling("tel", SENSOR_NAMES)[0]),
 )
 def p3_generated_columns(spark, sf_dir):
-    df, units = fx.telemetry(spark, sf_dir, TelemetrySpec(settings=()))
-    rolled = rolling.rolling_by_unit(df, TelemetrySpec(settings=()), mode="population", long_units=units)
+    spec = TelemetrySpec(settings=())
+    rolled, _ = fx.telemetry(spark, sf_dir, spec, [rolling.rolling_step(spec, mode="population", dense=True)])
     gaps = [(F.col(s) - F.col(a)).alias(g) for s, a, g in zip(SENSOR_NAMES, MEAN_NAMES, renumbered(SENSOR_NAMES, "gap"))]
     return _rounded_doubles(rolled.select("*", *gaps).drop(*MEAN_NAMES, *DEV_NAMES))
 
@@ -283,7 +286,7 @@ def p8_unit_filter(spark, sf_dir):
 
 @_query("p9_labels", _sql("SELECT id, cycle, rul, label1, label2 FROM lab", NARROW, **_LABELLED))
 def p9_labels(spark, sf_dir):
-    return fx.labelled(spark, sf_dir, ONE_SENSOR)[0].select("id", "cycle", "rul", "label1", "label2")
+    return fx.labelled(spark, sf_dir, ONE_SENSOR).select("id", "cycle", "rul", "label1", "label2")
 
 
 _BROKEN = {
@@ -325,8 +328,8 @@ def _broken_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("p11_rul_train", _sql("SELECT id, cycle, rul FROM ruled", NARROW, **_RULED))
 def p11_rul_train(spark, sf_dir):
-    df, units = fx.telemetry(spark, sf_dir, ONE_SENSOR)
-    return rul.rul_from_run_to_failure(df, ONE_SENSOR, units).select("id", "cycle", "rul")
+    df, _ = fx.telemetry(spark, sf_dir, ONE_SENSOR, rul.rul_steps(ONE_SENSOR))
+    return df.select("id", "cycle", "rul")
 
 
 _TEST_CTES = {
@@ -340,10 +343,8 @@ _TEST_CTES = {
 
 @_query("p12_rul_truth", _sql("SELECT id, cycle, rul, label1, label2 FROM lab", NARROW, **_TEST_CTES))
 def p12_rul_truth(spark, sf_dir):
-    df, units = fx.telemetry(spark, sf_dir, ONE_SENSOR)
-    cut = rul.truncate_units(df, fx.TEST_SHARE, ONE_SENSOR, units)
-    truth = rul.truth_of_truncation(df, fx.TEST_SHARE)
-    labelled = prepare.label_telemetry(cut, ONE_SENSOR, truth, units)
+    steps = prepare.label_steps(ONE_SENSOR, fx.truth(spark, sf_dir))
+    labelled = fx.cut(spark, sf_dir, ONE_SENSOR, steps)
     return labelled.select("id", "cycle", "rul", "label1", "label2")
 
 
@@ -397,10 +398,8 @@ def j2_join_own_maximum(spark, sf_dir):
          NARROW, truth=oracle.truth(), cut=oracle.truncated()),
 )
 def j3_join_maximum_truth(spark, sf_dir):
-    df, units = fx.telemetry(spark, sf_dir, ONE_SENSOR)
-    cut = rul.truncate_units(df, fx.TEST_SHARE, ONE_SENSOR, units)
-    last = rul.last_cycle_per_unit(cut, ONE_SENSOR, "last_test_cycle")
-    joined = last.join(rul.truth_of_truncation(df, fx.TEST_SHARE), "id")
+    last = rul.last_cycle_per_unit(fx.cut(spark, sf_dir, ONE_SENSOR), ONE_SENSOR, "last_test_cycle")
+    joined = last.join(fx.truth(spark, sf_dir), "id")
     return joined.withColumn("maxcycle", F.col("last_test_cycle") + F.col("RUL_at_maxcycle"))
 
 
@@ -409,9 +408,8 @@ def j3_join_maximum_truth(spark, sf_dir):
     _sql("SELECT id, cycle, s1, rul, label1, label2 FROM lab", NARROW, **_LABELLED),
 )
 def j4_natural_join(spark, sf_dir):
-    df, units = fx.telemetry(spark, sf_dir, ONE_SENSOR)
-    labelled = rul.add_labels(rul.rul_from_run_to_failure(df, ONE_SENSOR, units))
-    return tables.natural_join(df, labelled)
+    df = fx.telemetry(spark, sf_dir, ONE_SENSOR)[0]
+    return tables.natural_join(df, fx.labelled(spark, sf_dir, ONE_SENSOR))
 
 
 @_query(
@@ -424,9 +422,8 @@ def j4_natural_join(spark, sf_dir):
     ),
 )
 def u1_append(spark, sf_dir):
-    df, units = fx.telemetry(spark, sf_dir, ONE_SENSOR)
-    cut = rul.truncate_units(df, fx.TEST_SHARE, ONE_SENSOR, units)
-    return _rounded_doubles(tables.append({"train": df, "test": cut}))
+    train, test = fx.telemetry(spark, sf_dir, ONE_SENSOR)[0], fx.cut(spark, sf_dir, ONE_SENSOR)
+    return _rounded_doubles(tables.append({"train": train, "test": test}))
 
 
 @_query("u2_units", _sql("SELECT DISTINCT id FROM tel"))
@@ -449,12 +446,12 @@ def a2_count(spark, sf_dir):
 
 @_query("a3_describe", _sql(_DESCRIPTION_SQL, SPEC))
 def a3_describe(spark, sf_dir):
-    return _rounded_doubles(explore.describe(fx.telemetry(spark, sf_dir)[0], _DESCRIBED), 4)
+    return _description(explore.describe(fx.telemetry(spark, sf_dir)[0], _DESCRIBED))
 
 
 @_query("a4_distinct", _sql("SELECT DISTINCT label2 FROM lab", NARROW, **_LABELLED))
 def a4_distinct(spark, sf_dir):
-    return explore.distinct_values(fx.labelled(spark, sf_dir, ONE_SENSOR)[0], "label2")
+    return explore.distinct_values(fx.labelled(spark, sf_dir, ONE_SENSOR), "label2")
 
 
 @_query(
@@ -481,8 +478,8 @@ _CORRELATED = ["rul", *SETTING_NAMES, *SENSOR_NAMES]
     ),
 )
 def a6_correlations(spark, sf_dir):
-    df, units = fx.telemetry(spark, sf_dir)
-    return _rounded_doubles(explore.correlations(rul.rul_from_run_to_failure(df, SPEC, units), _CORRELATED))
+    df = fx.telemetry(spark, sf_dir, SPEC, rul.rul_steps(SPEC))[0]
+    return _rounded_doubles(explore.correlations(df, _CORRELATED))
 
 
 @_query(
@@ -525,8 +522,7 @@ def a8_density(spark, sf_dir):
     ),
 )
 def a8_density2d(spark, sf_dir):
-    df, units = fx.telemetry(spark, sf_dir, ONE_SENSOR)
-    ruled = rul.rul_from_run_to_failure(df, ONE_SENSOR, units)
+    ruled = fx.telemetry(spark, sf_dir, ONE_SENSOR, rul.rul_steps(ONE_SENSOR))[0]
     grid = explore.density2d(
         ruled, "rul", "s1", [5.0 * i for i in range(12)], [20.0 * i for i in range(12)], 4.0, 10.0
     )
@@ -663,7 +659,7 @@ def a15_weighted(spark, sf_dir):
     ),
 )
 def a16_class_weights(spark, sf_dir):
-    return _rounded_doubles(features.class_weights(fx.labelled(spark, sf_dir, ONE_SENSOR)[0], "label2"))
+    return _rounded_doubles(features.class_weights(fx.labelled(spark, sf_dir, ONE_SENSOR), "label2"))
 
 
 _REPORT = " UNION ALL ".join(
@@ -711,14 +707,13 @@ def _rolled_sql(spec: TelemetrySpec, base: str | None = None, extra: dict | None
 @_query("w1_w2_trailing", _rolled_sql(SPEC))
 def w1_w2_trailing(spark, sf_dir):
     spec = TelemetrySpec(settings=())
-    df, units = fx.telemetry(spark, sf_dir, spec)
-    return _rounded_doubles(rolling.rolling_by_unit(df, spec, long_units=units).select("id", "cycle", *MEAN_NAMES, *DEV_NAMES))
+    df, _ = fx.telemetry(spark, sf_dir, spec, [rolling.rolling_step(spec, dense=True)])
+    return _rounded_doubles(df.select("id", "cycle", *MEAN_NAMES, *DEV_NAMES))
 
 
 @_query("w1_w2_line_items", _rolled_sql(LINE_SPEC, oracle.LINES))
 def w1_w2_line_items(spark, sf_dir):
-    df, units = fx.line_telemetry(spark, sf_dir)
-    rolled = rolling.rolling_by_unit(df, LINE_SPEC, long_units=units)
+    rolled = fx.line_telemetry(spark, sf_dir, [rolling.rolling_step(LINE_SPEC, dense=True)])
     return _rounded_doubles(rolled.drop(*LINE_SPEC.sensors))
 
 
@@ -728,8 +723,8 @@ _FLAGSHIP = {**_LABELLED, "src": "SELECT * FROM lab"}
 @_query("flagship_enrich", _rolled_sql(SPEC, extra=_FLAGSHIP, keep=("id", "cycle", "rul", "label1", "label2")))
 def flagship_enrich(spark, sf_dir):
     spec = TelemetrySpec(settings=())
-    df, units = fx.telemetry(spark, sf_dir, spec)
-    return _rounded_doubles(prepare.enrich(df, spec, long_units=units).drop(*SENSOR_NAMES))
+    steps = [*prepare.label_steps(spec), rolling.rolling_step(spec, dense=True)]
+    return _rounded_doubles(fx.telemetry(spark, sf_dir, spec, steps)[0].drop(*SENSOR_NAMES))
 
 
 def _by_rule(df: DataFrame) -> DataFrame:
@@ -768,10 +763,8 @@ def _full_sql(fill: bool) -> str:
 
 def _full_frames(spark, sf_dir) -> DataFrame:
     spec = TelemetrySpec(settings=())
-    df, units = fx.telemetry(spark, sf_dir, spec)
-    return rolling.rolling_by_unit(
-        df, spec, mode="full", mean_prefix="mean_s", dev_prefix="stdv_s", long_units=units
-    )
+    step = rolling.rolling_step(spec, mode="full", mean_prefix="mean_s", dev_prefix="stdv_s", dense=True)
+    return fx.telemetry(spark, sf_dir, spec, [step])[0]
 
 
 @_query("w4_full_window", _full_sql(False))
@@ -795,8 +788,7 @@ def _standardised_sql(literal: bool) -> str:
 
 
 def _standardised(spark, sf_dir, mode) -> DataFrame:
-    df, units = fx.telemetry(spark, sf_dir, NARROW)
-    rolled = rolling.rolling_by_unit(df, NARROW, long_units=units)
+    rolled, _ = fx.telemetry(spark, sf_dir, NARROW, [rolling.rolling_step(NARROW, dense=True)])
     return _rounded_doubles(rolling.standardise(rolled, NARROW, mode).select("id", "cycle", "std1", "std2"), digits=2)
 
 
@@ -818,8 +810,8 @@ def w5_zscore(spark, sf_dir):
     ),
 )
 def w2_population(spark, sf_dir):
-    df, units = fx.telemetry(spark, sf_dir, ONE_SENSOR)
-    return _rounded_doubles(rolling.rolling_by_unit(df, ONE_SENSOR, mode="population", long_units=units).drop("s1"))
+    step = rolling.rolling_step(ONE_SENSOR, mode="population", dense=True)
+    return _rounded_doubles(fx.telemetry(spark, sf_dir, ONE_SENSOR, [step])[0].drop("s1"))
 
 
 # ---------------------------------------------------------------- sorts, samples, splits
@@ -948,19 +940,19 @@ _INDEX_SQL = _sql(
 
 @_query("m4_label_index", _INDEX_SQL)
 def m4_label_index(spark, sf_dir):
-    return features.label_index(fx.labelled(spark, sf_dir, ONE_SENSOR)[0], "label2")
+    return features.label_index(fx.labelled(spark, sf_dir, ONE_SENSOR), "label2")
 
 
 @_query("m4_label_indexer", _INDEX_SQL)
 def m4_label_indexer(spark, sf_dir):
-    df = fx.labelled(spark, sf_dir, ONE_SENSOR)[0].select("label2")
+    df = fx.labelled(spark, sf_dir, ONE_SENSOR).select("label2")
     indexed = features.label_indexer("label2", "label_index").fit(df).transform(df)
     return indexed.groupBy("label2", "label_index").agg(F.count("*").alias("n"))
 
 
 def _model_query(kind: str, label: str = "label2", **options) -> Query:
     def run(spark, sf_dir):
-        df = _scaled(fx.labelled(spark, sf_dir, NARROW)[0], NARROW)
+        df = _scaled(fx.labelled(spark, sf_dir, NARROW), NARROW)
         return models.evaluate_model(df, models.train(df, kind, label, **options), label)
 
     return run
@@ -991,7 +983,7 @@ def m6_logistic_optimum(spark, sf_dir):
 
     A constant feature has no part in the fit: its coefficient is fixed at zero.
     """
-    df = _scaled(fx.labelled(spark, sf_dir, NARROW)[0], NARROW)
+    df = _scaled(fx.labelled(spark, sf_dir, NARROW), NARROW)
     model = models.train(df, "lr", "label2")
     fitted = models.classifier(model).coefficientMatrix.toArray()
     x, p = vector_to_array("scaledFeatures"), vector_to_array("probability")
@@ -1008,7 +1000,7 @@ def m6_logistic_optimum(spark, sf_dir):
 
 def _prepared_path(spark: SparkSession, sf_dir: str) -> str:
     path = work_path(spark, "prepared")
-    sinks.write_parquet(_scaled(fx.labelled(spark, sf_dir, NARROW)[0], NARROW), path)
+    sinks.write_parquet(_scaled(fx.labelled(spark, sf_dir, NARROW), NARROW), path)
     return path
 
 
@@ -1019,13 +1011,13 @@ def m7_holdout(spark, sf_dir):
 
 @_query("l2_coefficients")
 def l2_coefficients(spark, sf_dir):
-    df = _scaled(fx.labelled(spark, sf_dir, NARROW)[0], NARROW)
+    df = _scaled(fx.labelled(spark, sf_dir, NARROW), NARROW)
     return models.coefficients(models.train(df, "lr_weighted", "label2"), spark, ["cycle", *NARROW.measures])
 
 
 @_query("m13_score")
 def m13_score(spark, sf_dir):
-    df = _scaled(fx.labelled(spark, sf_dir, NARROW)[0], NARROW)
+    df = _scaled(fx.labelled(spark, sf_dir, NARROW), NARROW)
     return models.score(df, models.train(df, "rf", "label2"), "label2").select("id", "cycle", "label", "prediction")
 
 
@@ -1035,7 +1027,7 @@ def m13_score(spark, sf_dir):
 )
 def m13_score_complete(spark, sf_dir):
     """Each row is scored once, with one of the classes."""
-    df = _scaled(fx.labelled(spark, sf_dir, NARROW)[0], NARROW)
+    df = _scaled(fx.labelled(spark, sf_dir, NARROW), NARROW)
     scored = models.score(df, models.train(df, "rf", "label1"), "label1")
     return scored.select("id", "cycle", "label", F.col("prediction").isin(0.0, 1.0).alias("is_class"))
 
@@ -1049,15 +1041,10 @@ def m14_evaluate_saved(spark, sf_dir):
 
 @_query("m15_grid")
 def m15_grid(spark, sf_dir):
-    df, units = fx.telemetry(spark, sf_dir, NARROW)
+    with_truth = prepare.label_steps(NARROW, fx.truth(spark, sf_dir))
     by_set = {
-        "train": rul.add_labels(rul.rul_from_run_to_failure(df, NARROW, units)),
-        "cut": prepare.label_telemetry(
-            rul.truncate_units(df, fx.TEST_SHARE, NARROW, units),
-            NARROW,
-            rul.truth_of_truncation(df, fx.TEST_SHARE),
-            units,
-        ),
+        "train": fx.labelled(spark, sf_dir, NARROW),
+        "cut": fx.cut(spark, sf_dir, NARROW, with_truth),
     }
     return models.train_grid({name: _scaled(table, NARROW) for name, table in by_set.items()}, ["lr", "rf"])
 
@@ -1076,7 +1063,7 @@ def m16_implicit_factors(spark, sf_dir):
 @_query("m17_libsvm_metrics")
 def m17_libsvm_metrics(spark, sf_dir):
     path = work_path(spark, "libsvm")
-    df = _scaled(fx.labelled(spark, sf_dir, NARROW)[0], NARROW)
+    df = _scaled(fx.labelled(spark, sf_dir, NARROW), NARROW)
     sinks.write_libsvm(df, path, "label2", "scaledFeatures")
     return learn.libsvm_metrics(spark, path, 1 + len(NARROW.measures))
 
@@ -1114,9 +1101,8 @@ def job_prepare_train(spark, sf_dir):
 
 @_query("job_prepare_test", _prepared_sql(_TEST_CTES))
 def job_prepare_test(spark, sf_dir):
-    df, units = fx.telemetry(spark, sf_dir)
-    text = _staged_text(spark, rul.truncate_units(df, fx.TEST_SHARE, SPEC, units), "test")
-    truth = _staged_text(spark, rul.truth_of_truncation(df, fx.TEST_SHARE), "truth")
+    text = _staged_text(spark, fx.cut(spark, sf_dir), "test")
+    truth = _staged_text(spark, fx.truth(spark, sf_dir), "truth")
     done = prepare.prepare_test(spark, text, truth, work_path(spark, "job-test"))
     return _without_mode(scans.read_prepared(spark, done.unscaled))
 
@@ -1146,11 +1132,13 @@ def job_prepare_forward(spark, sf_dir):
 
 def _frame_texts(spark: SparkSession, sf_dir: str) -> list[str]:
     """Gzip text of train, test and truth; units are numbered from 1, as line numbers are."""
-    df, units = fx.telemetry(spark, sf_dir)
+    df = fx.telemetry(spark, sf_dir)[0]
     from_one = F.col("id") - df.select(F.min("id")).scalar() + 1
-    cut = rul.truncate_units(df, fx.TEST_SHARE, SPEC, units)
-    truth = rul.truth_of_truncation(df, fx.TEST_SHARE).orderBy("id").select("RUL_at_maxcycle")
-    texts = {"train": df.withColumn("id", from_one), "test": cut.withColumn("id", from_one), "truth": truth}
+    texts = {
+        "train": df.withColumn("id", from_one),
+        "test": fx.cut(spark, sf_dir).withColumn("id", from_one),
+        "truth": fx.truth(spark, sf_dir).orderBy("id").select("RUL_at_maxcycle"),
+    }
     return [_staged_text(spark, table, f"study-{name}", compression="gzip") for name, table in texts.items()]
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearpath.functions.names import numbered
-from wearpath.operators.rul import add_labels, rul_from_run_to_failure
-from wearpath.operators.sequence import LongUnits, find_long_units, number_rows
+from wearpath.operators.rul import truncate_steps, truth_of_truncation
+from wearpath.operators.sequence import LongUnits, UnitStep, find_long_units, number_step, run_per_unit
+from wearpath.plans.prepare import label_steps
 from wearpath.spec import TelemetrySpec
 
 SPEC = TelemetrySpec()
@@ -24,18 +27,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _numbered(
+    df: DataFrame, order: list[str], columns: list[Column], steps: Sequence[UnitStep]
+) -> tuple[DataFrame, LongUnits]:
+    """Number the rows of each ``id`` as cycles, keep ``columns``, then run further steps per unit."""
+    units = find_long_units(df, ["id"], order[0])
+
+    def ordinary(rows):
+        return rows.select("id", "cycle", *columns)
+
+    def long(rows, _):
+        # From here on the time axis is the cycle, which runs from 1 to the number of rows.
+        return rows.select("id", "cycle", *columns, "_n", F.lit(1).alias("_lo"), F.col("_n").alias("_hi"))
+
+    numbering = [number_step(["id"], order, "cycle"), UnitStep(ordinary, long)]
+    return run_per_unit(df, ["id"], order[0], [*numbering, *steps], units), units.renamed(["id"])
+
+
 def telemetry(
-    spark: SparkSession, sf_dir: str, spec: TelemetrySpec = SPEC, rows_per_task: int | None = None
+    spark: SparkSession, sf_dir: str, spec: TelemetrySpec = SPEC, steps: Sequence[UnitStep] = ()
 ) -> tuple[DataFrame, LongUnits]:
     """Events as telemetry: a user is a unit, its events in time order are cycles 1..n.
 
-    Returns the table and its long units, measured on the events.
+    Returns the table, after further steps if any, and its long units.
     """
     events = table(spark, sf_dir, "events").where(F.col("user_id").isNotNull())
     events = events.withColumn("id", F.col("user_id").cast("int"))
-    options = {} if rows_per_task is None else {"rows_per_task": rows_per_task}
-    units = find_long_units(events, ["id"], "ts", **options)
-    numbered_events = number_rows(events, ["id"], ["ts", "event_id"], "cycle", units)
     k, value = F.get_json_object("props", "$.k").cast("double"), F.col("value")
     sensors = {"s1": value, "s2": value * k, "s21": F.lit(8.5)}
     for i in range(3, 21):
@@ -46,28 +63,38 @@ def telemetry(
         "setting3": F.lit(100.0),
     }
     columns = [*[settings[c].alias(c) for c in spec.settings], *[sensors[c].alias(c) for c in spec.sensors]]
-    return numbered_events.select("id", "cycle", *columns), units.renamed(["id"])
+    return _numbered(events, ["ts", "event_id"], columns, steps)
+
+
+def labelled(spark: SparkSession, sf_dir: str, spec: TelemetrySpec = SPEC) -> DataFrame:
+    """Telemetry with life and labels."""
+    return telemetry(spark, sf_dir, spec, label_steps(spec))[0]
+
+
+def cut(
+    spark: SparkSession, sf_dir: str, spec: TelemetrySpec = SPEC, steps: Sequence[UnitStep] = ()
+) -> DataFrame:
+    """Telemetry that ends before failure, as a test set does."""
+    return telemetry(spark, sf_dir, spec, [*truncate_steps(TEST_SHARE, spec), *steps])[0]
 
 
-def labelled(spark: SparkSession, sf_dir: str, spec: TelemetrySpec = SPEC) -> tuple[DataFrame, LongUnits]:
-    df, units = telemetry(spark, sf_dir, spec)
-    return add_labels(rul_from_run_to_failure(df, spec, units)), units
+def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The life left after the last cycle of ``cut``."""
+    return truth_of_truncation(telemetry(spark, sf_dir, TelemetrySpec(settings=(), sensors=()))[0], TEST_SHARE)
 
 
-def line_telemetry(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, LongUnits]:
+def line_telemetry(spark: SparkSession, sf_dir: str, steps: Sequence[UnitStep] = ()) -> DataFrame:
     """Line items as telemetry: a supplier is a unit, its lines in shipping order are cycles."""
     columns = ["l_shipdate", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"]
     lines = table(spark, sf_dir, "lineitem").where(F.col("l_suppkey").isNotNull())
     lines = lines.select(F.col("l_suppkey").cast("int").alias("id"), *columns)
-    units = find_long_units(lines, ["id"], "l_shipdate")
-    ordered = number_rows(lines, ["id"], columns, "cycle", units)
-    sensors = zip(LINE_SPEC.sensors, columns[3:])
-    return ordered.select("id", "cycle", *[F.col(c).alias(s) for s, c in sensors]), units.renamed(["id"])
+    sensors = [F.col(c).alias(s) for s, c in zip(LINE_SPEC.sensors, columns[3:])]
+    return _numbered(lines, columns, sensors, steps)[0]
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """label2 against a fixed threshold rule on the first sensor."""
-    df, _ = labelled(spark, sf_dir, TelemetrySpec(settings=(), sensors=("s1",)))
+    df = labelled(spark, sf_dir, TelemetrySpec(settings=(), sensors=("s1",)))
     rule = F.when(F.col("s1") < 33, 2).when(F.col("s1") < 66, 1).otherwise(0)
     return df.select("id", "cycle", F.col("label2").cast("double").alias("label"), rule.cast("double").alias("prediction"))
 

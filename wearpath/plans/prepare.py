@@ -26,7 +26,7 @@ from wearpath.operators.features import (
 from wearpath.operators.modes import add_modes, fit_modes
 from wearpath.operators.rolling import rolling_by_mode, rolling_step
 from wearpath.operators.rul import add_labels, rul_steps
-from wearpath.operators.sequence import ROWS_PER_TASK, LongUnits, row_step, run_per_unit
+from wearpath.operators.sequence import ROWS_PER_TASK, LongUnits, UnitStep, row_step, run_per_unit
 from wearpath.sources.scans import read_prepared, read_telemetry, read_telemetry_sets, read_truth
 from wearpath.sources.sinks import write_csv as to_csv
 from wearpath.sources.sinks import write_parquet
@@ -43,6 +43,11 @@ class Prepared:
     scaler: PipelineModel
 
 
+def label_steps(spec: TelemetrySpec = TURBOFAN, truth: DataFrame | None = None) -> list[UnitStep]:
+    """Remaining life (from truth if given), then both labels."""
+    return [*rul_steps(spec, truth), row_step(add_labels)]
+
+
 def label_telemetry(
     df: DataFrame,
     spec: TelemetrySpec = TURBOFAN,
@@ -50,10 +55,8 @@ def label_telemetry(
     long_units: LongUnits | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Remaining life (from truth if given), then both labels."""
-    steps = [*rul_steps(spec, truth), row_step(add_labels)]
     df = with_values(df, spec.unit)
-    return run_per_unit(df, spec.unit, spec.time, steps, long_units, rows_per_task)
+    return run_per_unit(df, spec.unit, spec.time, label_steps(spec, truth), long_units, rows_per_task)
 
 
 def enrich(
@@ -64,7 +67,7 @@ def enrich(
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Life, labels, trailing mean and deviation: one shuffle by unit serves all of them."""
-    steps = [*rul_steps(spec, truth), row_step(add_labels), rolling_step(spec)]
+    steps = [*label_steps(spec, truth), rolling_step(spec)]
     df = with_values(df, spec.unit)
     return run_per_unit(df, spec.unit, spec.time, steps, long_units, rows_per_task)
 
