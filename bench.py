@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import time
 
 from wearpath.plans import catalog
@@ -60,7 +61,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
-                "sf": folder.rstrip("/").rsplit("sf", 1)[-1],
+                "sf": float(scale.group(1)) if (scale := re.search(r"sf(\d+(?:\.\d+)?)/?$", folder)) else None,
             }
         )
     )

@@ -70,6 +70,18 @@ def test_test_table_uses_the_training_fit(spark, texts, prepared, tmp_path):
     assert not (tmp_path / "fitted.csv").exists()
 
 
+@pytest.mark.parametrize("mode_feature, width", [("exclude", 67), ("one_hot", 73)])
+def test_mode_as_feature(spark, texts, tmp_path, mode_feature, width):
+    paths = texts[1]
+    fitted = prepare.prepare_train(
+        spark, paths["train"], str(tmp_path / "train"), write_csv=False, seed=3, mode_feature=mode_feature
+    )
+    tested = prepare.prepare_test(spark, paths["test"], paths["truth"], str(tmp_path / "test"), fitted)
+    for done in (fitted, tested):
+        vectors = spark.read.parquet(done.scaled).select(F.size(vector_to_array("scaledFeatures")).alias("w"))
+        assert {r.w for r in vectors.distinct().collect()} == {width}
+
+
 def test_forward_table(spark, texts, tmp_path):
     done = prepare.prepare_forward(spark, texts[1]["train"], str(tmp_path / "v2"), seed=3, rows_per_task=50)
     table = spark.read.parquet(done.scaled)

@@ -25,6 +25,12 @@ def feature_columns(df: DataFrame, exclude: Iterable[str] = NOT_FEATURES) -> lis
     return [c for c in df.columns if c not in excluded]
 
 
+def one_hot(df: DataFrame, column: str, values: Sequence[int]) -> DataFrame:
+    """Replace a category by one 0/1 column per value: ``operationmode_0``, ``operationmode_1``, ..."""
+    flags = [(F.col(column) == v).cast("int").alias(f"{column}_{v}") for v in values]
+    return df.select(*[c for c in df.columns if c != column], *flags)
+
+
 def frame_features(spec: TelemetrySpec = TURBOFAN, mean_prefix="mean_s", dev_prefix="stdv_s") -> list[str]:
     """Cycle, all settings but the last, and each sensor with its mean and deviation."""
     trios = zip(spec.sensors, renumbered(spec.sensors, mean_prefix), renumbered(spec.sensors, dev_prefix))

@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 
 from wearpath.functions.scalar import with_values
 from wearpath.operators.features import (
+    NOT_FEATURES,
     apply_scaler,
     feature_columns,
     fit_scaler,
+    one_hot,
     reject_incomplete,
     scaler_columns,
 )
-from wearpath.operators.modes import add_modes, fit_modes
+from wearpath.operators.modes import MODES, add_modes, fit_modes
 from wearpath.operators.rolling import rolling_by_mode, rolling_step
 from wearpath.operators.rul import add_labels, rul_steps
 from wearpath.operators.sequence import ROWS_PER_TASK, LongUnits, UnitStep, row_step, run_per_unit
@@ -41,6 +43,17 @@ class Prepared:
     unscaled: str
     modes: PipelineModel
     scaler: PipelineModel
+    mode_feature: str = "number"
+
+
+def _with_mode_feature(df: DataFrame, mode_feature: str) -> tuple[DataFrame, list[str]]:
+    """The table with the operation mode as wanted, and its feature columns."""
+    if mode_feature == "one_hot":
+        df = one_hot(df, "operationmode", range(MODES))
+    elif mode_feature not in ("number", "exclude"):
+        raise ValueError(f"mode_feature must be 'number', 'exclude' or 'one_hot', not {mode_feature!r}")
+    left_out = ["operationmode"] if mode_feature == "exclude" else []
+    return df, feature_columns(df, [*NOT_FEATURES, *left_out])
 
 
 def label_steps(spec: TelemetrySpec = TURBOFAN, truth: DataFrame | None = None) -> list[UnitStep]:
@@ -79,19 +92,20 @@ def _finish(
     scaler: PipelineModel | None,
     write_csv: bool,
     single_csv: bool,
+    mode_feature: str = "number",
 ) -> Prepared:
     """Stage the unscaled table, scale it, write the outputs."""
     spark, staged = unscaled.sparkSession, f"{output}_unscaled"
     write_parquet(unscaled, staged)
-    table = read_prepared(spark, staged)
-    scaler = scaler or fit_scaler(table, feature_columns(table))
+    table, columns = _with_mode_feature(read_prepared(spark, staged), mode_feature)
+    scaler = scaler or fit_scaler(table, columns)
     scaled = apply_scaler(table, scaler)
     write_parquet(scaled, output)
     if write_csv:
         names = {"scaledFeatures": scaler_columns(scaler)}
         to_csv(read_prepared(spark, output), f"{output}.csv", names, single_csv)
         to_csv(table, f"{output}_unscaled.csv", single_file=single_csv)
-    return Prepared(output, staged, modes, scaler)
+    return Prepared(output, staged, modes, scaler, mode_feature)
 
 
 def prepare_train(
@@ -102,11 +116,17 @@ def prepare_train(
     write_csv: bool = True,
     single_csv: bool = False,
     seed: int | None = None,
+    mode_feature: str = "number",
 ) -> Prepared:
-    """Run-to-failure telemetry -> prepared table."""
+    """Run-to-failure telemetry -> prepared table.
+
+    ``mode_feature``: the operation mode is a feature as a ``number``, as ``one_hot`` columns, or is
+    left out (``exclude``).
+    """
     df = reject_incomplete(read_telemetry(spark, input, spec), [*spec.key, *spec.measures])
     modes = fit_modes(df, spec, seed=seed)
-    return _finish(enrich(add_modes(df, modes), spec), output, modes, None, write_csv, single_csv)
+    table = enrich(add_modes(df, modes), spec)
+    return _finish(table, output, modes, None, write_csv, single_csv, mode_feature)
 
 
 def prepare_test(
@@ -119,6 +139,7 @@ def prepare_test(
     write_csv: bool = False,
     single_csv: bool = False,
     seed: int | None = None,
+    mode_feature: str = "number",
 ) -> Prepared:
     """Truncated telemetry + truth -> prepared table.
 
@@ -128,7 +149,8 @@ def prepare_test(
     df = reject_incomplete(read_telemetry(spark, input, spec), [*spec.key, *spec.measures])
     modes = fitted.modes if fitted else fit_modes(df, spec, seed=seed)
     table = enrich(add_modes(df, modes), spec, read_truth(spark, truth))
-    return _finish(table, output, modes, fitted.scaler if fitted else None, write_csv, single_csv)
+    scaler, mode_feature = (fitted.scaler, fitted.mode_feature) if fitted else (None, mode_feature)
+    return _finish(table, output, modes, scaler, write_csv, single_csv, mode_feature)
 
 
 def prepare_forward(
