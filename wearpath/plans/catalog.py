@@ -206,7 +206,7 @@ def s17_factor_lines(spark, sf_dir):
     _sql("SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS changed FROM tel"),
 )
 def s18_s19_model_roundtrip(spark, sf_dir):
-    df = _scaled(fx.labelled(spark, sf_dir, NARROW), NARROW)
+    df = _prepared(spark, sf_dir)
     path = work_path(spark, "model")
     model = models.train(df, "rf", "label2")
     models.save(model, path)
@@ -877,6 +877,17 @@ def _scaled(df: DataFrame, spec: TelemetrySpec) -> DataFrame:
     return features.apply_scaler(df, features.fit_scaler(df, columns))
 
 
+def _prepared_path(spark: SparkSession, sf_dir: str) -> str:
+    """A prepared table on disk, which is what models are trained on."""
+    path = work_path(spark, "prepared")
+    sinks.write_parquet(_scaled(fx.labelled(spark, sf_dir, NARROW), NARROW), path)
+    return path
+
+
+def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.read_prepared(spark, _prepared_path(spark, sf_dir))
+
+
 @_query("m1_modes")
 def m1_modes(spark, sf_dir):
     df = fx.telemetry(spark, sf_dir, TelemetrySpec(sensors=()))[0]
@@ -952,7 +963,7 @@ def m4_label_indexer(spark, sf_dir):
 
 def _model_query(kind: str, label: str = "label2", **options) -> Query:
     def run(spark, sf_dir):
-        df = _scaled(fx.labelled(spark, sf_dir, NARROW), NARROW)
+        df = _prepared(spark, sf_dir)
         return models.evaluate_model(df, models.train(df, kind, label, **options), label)
 
     return run
@@ -983,7 +994,7 @@ def m6_logistic_optimum(spark, sf_dir):
 
     A constant feature has no part in the fit: its coefficient is fixed at zero.
     """
-    df = _scaled(fx.labelled(spark, sf_dir, NARROW), NARROW)
+    df = _prepared(spark, sf_dir)
     model = models.train(df, "lr", "label2")
     fitted = models.classifier(model).coefficientMatrix.toArray()
     x, p = vector_to_array("scaledFeatures"), vector_to_array("probability")
@@ -998,12 +1009,6 @@ def m6_logistic_optimum(spark, sf_dir):
     return scored.groupBy("label").agg(F.count("*").alias("n")).withColumn("at_optimum", steepest < 1e-3)
 
 
-def _prepared_path(spark: SparkSession, sf_dir: str) -> str:
-    path = work_path(spark, "prepared")
-    sinks.write_parquet(_scaled(fx.labelled(spark, sf_dir, NARROW), NARROW), path)
-    return path
-
-
 @_query("m7_holdout")
 def m7_holdout(spark, sf_dir):
     return learn.train_with_holdout(spark, _prepared_path(spark, sf_dir), by_unit=True)
@@ -1011,13 +1016,13 @@ def m7_holdout(spark, sf_dir):
 
 @_query("l2_coefficients")
 def l2_coefficients(spark, sf_dir):
-    df = _scaled(fx.labelled(spark, sf_dir, NARROW), NARROW)
+    df = _prepared(spark, sf_dir)
     return models.coefficients(models.train(df, "lr_weighted", "label2"), spark, ["cycle", *NARROW.measures])
 
 
 @_query("m13_score")
 def m13_score(spark, sf_dir):
-    df = _scaled(fx.labelled(spark, sf_dir, NARROW), NARROW)
+    df = _prepared(spark, sf_dir)
     return models.score(df, models.train(df, "rf", "label2"), "label2").select("id", "cycle", "label", "prediction")
 
 
@@ -1027,7 +1032,7 @@ def m13_score(spark, sf_dir):
 )
 def m13_score_complete(spark, sf_dir):
     """Each row is scored once, with one of the classes."""
-    df = _scaled(fx.labelled(spark, sf_dir, NARROW), NARROW)
+    df = _prepared(spark, sf_dir)
     scored = models.score(df, models.train(df, "rf", "label1"), "label1")
     return scored.select("id", "cycle", "label", F.col("prediction").isin(0.0, 1.0).alias("is_class"))
 
@@ -1063,7 +1068,7 @@ def m16_implicit_factors(spark, sf_dir):
 @_query("m17_libsvm_metrics")
 def m17_libsvm_metrics(spark, sf_dir):
     path = work_path(spark, "libsvm")
-    df = _scaled(fx.labelled(spark, sf_dir, NARROW), NARROW)
+    df = _prepared(spark, sf_dir)
     sinks.write_libsvm(df, path, "label2", "scaledFeatures")
     return learn.libsvm_metrics(spark, path, 1 + len(NARROW.measures))
 
