@@ -1051,7 +1051,12 @@ def m15_grid(spark, sf_dir):
         "train": fx.labelled(spark, sf_dir, NARROW),
         "cut": fx.cut(spark, sf_dir, NARROW, with_truth),
     }
-    return models.train_grid({name: _scaled(table, NARROW) for name, table in by_set.items()}, ["lr", "rf"])
+    stored = {}
+    for name, table in by_set.items():
+        path = work_path(spark, f"grid-{name}")
+        sinks.write_parquet(_scaled(table, NARROW), path)
+        stored[name] = scans.read_prepared(spark, path)
+    return models.train_grid(stored, ["lr", "rf"])
 
 
 @_query(
