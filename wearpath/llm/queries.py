@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearpath.llm import bpe, chat, embeddings, langid, packing, quality, simhash, toxicity, urls
+from wearpath.llm import bpe, chat, embeddings, langid, linededup, packing, quality, simhash, toxicity, urls
 from wearpath.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,4 +85,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _encoder())
 
 
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.without_repeated_lines(docs)
+
+
 ORACLES["op8_chat_formatting"] = chat.SQL
