@@ -17,8 +17,8 @@ from wearpath.llm.common import dropped, stored
 #: Star rounds before the pairs that are left are compared; the rounds only save work.
 STAR_ROUNDS = 5
 #: Cross pairs for each member row at which comparing them beats one more star round.
-FEW_PAIRS = 4
-FEW_PAIRS_LEAST = 2_000_000
+FEW_PAIRS = 50
+FEW_PAIRS_LEAST = 20_000_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -69,25 +69,46 @@ def _mark(e: DataFrame) -> tuple:
 
 
 def shared_buckets(rows: DataFrame, bucket: list[str]) -> DataFrame:
-    """Rows (bucket..., id) of buckets with at least two ids, with a ``leader`` of the bucket.
+    """Rows (bucket..., id, leader) of buckets with at least two ids: each id but the leader once.
 
-    One shuffle. The window streams over its sorted rows, so a hot bucket takes no memory.
-    The leader differs from bucket to bucket for the same ids.
+    ``rows`` may repeat. One shuffle; the window streams over its sorted rows, so a hot
+    bucket takes no memory. The same ids have different leaders in different buckets.
     """
     order = Window.partitionBy(*bucket).orderBy(F.xxhash64("id", *bucket), "id")
+    first = F.first("id").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
-        rows.withColumn("leader", F.first("id").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .withColumn("_next", F.lead("id").over(order))
-        .where((F.col("leader") != F.col("id")) | F.col("_next").isNotNull())
-        .drop("_next")
+        rows.withColumn("leader", first)
+        .withColumn("_last", F.lag("id").over(order))
+        .where((F.col("leader") != F.col("id")) & (F.col("_last") != F.col("id")))
+        .drop("_last")
     )
 
 
-def link_buckets(members: DataFrame, bucket: list[str], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _close_pairs(verify: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, list[str]], DataFrame]:
+    """Compare every pair of a bucket's rows (bucket..., id, c) with different ``c`` in a join."""
+
+    def compare(rows: DataFrame, bucket: list[str]) -> DataFrame:
+        x, y = rows.alias("x"), rows.alias("y")
+        on = F.col("x.c") < F.col("y.c")
+        for k in bucket:
+            on = on & (F.col(f"x.{k}") == F.col(f"y.{k}"))
+        return verify(x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+
+    return compare
+
+
+def link_buckets(
+    members: DataFrame,
+    bucket: list[str],
+    verify: Callable[[DataFrame], DataFrame],
+    compare: Callable[[DataFrame, list[str]], DataFrame] | None = None,
+) -> DataFrame:
     """Components (id, component) of all verified pairs that share a bucket.
 
-    ``members`` comes from ``shared_buckets`` and is read several times (store it); ids are
-    distinct within a bucket. ``verify`` keeps the true pairs of a table (a, b).
+    ``members`` comes from ``shared_buckets`` and is read several times (store it).
+    ``verify`` keeps the true pairs of a table (a, b). ``compare`` gets rows (bucket..., id,
+    c) and returns links (a, b) that connect whatever the true pairs with different ``c`` in
+    a bucket connect; by default it joins the rows and verifies.
 
     1. Each member is compared with its bucket's leader, and components are formed.
     2. Buckets whose members are in one component are done: further pairs would change
@@ -98,12 +119,14 @@ def link_buckets(members: DataFrame, bucket: list[str], verify: Callable[[DataFr
     The components are those of comparing all pairs of all buckets. Ids without a link have
     no row.
     """
-    pairs = members.where("leader != id").select(F.col("id").alias("a"), F.col("leader").alias("b"))
+    pairs = members.select(F.col("id").alias("a"), F.col("leader").alias("b"))
     edges = stored(verify(pairs.distinct()), "links")
     found = stored(components(edges), "components")
-    total = members.count()
+    leaders = members.select(*bucket, F.col("leader").alias("id")).distinct()
+    everyone = stored(members.drop("leader").unionByName(leaders), "members")
+    total = everyone.count()
     for turn in range(STAR_ROUNDS):
-        marked = members.drop("leader").join(found, "id", "left").withColumn("c", F.coalesce("component", "id"))
+        marked = everyone.join(found, "id", "left").withColumn("c", F.coalesce("component", "id"))
         per = marked.groupBy(*bucket, "c").agg(F.count("*").alias("n"))
         mixed = (
             per.groupBy(*bucket)
@@ -113,12 +136,9 @@ def link_buckets(members: DataFrame, bucket: list[str], verify: Callable[[DataFr
                 F.sum(F.col("n").cast("double") * F.col("n")).alias("q"),
             )
             .where("parts > 1")
+            .select(*bucket, F.col("n").alias("size"), ((F.col("n").cast("double") * F.col("n") - F.col("q")) / 2 / F.col("n")).alias("w"))
         )
-        open_rows = stored(
-            marked.join(mixed.select(*bucket, ((F.col("n").cast("double") * F.col("n") - F.col("q")) / 2).alias("w"), "n"), bucket)
-            .select(*bucket, "id", "c", (F.col("w") / F.col("n")).alias("w")),
-            "open",
-        )
+        open_rows = stored(marked.join(mixed, bucket).select(*bucket, "id", "c", "size", "w"), "open")
         left = open_rows.agg(F.count("*"), F.sum("w")).first()
         if not left[0]:
             return found
@@ -129,11 +149,5 @@ def link_buckets(members: DataFrame, bucket: list[str], verify: Callable[[DataFr
         pairs = open_rows.withColumn("f", first).where("f.c != c").select(F.col("id").alias("a"), F.col("f.id").alias("b"))
         edges = stored(edges.unionByName(verify(pairs.distinct())), "links")
         found = stored(components(edges), "components")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in bucket]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    pairs = x.join(y, on & (F.col("x.c") < F.col("y.c"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    more = verify(pairs)
+    more = stored((compare or _close_pairs(verify))(open_rows.drop("w"), bucket), "links")
     return stored(components(edges.unionByName(more)), "components")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,10 @@ from wearpath.llm.graph import link_buckets, shared_buckets
 #: Characters of a shingle, least Jaccard similarity, bands and rows of a band. A pair at
 #: 0.8 shares a band with probability 0.997, one at 0.9 with 0.99998.
 SHINGLE, THRESHOLD, BANDS, ROWS = 8, 0.8, 8, 3
+#: Bits of the filter for the lines whose texts are needed.
+FILTER_BITS = 1 << 25
+#: Lines of one bucket that a task compares with as many others at once.
+BLOCK = 256
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -28,7 +33,8 @@ def _multipliers(n: int) -> np.ndarray:
 
 def _normal(line: str) -> str:
     """What lines are compared by: lower case, runs of white space as one blank."""
-    return " ".join(line.lower().split())
+    low = line.lower().strip()
+    return low if low.isprintable() and "  " not in low else " ".join(low.split())
 
 
 def shingles(line: str, k: int = SHINGLE) -> set[str]:
@@ -105,21 +111,41 @@ def occurrences(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return map_batches(rows, work, f"id {kind}, th bigint, pos int, lid binary, keys array<bigint>")
 
 
-def line_texts(docs: DataFrame, text_column: str) -> DataFrame:
-    """(lid, line), once for each batch that has the line."""
+def _line_filter(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of the first 32 bits of ``wanted`` (lid), 4 MB at every size. It lets some other lines pass, never stops a wanted one."""
+    place = F.pmod(F.conv(F.hex(F.substring("lid", 1, 4)), 16, 10).cast("bigint"), F.lit(FILTER_BITS))
+    part = 4096 * 8
+    rows = (
+        wanted.select(place.alias("p"))
+        .groupBy(F.floor(F.col("p") / part).alias("k"))
+        .agg(F.bitmap_construct_agg(F.pmod("p", F.lit(part))).alias("bits"))
+        .collect()
+    )
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for k, found in rows:
+        bits[k * 4096 : k * 4096 + len(found)] = np.frombuffer(bytes(found), np.uint8)
+    return bits
+
+
+def line_texts(docs: DataFrame, wanted: DataFrame, text_column: str) -> DataFrame:
+    """(lid, line) of the lines in ``wanted`` (lid); each once."""
+    shared = docs.sparkSession.sparkContext.broadcast(_line_filter(wanted).tobytes())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in batches:
-            for part in chunks(batch, "text"):
-                seen = {}
-                for t in part.column("text"):
-                    text = t.as_buffer().to_pybytes().decode("utf-8", "replace") if t.is_valid else ""
-                    for line in text.split("\n"):
-                        if line.strip():
-                            seen.setdefault(xxhash.xxh3_128_digest(line.encode("utf-8")), line)
-                yield pa.record_batch([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.string())], names=["lid", "line"])
+            seen = {}
+            for t in batch.column("text"):
+                text = t.as_buffer().to_pybytes().decode("utf-8", "replace") if t.is_valid else ""
+                for line in text.split("\n"):
+                    lid = xxhash.xxh3_128_digest(line.encode("utf-8"))
+                    p = int.from_bytes(lid[:4]) % FILTER_BITS
+                    if bits[p >> 3] >> (p & 7) & 1:
+                        seen[lid] = line
+            yield pa.record_batch([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.string())], names=["lid", "line"])
 
-    return map_batches(docs.select(F.col(text_column).cast("binary").alias("text")), work, "lid binary, line string")
+    lines = map_batches(docs.select(F.col(text_column).cast("binary").alias("text")), work, "lid binary, line string")
+    return lines.join(wanted, "lid", "left_semi").dropDuplicates(["lid"])
 
 
 def similar(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -146,13 +172,75 @@ def similar(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
     return map_batches(met, work, "a binary, b binary")
 
 
+def _block_links(lines: list[str], comps: list[bytes], first: int, threshold: float) -> list[tuple[int, int]]:
+    """Links between lines of different components, at most one fewer than lines; pairs up to ``first`` rows apart in the list are left to other blocks.
+
+    Rows before ``first`` are one block and the others the second (all in one if ``first`` is
+    0). Shingle sets become bit sets over the shingles that two lines have at least.
+    """
+    sets = [shingles(x) for x in lines]
+    number: dict[str, int] = {}
+    for s, n in Counter(x for one in sets for x in one).items():
+        if n > 1:
+            number[s] = len(number)
+    width = (len(number) + 7) // 8 or 1
+    bits = []
+    for one in sets:
+        flags = np.zeros(width * 8, np.uint8)
+        flags[[number[s] for s in one if s in number]] = 1
+        bits.append(int.from_bytes(np.packbits(flags)))
+    sizes = [len(one) for one in sets]
+    up = {c: c for c in comps}
+
+    def root(c: bytes) -> bytes:
+        while up[c] != c:
+            up[c] = up[up[c]]
+            c = up[c]
+        return c
+
+    links = []
+    for i in range(first or len(lines)):
+        bi, ni, ri = bits[i], sizes[i], root(comps[i])
+        for j in range(first or i + 1, len(lines)):
+            both = (bi & bits[j]).bit_count()
+            if both >= threshold * (ni + sizes[j] - both):
+                rj = root(comps[j])
+                if rj != ri:
+                    up[max(ri, rj)] = ri = min(ri, rj)
+                    links.append((i, j))
+    return links
+
+
+def compare_blocks(rows: DataFrame, bucket: list[str], texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Links (a, b) between the different ``c`` of each bucket in ``rows`` (bucket..., id, c, size).
+
+    A bucket is cut into blocks of about ``BLOCK`` rows, and each pair of blocks is one
+    group, so a group is bounded however large the bucket is.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = rows.join(texts.withColumnRenamed("lid", "id"), "id").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    met = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        *bucket, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "c", "line"
+    )
+
+    def work(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("own", "ascending"), ("id", "ascending")])
+        own = t.column("own").to_pylist()
+        ids = t.column("id").to_pylist()
+        first = own.index(own[-1])
+        links = _block_links(t.column("line").to_pylist(), t.column("c").to_pylist(), first, threshold)
+        return pa.table({"a": pa.array([ids[i] for i, _ in links], pa.binary()), "b": pa.array([ids[j] for _, j in links], pa.binary())})
+
+    return met.groupBy(*bucket, "i", "j").applyInArrow(work, "a binary, b binary")
+
+
 def line_components(docs: DataFrame, found: DataFrame, text_column: str) -> DataFrame:
     """(id, component) of the different lines that have a near copy; ids are line hashes."""
-    keys = found.where("keys is not null").select(F.col("lid").alias("id"), F.explode("keys").alias("key")).distinct()
+    keys = found.where("keys is not null").select(F.col("lid").alias("id"), F.explode("keys").alias("key"))
     members = stored(shared_buckets(keys, ["key"]), "line_buckets")
-    wanted = members.select(F.col("id").alias("lid")).distinct()
-    texts = stored(line_texts(docs, text_column).join(wanted, "lid", "left_semi").dropDuplicates(["lid"]), "line_texts")
-    return link_buckets(members, ["key"], lambda pairs: similar(pairs, texts))
+    wanted = stored(members.select(F.explode(F.array("id", "leader")).alias("lid")).distinct(), "line_ids")
+    texts = stored(line_texts(docs, wanted, text_column), "line_texts")
+    return link_buckets(members, ["key"], lambda pairs: similar(pairs, texts), lambda rows, bucket: compare_blocks(rows, bucket, texts))
 
 
 def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
