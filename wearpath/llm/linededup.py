@@ -43,9 +43,9 @@ def shingles(line: str, k: int = SHINGLE) -> set[str]:
     return {text[i : i + k] for i in range(max(1, len(text) - k + 1))}
 
 
-def band_keys(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """(lines, bands) keys; equal shingle sets have equal keys."""
-    padded = [t if len(t) >= k else t.ljust(k, "\0") for t in map(_normal, lines)]
+def _shingle_hashes(normal: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the shingles of all lines, line after line and repeats included, and how many each line has."""
+    padded = [t if len(t) >= k else t.ljust(k, "\0") for t in normal]
     sizes = np.array([len(t) for t in padded])
     code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     with np.errstate(over="ignore"):
@@ -59,11 +59,17 @@ def band_keys(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: int
             valid[ends - back] = False
         h = h[valid[: len(h)]]
         h = (h ^ (h >> np.uint64(32))) * _MIX
-        h32 = (h >> np.uint64(32)).astype(np.uint32)
-        counts = sizes - k + 1
-        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        factors = _multipliers(bands * rows)
-        keys = np.empty((len(lines), bands), np.uint64)
+    return h ^ (h >> np.uint64(29)), sizes - k + 1
+
+
+def band_keys(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """(lines, bands) keys; equal shingle sets have equal keys."""
+    h, counts = _shingle_hashes(list(map(_normal, lines)), k)
+    h32 = (h >> np.uint64(32)).astype(np.uint32)
+    starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    factors = _multipliers(bands * rows)
+    keys = np.empty((len(lines), bands), np.uint64)
+    with np.errstate(over="ignore"):
         for b in range(bands):
             key = np.full(len(lines), b + 1, np.uint64)
             for r in range(rows):
@@ -74,6 +80,41 @@ def band_keys(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: int
     return keys.view(np.int64)
 
 
+def likely(lines: list[str], x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs (lines[x], lines[y]) may reach ``threshold``: the Jaccard similarity of their shingles' 44-bit hashes, less a margin.
+
+    All pairs at once by sorting (pair, hash); hashes that collide by chance move the
+    similarity by far less than the margin.
+    """
+    h, counts = _shingle_hashes(list(map(_normal, lines)))
+    h >>= np.uint64(20)
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    out = np.zeros(len(x), bool)
+    size, lo = counts[x] + counts[y], 0
+    while lo < len(x):
+        hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo:]), 1_000_000)))
+        distinct = []
+        for side in (x[lo:hi], y[lo:hi]):
+            n = counts[side]
+            at = np.arange(n.sum()) + np.repeat(starts[side] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+            key = np.sort((np.repeat(np.arange(len(side)), n).astype(np.uint64) << np.uint64(44)) | h[at])
+            distinct.append(key[np.concatenate([[True], key[1:] != key[:-1]])])
+        both = np.sort(np.concatenate(distinct))
+        shared = both[1:][both[1:] == both[:-1]]
+        count = lambda key: np.bincount((key >> np.uint64(44)).astype(np.int64), minlength=hi - lo)  # noqa: B023, E731
+        common = count(shared)
+        out[lo:hi] = common >= (threshold - 0.01) * (count(distinct[0]) + count(distinct[1]) - common)
+        lo = hi
+    return out
+
+
+def alike(a: str, b: str, threshold: float = THRESHOLD) -> bool:
+    """Whether the shingle sets of two lines have at least the given Jaccard similarity."""
+    x, y = shingles(a), shingles(b)
+    both = len(x & y)
+    return both >= threshold * (len(x) + len(y) - both)
+
+
 def occurrences(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id, th, pos, lid, keys): every line with a visible character, by document and position.
 
@@ -152,16 +193,11 @@ def similar(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
     """The pairs (a, b) of ``pairs`` whose lines' shingle sets have at least the given Jaccard similarity."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, set()
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
-                if y != last:
-                    last, known = y, shingles(y)
-                own = shingles(x)
-                small, large = sorted((len(own), len(known)))
-                both = len(own & known) if small >= threshold * large else 0
-                keep.append(both >= threshold * (small + large - both))
+            x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
+            keep = likely(x + y, np.arange(len(x)), np.arange(len(x)) + len(x), threshold) if x else np.zeros(0, bool)
+            for i in np.nonzero(keep)[0]:
+                keep[i] = alike(x[i], y[i], threshold)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     met = (
@@ -172,66 +208,118 @@ def similar(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
     return map_batches(met, work, "a binary, b binary")
 
 
-def _block_links(lines: list[str], comps: list[bytes], first: int, threshold: float) -> list[tuple[int, int]]:
-    """Links between lines of different components, at most one fewer than lines; pairs up to ``first`` rows apart in the list are left to other blocks.
+class _Groups:
+    """Union-find over component ids within a task's group."""
 
-    Rows before ``first`` are one block and the others the second (all in one if ``first`` is
-    0). Shingle sets become bit sets over the shingles that two lines have at least.
+    def __init__(self) -> None:
+        self.up: dict[bytes, bytes] = {}
+
+    def root(self, c: bytes) -> bytes:
+        up = self.up
+        while (above := up.get(c, c)) != c:
+            up[c] = up.get(above, above)
+            c = above
+        return c
+
+    def join(self, a: bytes, b: bytes) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _crowded_links(lines: list[str], comps: list[bytes], first: int, threshold: float) -> Iterator[tuple[int, int]]:
+    """Links (i, j) that join the components of similar lines, i before row ``first`` and j from it on; all i < j if it is 0.
+
+    Shingle sets become bit sets over the shingles that two lines have at least.
     """
     sets = [shingles(x) for x in lines]
     number: dict[str, int] = {}
     for s, n in Counter(x for one in sets for x in one).items():
         if n > 1:
             number[s] = len(number)
-    width = (len(number) + 7) // 8 or 1
     bits = []
     for one in sets:
-        flags = np.zeros(width * 8, np.uint8)
+        flags = np.zeros(len(number) or 1, np.uint8)
         flags[[number[s] for s in one if s in number]] = 1
         bits.append(int.from_bytes(np.packbits(flags)))
-    sizes = [len(one) for one in sets]
-    up = {c: c for c in comps}
-
-    def root(c: bytes) -> bytes:
-        while up[c] != c:
-            up[c] = up[up[c]]
-            c = up[c]
-        return c
-
-    links = []
+    sizes, groups = [len(one) for one in sets], _Groups()
     for i in range(first or len(lines)):
-        bi, ni, ri = bits[i], sizes[i], root(comps[i])
+        bi, ni = bits[i], sizes[i]
         for j in range(first or i + 1, len(lines)):
             both = (bi & bits[j]).bit_count()
-            if both >= threshold * (ni + sizes[j] - both):
-                rj = root(comps[j])
-                if rj != ri:
-                    up[max(ri, rj)] = ri = min(ri, rj)
-                    links.append((i, j))
-    return links
+            if both >= threshold * (ni + sizes[j] - both) and groups.join(comps[i], comps[j]):
+                yield i, j
 
 
 def compare_blocks(rows: DataFrame, bucket: list[str], texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Links (a, b) between the different ``c`` of each bucket in ``rows`` (bucket..., id, c, size).
+    """Links (a, b) that join the different ``c`` of each bucket in ``rows`` (bucket..., id, c, size).
 
     A bucket is cut into blocks of about ``BLOCK`` rows, and each pair of blocks is one
-    group, so a group is bounded however large the bucket is.
+    group, so a group is bounded however large the bucket is. Groups stream through a task
+    one after the other; small ones are gathered and compared together.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = rows.join(texts.withColumnRenamed("lid", "id"), "id").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    met = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        *bucket, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "c", "line"
+    own = (
+        rows.join(texts.withColumnRenamed("lid", "id"), "id")
+        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    )
+    group = F.struct(*bucket, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    met = (
+        own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select(F.to_json(group).alias("g"), "own", "id", "c", "line")
+        .repartition("g")
+        .sortWithinPartitions("g", "own", "id")
     )
 
-    def work(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("own", "ascending"), ("id", "ascending")])
-        own = t.column("own").to_pylist()
-        ids = t.column("id").to_pylist()
-        first = own.index(own[-1])
-        links = _block_links(t.column("line").to_pylist(), t.column("c").to_pylist(), first, threshold)
-        return pa.table({"a": pa.array([ids[i] for i, _ in links], pa.binary()), "b": pa.array([ids[j] for _, j in links], pa.binary())})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small: list[list[dict]] = []
+
+        def links(group: list[dict]) -> list[tuple[bytes, bytes]]:
+            first = next((k for k, r in enumerate(group) if r["own"] == group[-1]["own"]), 0)
+            found = _crowded_links([r["line"] for r in group], [r["c"] for r in group], first, threshold)
+            return [(group[i]["id"], group[j]["id"]) for i, j in found]
+
+        def gathered() -> list[tuple[bytes, bytes]]:
+            rows = [r for group in small for r in group]
+            x, y, at = [], [], 0
+            for group in small:
+                for j in range(len(group)):
+                    x += [at + i for i in range(j) if group[i]["c"] != group[j]["c"]]
+                    y += [at + j] * (len(x) - len(y))
+                at += len(group)
+            small.clear()
+            if not x:
+                return []
+            lines = [r["line"] for r in rows]
+            return [
+                (rows[x[k]]["id"], rows[y[k]]["id"])
+                for k in np.nonzero(likely(lines, np.array(x), np.array(y), threshold))[0]
+                if alike(lines[x[k]], lines[y[k]], threshold)
+            ]
+
+        def packed(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            a, b = zip(*found) if found else ((), ())
+            return pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+        def closed(group: list[dict]) -> Iterator[pa.RecordBatch]:
+            if len(group) > 12:
+                yield packed(links(group))
+            elif group:
+                small.append(group)
+                if len(small) >= 500:
+                    yield packed(gathered())
+
+        group: list[dict] = []
+        for b in batches:
+            for r in b.to_pylist():
+                if group and r["g"] != group[0]["g"]:
+                    yield from closed(group)
+                    group = []
+                group.append(r)
+        yield from closed(group)
+        yield packed(gathered())
 
-    return met.groupBy(*bucket, "i", "j").applyInArrow(work, "a binary, b binary")
+    return map_batches(met, work, "a binary, b binary")
 
 
 def line_components(docs: DataFrame, found: DataFrame, text_column: str) -> DataFrame:
