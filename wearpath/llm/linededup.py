@@ -332,7 +332,7 @@ def line_components(docs: DataFrame, found: DataFrame, text_column: str) -> Data
 
 
 def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, th, n_lines, dropped): for each document with lines its repeated ones, by position from 0.
+    """(id, th, dropped): each document with repeated lines and their positions from 0, in order.
 
     Lines are alike if they are equal or their character shingles have a Jaccard similarity
     of at least 0.8; alike lines, and what can be reached from them, are one component. Its
@@ -343,20 +343,16 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     joined = line_components(docs, found, text_column).withColumnRenamed("id", "lid")
     place = F.struct("id", "th", "pos")
     once = found.groupBy("lid").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    marked = once.join(joined, "lid", "left").withColumn("c", F.coalesce("component", "lid"))
+    marked = stored(once.join(joined, "lid", "left").where("component is not null or n > 1"), "repeated")
     lone = F.col("component").isNull()
-    per = marked.where(~lone).groupBy("c").agg(F.min("first").alias("keep"))
-    kept = (
-        marked.where(~lone).join(per, "c").select("lid", "keep").unionByName(marked.where(lone & (F.col("n") > 1)).select("lid", F.col("first").alias("keep")))
-    )
+    per = marked.where(~lone).groupBy("component").agg(F.min("first").alias("keep"))
+    kept = marked.where(~lone).join(per, "component").select("lid", "keep").unionByName(marked.where(lone).select("lid", F.col("first").alias("keep")))
     return (
-        found.drop("keys")
-        .join(kept, "lid", "left")
+        found.select("id", "th", "pos", "lid")
+        .join(kept, "lid")
+        .where(~F.col("keep").eqNullSafe(place))
         .groupBy("id", "th")
-        .agg(
-            F.count_distinct("pos").alias("n_lines"),
-            F.array_sort(F.collect_set(F.when(F.col("keep").isNotNull() & ~F.col("keep").eqNullSafe(place), F.col("pos")))).alias("dropped"),
-        )
+        .agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
     )
 
 
@@ -366,7 +362,7 @@ def without_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_colu
     A document whose lines all go has an empty text, a null text stays null. Rows with the
     same id and text count as one document. ``n_chars``, where it exists, follows the text.
     """
-    gone = repeated_lines(docs, id_column, text_column).where(F.size("dropped") > 0).select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("dropped").alias("_dropped"))
+    gone = repeated_lines(docs, id_column, text_column).toDF("_id", "_th", "_dropped").hint("shuffle_hash")
     met = docs.join(gone, docs[id_column].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_column]) == F.col("_th")), "left").drop("_id", "_th")
     at, last = docs.columns.index(text_column), len(docs.columns)
 
