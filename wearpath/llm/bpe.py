@@ -20,7 +20,7 @@ _ODD = 0x9E3779B97F4A7C15
 #: Pre-tokens of one text that are handled at once.
 SLICE_TOKENS = 400_000
 #: Pre-tokens outside the vocabulary whose merges a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 
 
 class PerfectHash:

@@ -119,7 +119,7 @@ class ByteConvNet:
 
     def predict(self, text: bytes | None) -> tuple[str, float]:
         """Language and mean probability over all windows of the text, each weighted by its bytes."""
-        if not text or not _LETTER.search(text.decode("utf-8", "replace")):
+        if not text or not self.languages or not _LETTER.search(text.decode("utf-8", "replace")):
             return "und", 0.0
         data = np.frombuffer(text, np.uint8)
         total = np.zeros(len(self.languages))
@@ -139,13 +139,12 @@ def train(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
     Rows without label or text are left out. From each sampled text ``WINDOWS_EACH`` windows,
     spread over its whole length, go to the driver: a few megabytes at every input size.
-    Languages weigh alike. Without any labelled row a ``ValueError`` is raised.
+    Languages weigh alike. Without any labelled row the network knows no language, and every
+    prediction is ``und``.
     """
     rows = labelled.where(F.col(label_column).isNotNull() & (F.length(text_column) > 0))
     n = rows.count()
-    if not n:
-        raise ValueError("no labelled text to learn from")
-    share = min(1.0, documents / n)
+    share = min(1.0, documents / max(1, n))
     drawn = rows.where(F.pmod(F.xxhash64(F.col(id_column).cast("string")), F.lit(1_000_000)) < share * 1_000_000)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,6 +163,8 @@ def train(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "te
     found.sort()
     languages = sorted({r[0] for r in found})
     net = ByteConvNet.fresh(languages)
+    if not found:
+        return net
     y = np.array([languages.index(r[0]) for r in found])
     x = np.concatenate([windows(np.frombuffer(bytes(r[1]), np.uint8)) for r in found])
     counts = np.bincount(y, minlength=len(languages))

@@ -362,9 +362,12 @@ def without_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_colu
     A document whose lines all go has an empty text, a null text stays null. Rows with the
     same id and text count as one document. ``n_chars``, where it exists, follows the text.
     """
-    gone = repeated_lines(docs, id_column, text_column).toDF("_id", "_th", "_dropped").hint("shuffle_hash")
-    met = docs.join(gone, docs[id_column].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_column]) == F.col("_th")), "left").drop("_id", "_th")
-    at, last = docs.columns.index(text_column), len(docs.columns)
+    names = docs.columns
+    at, last = names.index(text_column), len(names)
+    plain = docs.toDF(*(f"c{i}" for i in range(last)))  # no name can clash
+    key, text = F.col(f"c{names.index(id_column)}"), F.col(f"c{at}")
+    gone = repeated_lines(docs, id_column, text_column).hint("shuffle_hash")
+    met = plain.join(gone, key.eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("th")), "left").drop("id", "th")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -377,7 +380,7 @@ def without_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_colu
                     out.append("\n".join(line for p, line in enumerate(text.as_py().split("\n")) if p not in away))
             columns = list(b.columns)[:last]
             columns[at] = pa.array(out, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:last])
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     out = map_batches(met, work, docs.schema)
     if "n_chars" in docs.columns:

@@ -104,7 +104,9 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     keep = (
         simhash_groups(docs, id_column, text_column, radius, width)
         .where(F.col(id_column).eqNullSafe(F.col("component_id")))
-        .select(F.col(id_column).alias("_keep"))
+        .select(F.col(id_column).alias("keep"))
         .distinct()
     )
-    return docs.join(keep, docs[id_column].eqNullSafe(F.col("_keep")), "left_semi")
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # no name can clash
+    key = F.col(f"c{docs.columns.index(id_column)}")
+    return plain.join(keep, key.eqNullSafe(F.col("keep")), "left_semi").toDF(*docs.columns)
