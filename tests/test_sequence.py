@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wearpath.operators.rolling import rolling_by_mode, rolling_by_unit
 from wearpath.operators.rul import add_labels, rul_from_run_to_failure, rul_from_truth, with_last_cycle
-from wearpath.operators.sequence import find_long_units, number_rows, window_in_slices
+from wearpath.operators.sequence import find_long_units, number_rows, time_part, window_in_slices
 from wearpath.plans.prepare import enrich
 from wearpath.spec import TelemetrySpec
 
@@ -145,3 +145,29 @@ def test_row_order_does_not_matter(skewed):
     assert rows_of(rolling_by_unit(df.orderBy("s1"), SPEC), ["id", "cycle"]) == rows_of(
         rolling_by_unit(df, SPEC), ["id", "cycle"]
     )
+
+
+def test_text_keys_raise_at_every_size(spark):
+    df = spark.createDataFrame([(i % 3, str(i), float(i), 1) for i in range(30)], "id INT, cycle STRING, s1 DOUBLE, operationmode INT")
+    for limit in (5, 500_000):
+        with pytest.raises(TypeError):
+            rolling_by_unit(df, SPEC, rows_per_task=limit)
+        with pytest.raises(TypeError):
+            rolling_by_mode(df.selectExpr("CAST(id AS STRING) id", "CAST(cycle AS INT) cycle", "s1", "operationmode"), SPEC, rows_per_task=limit)
+
+
+def test_one_wrong_clock_leaves_parts_even(spark):
+    """Rows a second apart and one row decades before: no part holds more than a task's rows."""
+    rows = [(1, 1_700_000_000 + i, i) for i in range(20_000)] + [(1, 0, -1)]
+    df = spark.createDataFrame(rows, "unit INT, seconds LONG, event INT").withColumn("ts", F.timestamp_seconds("seconds"))
+    units = find_long_units(df, ["unit"], "ts", 1_000)
+    _, long = units.split(df)
+    parts = long.groupBy(time_part(long, "ts", 1_000)).count().agg(F.max("count"), F.count("*")).first()
+    assert parts[0] <= 2_000 and parts[1] >= 20
+    assert_same(number_rows(df, ["unit"], ["ts"], "n", rows_per_task=1_000), number_rows(df, ["unit"], ["ts"], "n"), ["unit", "event"])
+
+
+def test_rows_without_unit_are_dropped(spark):
+    df = spark.createDataFrame([(None if i % 2 else 1, i) for i in range(40)], "id INT, cycle INT")
+    for limit in (6, 500_000):
+        assert number_rows(df, ["id"], ["cycle"], "n", rows_per_task=limit).count() == 20

@@ -24,9 +24,12 @@ def time_axis(df: DataFrame, name: str) -> Column:
     """A monotone BIGINT reading of a time column: integers as they are, times in microseconds.
 
     A timestamp without zone is read field by field, so that no daylight-saving shift of the
-    session zone can reorder rows.
+    session zone can reorder rows. Any other type (text, floating point) raises ``TypeError``: its
+    own order need not be that of a number.
     """
     kind = df.schema[name].dataType
+    if not isinstance(kind, (T.IntegralType, T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        raise TypeError(f"{name} must be an integer, decimal, date or timestamp to order rows by, not {kind.simpleString()}")
     column = F.col(name)
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(column)

@@ -6,9 +6,10 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wearpath.functions.names import renumbered
-from wearpath.functions.scalar import with_values
+from wearpath.functions.scalar import time_axis, with_values
 from wearpath.operators.sequence import (
     ROWS_PER_TASK,
     LongUnits,
@@ -102,7 +103,10 @@ def rolling_by_unit(
         ``literal``: deviation = sqrt(sum((s - own row's mean)^2) / divisor), short frames included;
         ``population``: population deviation of the frame;
         ``full``: mean and population deviation, NULL until the frame is complete.
+
+    Rows without a unit are dropped: they belong to none.
     """
+    df = with_values(df, spec.unit)
     step = rolling_step(spec, start, stop, mode, divisor, mean_prefix, dev_prefix)
     return run_per_unit(df, spec.unit, spec.time, [step], long_units, rows_per_task)
 
@@ -125,10 +129,13 @@ def rolling_by_mode(
     There are only a handful of modes, so at scale each holds far more rows than a task can take.
     Such modes are numbered through cells of (block of units, unit, part of the cycle axis), where
     unique cycles bound a cell, and windowed in slices of that number. Small modes use one plain
-    window. The last unit column must be an integer. Rows without a unit or cycle are dropped, as
-    attaching the mode by join on these keys does.
+    window. The last unit column must be an integer, else ``TypeError`` is raised at every size. Rows
+    without a unit, cycle or mode are dropped, as attaching the mode by join on these keys does.
     """
-    df = with_values(df, spec.key)
+    if not isinstance(df.schema[spec.unit[-1]].dataType, T.IntegralType):
+        raise TypeError(f"{spec.unit[-1]} must be an integer, as units follow each other in its order")
+    axis = time_axis(df, spec.time)
+    df = with_values(df, [*spec.key, *group])
     sensors = list(spec.sensors)
     compute = _statistics(
         sensors, renumbered(sensors, mean_prefix), renumbered(sensors, dev_prefix), start, stop, mode, divisor
@@ -140,10 +147,10 @@ def rolling_by_mode(
     result = compute(ordinary, Window.partitionBy(*group).orderBy(*order))
     if long_rows is None:
         return result
-    cut = long_rows.drop("_n", "_lo", "_hi").withColumns(
+    cut = long_rows.drop("_n", "_lo", "_hi", "_cuts").withColumns(
         {
             "_block": F.floor(F.col(number) / units_per_block),
-            "_part": F.floor(F.col(spec.time) / rows_per_task),
+            "_part": F.floor(axis / rows_per_task),
         }
     )
     path = [*spec.unit[:-1], "_block", number, "_part"]

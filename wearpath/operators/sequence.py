@@ -17,7 +17,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from wearpath.functions.scalar import time_axis
+from wearpath.functions.scalar import time_axis, with_values
 from wearpath.operators.sizing import SMALL_ROWS, broadcast_if_small, kept_if_small
 
 #: Rows of one unit that a single task may sort and window.
@@ -26,14 +26,17 @@ ROWS_PER_TASK = 500_000
 #: Parts of the time axis per ``ROWS_PER_TASK`` rows of a long unit. Rows may lie unevenly in time;
 #: with small parts even a busy stretch stays a small group, and a part costs one counted row.
 PARTS_PER_TASK = 16
+#: Quantiles of a long unit's times. Each stretch between two of them is cut into parts of its own, so
+#: a few rows with a wrong clock stretch one of them and not all.
+STRETCHES = 256
 
 
 @dataclass(frozen=True)
 class LongUnits:
     """Units with more rows than one task should take, with their extent on the time axis.
 
-    ``table`` (keys, ``_n``, ``_lo``, ``_hi``) is ``None`` when there are none. The extent only
-    steers how a unit is cut: a stale one costs balance, never a result.
+    ``table`` (keys, ``_n``, ``_lo``, ``_hi``, ``_cuts``) is ``None`` when there are none. The extent
+    and the quantiles ``_cuts`` only steer how a unit is cut: stale ones cost balance, never a result.
     """
 
     keys: tuple[str, ...]
@@ -60,7 +63,7 @@ class LongUnits:
         if table is not None:
             for old, new in zip(self.keys, keys):
                 table = table.withColumnRenamed(old, new)
-            table = table.withColumns({"_lo": F.lit(1).cast("long"), "_hi": F.col("_n")})
+            table = table.drop("_cuts").withColumns({"_lo": F.lit(1).cast("long"), "_hi": F.col("_n")})
         return replace(self, keys=tuple(keys), table=table)
 
 
@@ -83,17 +86,35 @@ def find_long_units(
         .where(F.col("_n") > rows_per_task)
     )
     table, count = kept_if_small(profile, broadcast_limit)
+    if count != 0:
+        shares = [i / STRETCHES for i in range(1, STRETCHES)]
+        units = F.broadcast(table) if count is not None else table
+        quantiles = (
+            df.join(units.select(*keys), list(keys), "left_semi")
+            .groupBy(*keys)
+            .agg(F.array_distinct(F.percentile_approx(axis, shares, 20 * STRETCHES)).alias("_cuts"))
+        )
+        table, count = kept_if_small(table.join(quantiles, list(keys), "left"), broadcast_limit)
     return LongUnits(tuple(keys), None if count == 0 else table, count is not None, rows_per_task)
 
 
 def time_part(df: DataFrame, time: str, rows_per_task: int) -> Column:
-    """Part of the unit's own time extent, cut into equal parts, that a long unit's row lies in.
+    """Part of the unit's own time extent that a long unit's row lies in.
 
-    A row without a time sorts first, so it goes to a part before all others.
+    The stretches between the quantiles ``_cuts``, or the whole extent where there are none, are
+    cut into equal parts. A row without a time sorts first, so it goes to a part before all others.
     """
+    axis, low, high, stretch = time_axis(df, time), F.col("_lo"), F.col("_hi"), F.lit(0)
     parts = F.ceil(F.col("_n") / F.lit(rows_per_task)) * PARTS_PER_TASK
-    offset = (time_axis(df, time) - F.col("_lo")).cast("double")
-    part = F.floor(offset * parts / (F.col("_hi") - F.col("_lo") + 1)).cast("long")
+    if "_cuts" in df.columns:
+        cuts = F.coalesce("_cuts", F.array().cast("array<bigint>"))
+        stretch = F.size(F.filter(cuts, lambda c: c <= axis))
+        low = F.coalesce(F.get(cuts, stretch - 1), low)
+        high = F.coalesce(F.get(cuts, stretch), high)
+        parts = F.ceil(parts / STRETCHES)
+    offset = (axis - low).cast("double")
+    share = F.greatest(F.lit(0.0), F.least(offset / (high.cast("double") - low + 1), F.lit(1.0)))
+    part = (stretch * (parts + 1) + F.floor(share * parts)).cast("long")
     return F.when(F.col(time).isNull(), F.lit(-(2**62)).cast("long")).otherwise(part)
 
 
@@ -283,5 +304,9 @@ def number_rows(
     long_units: LongUnits | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Number the rows of each unit 1..n. The first ``order`` column is the time axis."""
+    """Number the rows of each unit 1..n. The first ``order`` column is the time axis.
+
+    Rows without a unit are dropped: they belong to none.
+    """
+    df = with_values(df, keys)
     return run_per_unit(df, keys, order[0], [number_step(keys, order, name)], long_units, rows_per_task)
