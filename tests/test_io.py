@@ -66,7 +66,7 @@ def test_ratings(spark, tmp_path):
 
 def test_vectors_become_columns_in_csv(spark, tmp_path):
     df = spark.createDataFrame([(1, Vectors.dense(0.5, 2.0)), (2, Vectors.sparse(2, [1], [9.0]))], ["id", "v"])
-    sinks.write_csv(df, str(tmp_path / "named"), {"v": ["x", "y"]}, single_file=True)
+    sinks.write_csv(df.coalesce(1), str(tmp_path / "named"), {"v": ["x", "y"]})
     back = spark.read.csv(str(tmp_path / "named"), header=True, inferSchema=True)
     assert back.columns == ["id", "scaled_x", "scaled_y"]
     assert sorted(tuple(r) for r in back.collect()) == [(1, 0.5, 2.0), (2, 0.0, 9.0)]
@@ -126,3 +126,18 @@ def test_table_operations(spark):
 def test_work_paths_lie_in_the_session_folder(spark):
     assert work_path(spark, "x").startswith(shared_folder(spark) + "/wearpath/x-")
     assert work_path(spark, "x") != work_path(spark, "x")
+
+
+def test_positional_types_are_those_of_the_text(spark, tmp_path):
+    path = write(tmp_path / "p.txt", "1 abc 9007199254740993\nx 2.50 1")
+    assert sorted(map(tuple, scans.read_positional(spark, path, 3, "string").collect())) == [("1", "abc", "9007199254740993"), ("x", "2.50", "1")]
+    mixed = {tuple(r) for r in scans.read_positional(spark, path, 3, ["int", "string", "bigint"]).collect()}
+    assert mixed == {(1, "abc", 9007199254740993), (None, "2.50", 1)}
+
+
+def test_pattern_scan_leaves_side_outputs_out(spark, tmp_path):
+    for name in ("test_FD001", "test_FD002", "test_FD001_unscaled"):
+        spark.range(3).write.parquet(str(tmp_path / name))
+    spark.range(3).write.csv(str(tmp_path / "test_FD001.csv"))
+    found = scans.read_prepared_sets(spark, str(tmp_path / "test_*")).groupBy("dataset").count().collect()
+    assert sorted(map(tuple, found)) == [("FD001", 3), ("FD002", 3)]

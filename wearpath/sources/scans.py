@@ -14,7 +14,7 @@ from wearpath.functions.scalar import fields_of
 from wearpath.spec import RATINGS_SCHEMA, TRUTH_SCHEMA, TURBOFAN, TelemetrySpec
 
 
-def _text_table(spark: SparkSession, path: str | list[str], schema: T.StructType, separator: str) -> DataFrame:
+def _text_table(spark: SparkSession, path: str | list[str], schema: T.StructType | str, separator: str) -> DataFrame:
     return spark.read.schema(schema).options(header=False, sep=separator, mode="PERMISSIVE").csv(path)
 
 
@@ -36,18 +36,21 @@ def read_positional(
     spark: SparkSession,
     path: str | list[str],
     columns: int,
-    kind: str = "double",
+    kind: str | Sequence[str] = "double",
     separator: str = " ",
     partitions: int | None = None,
 ) -> DataFrame:
     """Headerless text with columns named ``X1..Xn``.
 
-    A gzip file is one task, whatever its size; ``partitions`` spreads its rows afterwards.
+    ``kind`` is the type of all columns, or a list with the type of each; a field that does not
+    fit is NULL. A gzip file is one task, whatever its size; ``partitions`` spreads its rows
+    afterwards.
     """
-    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in numbered("X", columns)])
+    kinds = [kind] * columns if isinstance(kind, str) else list(kind)
+    if len(kinds) != columns:
+        raise ValueError(f"{columns} columns need as many types, not {len(kinds)}")
+    schema = ", ".join(f"{c} {k}" for c, k in zip(numbered("X", columns), kinds))
     table = _text_table(spark, path, schema, separator)
-    if kind != "double":
-        table = table.select(*[F.col(c).cast(kind).alias(c) for c in table.columns])
     return table.repartition(partitions) if partitions else table
 
 
@@ -100,10 +103,18 @@ def read_prepared(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_prepared_sets(spark: SparkSession, pattern: str, tag: str = "dataset") -> DataFrame:
     """Prepared sets by a path pattern such as ``.../test_*``.
 
-    ``dataset`` is what follows the last ``_`` in the name of the folder a row came from.
+    ``dataset`` is what follows the last ``_`` in the name of the folder a row came from. The
+    unscaled tables and CSV exports that the jobs write beside a prepared set are left out.
     """
+    jvm = spark.sparkContext._jvm
+    glob = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = glob.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(glob) or []
+    paths = sorted(str(f.getPath()) for f in found)
+    sets = [p for p in paths if not p.endswith(("_unscaled", ".csv"))]
+    if not sets:
+        raise FileNotFoundError(f"no prepared set under {pattern}")
     folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    return spark.read.parquet(pattern).withColumn(tag, F.element_at(F.split(folder, "_"), -1))
+    return spark.read.parquet(*sets).withColumn(tag, F.element_at(F.split(folder, "_"), -1))
 
 
 def read_libsvm(spark: SparkSession, path: str, features: int | None = None) -> DataFrame:

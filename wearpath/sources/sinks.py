@@ -13,9 +13,6 @@ from pyspark.sql import types as T
 from wearpath.operators.factors import factor_lines
 from wearpath.operators.features import vector_columns
 
-#: Rows of a spreadsheet, without the header.
-SPREADSHEET_ROWS = 1_048_575
-
 
 def write_parquet(df: DataFrame, path: str, fail_if_exists: bool = False, partition_by: Sequence[str] = ()) -> None:
     """Parquet, replacing what is there unless ``fail_if_exists``."""
@@ -46,18 +43,10 @@ def write_csv(
     df: DataFrame,
     path: str,
     vector_names: dict[str, Sequence[str]] | None = None,
-    single_file: bool = False,
     fail_if_exists: bool = False,
 ) -> None:
-    """CSV with header.
-
-    ``single_file`` is an export for spreadsheets: one file, written by one task, if the table was
-    measured to fit a spreadsheet; a longer one is written in parts all the same.
-    """
-    table = flat(df, vector_names)
-    if single_file and df.count() <= SPREADSHEET_ROWS:
-        table = table.repartition(1)
-    table.write.mode("errorifexists" if fail_if_exists else "overwrite").csv(path, header=True)
+    """CSV in parts, each with a header."""
+    flat(df, vector_names).write.mode("errorifexists" if fail_if_exists else "overwrite").csv(path, header=True)
 
 
 def write_text_table(df: DataFrame, path: str, separator: str = " ", compression: str | None = None) -> None:
