@@ -146,7 +146,7 @@ def s11_single_csv(spark, sf_dir):
     """The description of a table, a report of one row per column, as one file."""
     path = work_path(spark, "single-csv")
     table = explore.describe(fx.telemetry(spark, sf_dir)[0], _DESCRIBED)
-    sinks.write_csv(table, path, single_file=True)
+    sinks.write_csv(table.coalesce(1), path)  # one row for each column, however long the table is
     read = spark.read.schema(table.schema).csv(path, header=True)
     files = read.select(F.input_file_name().alias("f")).distinct().agg(F.count("f")).scalar()
     return _description(read).withColumn("files", files)
@@ -1094,9 +1094,9 @@ def _without_mode(df: DataFrame) -> DataFrame:
     return _rounded_doubles(df.drop("operationmode"))
 
 
-def _prepared_sql(extra: dict, more=(), partition="id") -> str:
+def _prepared_sql(extra: dict, more=(), partition="id", table="lab") -> str:
     sensors = SENSOR_NAMES
-    first, second = oracle.rolling("lab", sensors, partition=partition)
+    first, second = oracle.rolling(table, sensors, partition=partition)
     names = [*SETTING_NAMES, *sensors, *MEAN_NAMES, *DEV_NAMES]
     keep = ", ".join([*more, "id", "cycle", *_PREPARED_COLUMNS])
     return _sql(f"SELECT {keep}, {oracle.rounded(names)} FROM _devs", SPEC, **extra, _means=first, _devs=second)
@@ -1109,6 +1109,25 @@ def job_prepare_train(spark, sf_dir):
     return _without_mode(scans.read_prepared(spark, done.unscaled))
 
 
+#: Every third unit misses a sensor in its last cycle, and some rows have no unit.
+_INCOMPLETE = {
+    **_LABELLED,
+    "whole": "SELECT * FROM lab WHERE NOT (id % 3 = 0 AND rul = 0)",
+}
+
+
+@_query("job_prepare_incomplete", _prepared_sql(_INCOMPLETE, table="whole"))
+def job_prepare_incomplete(spark, sf_dir):
+    """A rejected last row still counts for the life of its unit."""
+    df = fx.telemetry(spark, sf_dir, SPEC, rul.rul_steps(SPEC))[0]
+    ill = (F.col("id") % 3 == 0) & (F.col("rul") == 0)
+    broken = df.withColumn("s2", F.when(~ill, F.col("s2"))).drop("rul")
+    lost = df.where("cycle = 1").withColumn("id", F.lit(None).cast("int")).drop("rul")
+    text = _staged_text(spark, broken.unionByName(lost), "incomplete")
+    done = prepare.prepare_train(spark, text, work_path(spark, "job-incomplete"), write_csv=False)
+    return _without_mode(scans.read_prepared(spark, done.unscaled))
+
+
 @_query("job_prepare_test", _prepared_sql(_TEST_CTES))
 def job_prepare_test(spark, sf_dir):
     text = _staged_text(spark, fx.cut(spark, sf_dir), "test")

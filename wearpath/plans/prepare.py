@@ -1,15 +1,21 @@
 """Preparation jobs: telemetry text in, prepared Parquet (and CSV) out.
 
-A job writes the relational result once, as ``<output>_unscaled``, and fits the scaler on what it
-reads back. So the windows are not computed again for each fit and each output, and a lost executor
-costs a few file splits, not the whole job.
+A job parses the text once, into a typed work table that it deletes at its end; modes are fitted on
+three of its columns and long units measured on two. It writes the relational result once, as
+``<output>_unscaled``, and fits the scaler on what it reads back. So neither text nor windows are
+computed again for each fit and each output, and a lost executor costs a few file splits.
+
+Rows without a key are rejected first. Life and labels are computed from all other rows, as the last
+cycle of a unit counts even if a sensor failed in it. Then rows that miss a setting or sensor are
+rejected, and rolling frames run over the rows that are left.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from operator import and_
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +38,7 @@ from wearpath.operators.sequence import ROWS_PER_TASK, LongUnits, UnitStep, row_
 from wearpath.sources.scans import read_prepared, read_telemetry, read_telemetry_sets, read_truth
 from wearpath.sources.sinks import write_csv as to_csv
 from wearpath.sources.sinks import write_parquet
+from wearpath.session import delete_path, work_path
 from wearpath.spec import TURBOFAN, TURBOFAN_CYKLE, TelemetrySpec
 
 
@@ -44,6 +51,12 @@ class Prepared:
     modes: PipelineModel
     scaler: PipelineModel
     mode_feature: str = "number"
+    rows_read: int | None = None
+    rows_kept: int | None = None
+
+    @property
+    def rows_rejected(self) -> int | None:
+        return None if self.rows_read is None else self.rows_read - self.rows_kept
 
 
 def _with_mode_feature(df: DataFrame, mode_feature: str) -> tuple[DataFrame, list[str]]:
@@ -67,9 +80,30 @@ def label_telemetry(
     truth: DataFrame | None = None,
     long_units: LongUnits | None = None,
     rows_per_task: int = ROWS_PER_TASK,
+    then: Sequence[UnitStep] = (),
 ) -> DataFrame:
+    """Life and labels, and further steps per unit."""
     df = with_values(df, spec.unit)
-    return run_per_unit(df, spec.unit, spec.time, label_steps(spec, truth), long_units, rows_per_task)
+    return run_per_unit(df, spec.unit, spec.time, [*label_steps(spec, truth), *then], long_units, rows_per_task)
+
+
+def _complete_with_modes(spec: TelemetrySpec, modes: PipelineModel) -> UnitStep:
+    """Reject rows that miss a measure and add the mode to the others, after the measures."""
+
+    def step(df: DataFrame) -> DataFrame:
+        scored = add_modes(reject_incomplete(df, spec.measures), modes)
+        added = [c for c in scored.columns if c not in df.columns]
+        last = 1 + max(df.columns.index(c) for c in [*spec.key, *spec.measures])
+        return scored.select(*df.columns[:last], *added, *df.columns[last:])
+
+    return row_step(step)
+
+
+def _typed(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, str]:
+    """The parsed table, written once, and its path."""
+    path = work_path(spark, "typed")
+    write_parquet(df, path)
+    return read_prepared(spark, path), path
 
 
 def enrich(
@@ -78,11 +112,10 @@ def enrich(
     truth: DataFrame | None = None,
     long_units: LongUnits | None = None,
     rows_per_task: int = ROWS_PER_TASK,
+    between: Sequence[UnitStep] = (),
 ) -> DataFrame:
-    """Life, labels, trailing mean and deviation: one shuffle by unit serves all of them."""
-    steps = [*label_steps(spec, truth), rolling_step(spec)]
-    df = with_values(df, spec.unit)
-    return run_per_unit(df, spec.unit, spec.time, steps, long_units, rows_per_task)
+    """Life, labels, steps ``between``, trailing mean and deviation: one shuffle by unit serves all of them."""
+    return label_telemetry(df, spec, truth, long_units, rows_per_task, [*between, rolling_step(spec)])
 
 
 def _finish(
@@ -91,8 +124,8 @@ def _finish(
     modes: PipelineModel,
     scaler: PipelineModel | None,
     write_csv: bool,
-    single_csv: bool,
     mode_feature: str = "number",
+    rows_read: int | None = None,
 ) -> Prepared:
     """Stage the unscaled table, scale it, write the outputs."""
     spark, staged = unscaled.sparkSession, f"{output}_unscaled"
@@ -103,9 +136,9 @@ def _finish(
     write_parquet(scaled, output)
     if write_csv:
         names = {"scaledFeatures": scaler_columns(scaler)}
-        to_csv(read_prepared(spark, output), f"{output}.csv", names, single_csv)
-        to_csv(table, f"{output}_unscaled.csv", single_file=single_csv)
-    return Prepared(output, staged, modes, scaler, mode_feature)
+        to_csv(read_prepared(spark, output), f"{output}.csv", names)
+        to_csv(table, f"{output}_unscaled.csv")
+    return Prepared(output, staged, modes, scaler, mode_feature, rows_read, read_prepared(spark, staged).count())
 
 
 def prepare_train(
@@ -114,7 +147,6 @@ def prepare_train(
     output: str,
     spec: TelemetrySpec = TURBOFAN,
     write_csv: bool = True,
-    single_csv: bool = False,
     seed: int | None = None,
     mode_feature: str = "number",
 ) -> Prepared:
@@ -123,10 +155,14 @@ def prepare_train(
     ``mode_feature``: the operation mode is a feature as a ``number``, as ``one_hot`` columns, or is
     left out (``exclude``).
     """
-    df = reject_incomplete(read_telemetry(spark, input, spec), [*spec.key, *spec.measures])
-    modes = fit_modes(df, spec, seed=seed)
-    table = enrich(add_modes(df, modes), spec)
-    return _finish(table, output, modes, None, write_csv, single_csv, mode_feature)
+    typed, path = _typed(spark, read_telemetry(spark, input, spec))
+    try:
+        df = reject_incomplete(typed, spec.key)
+        modes = fit_modes(reject_incomplete(df, spec.settings), spec, seed=seed)
+        table = enrich(df, spec, between=[_complete_with_modes(spec, modes)])
+        return _finish(table, output, modes, None, write_csv, mode_feature, typed.count())
+    finally:
+        delete_path(spark, path)
 
 
 def prepare_test(
@@ -137,7 +173,6 @@ def prepare_test(
     fitted: Prepared | None = None,
     spec: TelemetrySpec = TURBOFAN,
     write_csv: bool = False,
-    single_csv: bool = False,
     seed: int | None = None,
     mode_feature: str = "number",
 ) -> Prepared:
@@ -146,11 +181,15 @@ def prepare_test(
     Give the ``fitted`` training run to use its modes and scale; without it both are fitted anew on
     the test table, and their numbers do not compare with the training table's.
     """
-    df = reject_incomplete(read_telemetry(spark, input, spec), [*spec.key, *spec.measures])
-    modes = fitted.modes if fitted else fit_modes(df, spec, seed=seed)
-    table = enrich(add_modes(df, modes), spec, read_truth(spark, truth))
-    scaler, mode_feature = (fitted.scaler, fitted.mode_feature) if fitted else (None, mode_feature)
-    return _finish(table, output, modes, scaler, write_csv, single_csv, mode_feature)
+    typed, path = _typed(spark, read_telemetry(spark, input, spec))
+    try:
+        df = reject_incomplete(typed, spec.key)
+        modes = fitted.modes if fitted else fit_modes(reject_incomplete(df, spec.settings), spec, seed=seed)
+        table = enrich(df, spec, read_truth(spark, truth), between=[_complete_with_modes(spec, modes)])
+        scaler, mode_feature = (fitted.scaler, fitted.mode_feature) if fitted else (None, mode_feature)
+        return _finish(table, output, modes, scaler, write_csv, mode_feature, typed.count())
+    finally:
+        delete_path(spark, path)
 
 
 def prepare_forward(
@@ -166,12 +205,16 @@ def prepare_forward(
 
     Without ``truth`` the series must run to failure, as life is counted to their last cycle.
     """
-    df = reject_incomplete(read_telemetry(spark, input, spec), [*spec.key, *spec.measures])
-    modes = fit_modes(df, spec, seed=seed)
-    life = read_truth(spark, truth) if truth else None
-    labelled = label_telemetry(add_modes(df, modes), spec, life)
-    rolled = rolling_by_mode(labelled, spec, rows_per_task=rows_per_task)
-    return _finish(rolled, output, modes, None, write_csv=False, single_csv=False)
+    typed, path = _typed(spark, read_telemetry(spark, input, spec))
+    try:
+        df = reject_incomplete(typed, spec.key)
+        modes = fit_modes(reject_incomplete(df, spec.settings), spec, seed=seed)
+        life = read_truth(spark, truth) if truth else None
+        labelled = label_telemetry(df, spec, life, then=[_complete_with_modes(spec, modes)])
+        rolled = rolling_by_mode(labelled, spec, rows_per_task=rows_per_task)
+        return _finish(rolled, output, modes, None, write_csv=False, rows_read=typed.count())
+    finally:
+        delete_path(spark, path)
 
 
 def prepare_sets(
@@ -188,21 +231,31 @@ def prepare_sets(
     are computed for all sets together.
     """
     keyed = spec.with_dataset()
-    df = reject_incomplete(read_telemetry_sets(spark, inputs, spec), [*keyed.key, *spec.measures])
+    typed, path = _typed(spark, read_telemetry_sets(spark, inputs, spec))
+    df = reject_incomplete(typed, keyed.key)
 
     def each_set(table, step):
         return reduce(
             DataFrame.unionByName, [step(table.where(F.col("dataset") == name)) for name in inputs]
         )
 
-    with_modes = each_set(df, lambda part: add_modes(part, fit_modes(part, spec, seed=seed)))
+    # a row that misses a measure keeps its place in the unit's life, without a mode, until life is known
+    whole = reject_incomplete(df, spec.measures)
+    modes = each_set(whole, lambda part: add_modes(part, fit_modes(part, spec, seed=seed)))
+    rest = df.where(~reduce(and_, [F.col(c).isNotNull() for c in spec.measures]))
+    with_modes = modes.unionByName(rest, allowMissingColumns=True)
     truth = None
     if truths is not None:
         truth = reduce(
             DataFrame.unionByName,
             [read_truth(spark, path).withColumn("dataset", F.lit(name)) for name, path in truths.items()],
         )
-    write_parquet(enrich(with_modes, keyed, truth), f"{output}_unscaled", partition_by=["dataset"])
+    complete = row_step(lambda rows: reject_incomplete(rows, spec.measures))
+    table = enrich(with_modes, keyed, truth, between=[complete])
+    try:
+        write_parquet(table, f"{output}_unscaled", partition_by=["dataset"])
+    finally:
+        delete_path(spark, path)
     table = read_prepared(spark, f"{output}_unscaled")
     columns = feature_columns(table)
     scaled = each_set(table, lambda part: apply_scaler(part, fit_scaler(part, columns)))
@@ -213,9 +266,7 @@ def prepare_sets(
 def toy_run(
     spark: SparkSession, train: str, test: str, truth: str, output: str, seed: int | None = None
 ) -> tuple[Prepared, Prepared]:
-    """Prepare a small train and test set, with single CSV files to look at by hand."""
-    fitted = prepare_train(spark, train, f"{output}/toy_train", single_csv=True, seed=seed)
-    tested = prepare_test(
-        spark, test, truth, f"{output}/toy_test", fitted, write_csv=True, single_csv=True
-    )
+    """Prepare a small train and test set, with CSV files to look at by hand."""
+    fitted = prepare_train(spark, train, f"{output}/toy_train", seed=seed)
+    tested = prepare_test(spark, test, truth, f"{output}/toy_test", fitted, write_csv=True)
     return fitted, tested
