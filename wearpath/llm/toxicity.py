@@ -139,14 +139,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     clearly likelier in toxic texts enter with their log odds as weight, at most
     ``LEXICON_WORDS`` of them. The density's slope and offset are a logistic regression on
     the same sample. Rows without label or text are left out; ids may repeat, a document
-    with several labels takes the largest. Without toxic texts the lexicon is empty and
+    with several labels takes the largest. The sampled ids are broadcast, as ``documents``
+    bounds them. Without toxic texts the lexicon is empty and
     every score is low.
     """
     known = labels.where(F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("_id")).agg(F.max(label_column).alias("label"))
     n = known.count()
     share = min(1.0, documents / max(1, n))
     drawn = known.where(F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1_000_000)) < share * 1_000_000)
-    rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).cast("binary").alias("text")).join(drawn, "_id").select("text", "label")
+    rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).cast("binary").alias("text")).join(F.broadcast(drawn), "_id").select("text", "label")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
