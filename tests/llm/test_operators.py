@@ -172,6 +172,7 @@ def test_perfect_hash_is_minimal_and_exact(vocabulary):
     assert sorted(whole.slots) == list(range(len(whole.keys)))
     assert all(whole.get(k) == i for i, k in enumerate(whole.keys))
     assert whole.get(b"no such token here") == -1
+    assert whole.get_all([*whole.keys, b"no such token here", b""]) == [*range(len(whole.keys)), -1, -1]
 
 
 def test_bpe_equals_reference_and_decodes(spark, vocabulary, reference, sf_dir):

@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -36,6 +37,7 @@ class PerfectHash:
         self.shift = [0] * self.buckets
         self.slots: list[int] = [-1] * n
         self.keys = keys
+        self.arrays: tuple[np.ndarray, np.ndarray] | None = None
         order = sorted(range(self.buckets), key=lambda b: -len(groups[b]))
         for b in order:
             group = groups[b]
@@ -64,6 +66,19 @@ class PerfectHash:
         i = self.slots[-d - 1 if d < 0 else ((h ^ d * _ODD) & _WORD) % len(self.slots)]
         return i if self.keys[i] == key else -1
 
+    def get_all(self, keys: list[bytes]) -> list[int]:
+        """``get`` for many keys; the arithmetic runs on arrays."""
+        if self.arrays is None:
+            self.arrays = np.array(self.shift), np.array(self.slots)
+        shift, slots = self.arrays
+        h = np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(keys))
+        d = shift[((h >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)]
+        with np.errstate(over="ignore"):
+            moved = (h ^ d.astype(np.uint64) * np.uint64(_ODD)) & np.uint64(_WORD)
+        found = slots[np.where(d < 0, -d - 1, (moved % np.uint64(len(slots))).astype(np.int64))].tolist()
+        known = self.keys
+        return [i if known[i] == key else -1 for i, key in zip(found, keys)]
+
 
 class Vocabulary:
     """Ranks of byte strings and the pattern that cuts texts into pre-tokens. Sent to tasks as one broadcast."""
@@ -117,26 +132,28 @@ class Vocabulary:
             i = end[i]
         return tuple(out)
 
-    def resolve(self, token: str) -> tuple[int, ...]:
-        """Ids of one pre-token."""
-        data = token.encode("utf-8")
-        i = self.whole.get(data)
-        if i >= 0:
-            return (self.ids[i],)
-        found = self.merged.get(token)
-        if found is None:
-            if len(self.merged) >= REMEMBERED:
-                self.merged.clear()
-            found = self.merge(data)
-            if len(token) < 64:
-                self.merged[token] = found
-        return found
+    def resolve(self, tokens: set[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of different pre-tokens: by the perfect hash, else merged; merges are remembered."""
+        if len(self.merged) >= REMEMBERED:
+            self.merged.clear()
+        merged = self.merged
+        out = {t: merged[t] for t in tokens if t in merged}
+        rest = [t for t in tokens if t not in out]
+        data = [t.encode("utf-8") for t in rest]
+        for token, key, i in zip(rest, data, self.whole.get_all(data)):
+            if i >= 0:
+                out[token] = (self.ids[i],)
+            else:
+                out[token] = found = self.merge(key)
+                if len(token) < 64:
+                    merged[token] = found
+        return out
 
     def encode(self, texts: Iterable[str]) -> Iterator[Iterator[list[int]]]:
         """For each text its ids, in slices. Different pre-tokens of the texts are resolved once."""
         cut = regex.compile(self.pattern)
         split = [cut.findall(t) if len(t) <= SLICE_TOKENS else None for t in texts]
-        known = {t: self.resolve(t) for t in set(chain.from_iterable(filter(None, split)))}
+        known = self.resolve(set(chain.from_iterable(filter(None, split))))
         for text, tokens in zip(texts, split):
             if tokens is not None:
                 yield iter([list(chain.from_iterable(map(known.__getitem__, tokens)))])
@@ -145,7 +162,7 @@ class Vocabulary:
 
     def _slices(self, tokens: Iterator[str]) -> Iterator[list[int]]:
         while part := list(islice(tokens, SLICE_TOKENS)):
-            known = {t: self.resolve(t) for t in set(part)}
+            known = self.resolve(set(part))
             yield list(chain.from_iterable(map(known.__getitem__, part)))
 
     def decode(self, ids: Iterable[int]) -> bytes:
