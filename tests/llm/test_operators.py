@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -118,6 +119,23 @@ def test_trust_and_distrust_spread_over_links(spark):
     assert found["farm.net"]["distrust"] == pytest.approx(0.15 * 0.85)
 
 
+def test_ranks_equal_sql_on_a_random_link_graph(spark):
+    rng = random.Random(8)
+    hosts = [f"h{i}.{('com', 'org', 'net', 'net')[i % 4]}" for i in range(40)]
+    rows = [
+        (i, f"https://{rng.choice(hosts)}/{rng.choice(['de', 'fr', 'x'])}/{i}", " ".join(f"<a href='//{rng.choice(hosts)}/y'>" for _ in range(rng.randrange(4))))
+        for i in range(150)
+    ] + [(150, None, None), (151, "http:", "")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    result = con.execute(urls.judge_sql())
+    columns = [d[0] for d in result.description]
+    want = sorted(result.fetchall(), key=str)
+    assert sorted((tuple(r) for r in urls.judge_urls(df).select(*columns).collect()), key=str) == want
+    assert {r[columns.index("verdict")] for r in want if r[columns.index("rule")] is None} == {"allow", "block"}
+
+
 # 3 simhash
 
 

@@ -288,3 +288,20 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_column: str = "
         )
         .withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(True)))
     )
+
+
+#: ``near_vectors`` over ``embeddings`` in SQL.
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x != 0)) > 0),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id != y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(least(vec_id, m), vec_id) AS component_id,
+  coalesce(least(vec_id, m), vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON vec_id = a
+LEFT JOIN (SELECT a AS c, min(b) AS m FROM reach GROUP BY a) ON vec_id = c
+"""

@@ -91,4 +91,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.without_repeated_lines(docs)
 
 
+ORACLES["op2_url_filters"] = urls.judge_sql()
+ORACLES["op5_embedding_near_dedup"] = embeddings.SQL
 ORACLES["op8_chat_formatting"] = chat.SQL

@@ -127,3 +127,52 @@ def judge_urls(
         F.coalesce("trust", F.lit(0.0)).alias("trust"),
         F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
     )
+
+
+def judge_sql(rules: Sequence[tuple[str, str, str]] = RULES, damping: float = 0.85, rounds: int = 20) -> str:
+    """``judge_urls`` over ``pages`` in SQL: the ranks are recursive queries of ``rounds`` steps."""
+    upper, lower = f"'{_UPPER}'", f"'{_LOWER}'"
+    fits = [
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{'rule': '{h + p}', 'verdict': '{v}'}}"
+        for h, p, v in sorted(rules, key=lambda r: -len(r[0] + r[1]))
+    ]
+
+    def rank(name: str, seed: str, src: str, dst: str) -> str:
+        return f"""
+{name}_w AS (SELECT {src} AS s, {dst} AS d, 1::DOUBLE / count(*) OVER (PARTITION BY {src}) AS w FROM edges),
+{name} AS (
+  SELECT host, {seed} AS base, {seed} AS score, 0 AS i FROM hosts
+  UNION ALL
+  SELECT r.host, r.base, (1 - {damping}::DOUBLE) * r.base + {damping}::DOUBLE * coalesce(g.got, 0), r.i + 1
+  FROM {name} r LEFT JOIN (
+    SELECT d, sum(score * w) AS got FROM {name} JOIN {name}_w ON host = s GROUP BY d) g ON r.host = g.d
+  WHERE r.i < {rounds})"""
+
+    return rf"""
+WITH RECURSIVE parts AS (
+  SELECT page_id, html,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), {upper}, {lower}) AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+judged AS (SELECT *, CASE {" ".join(fits)} END AS best FROM parts),
+seeds AS (
+  SELECT host, avg(CASE WHEN best.verdict = 'allow' THEN 1::DOUBLE ELSE 0 END) AS good,
+    avg(CASE WHEN best.verdict = 'block' THEN 1::DOUBLE ELSE 0 END) AS bad
+  FROM judged WHERE host != '' GROUP BY host),
+links AS (
+  SELECT host AS src, translate(unnest(regexp_extract_all(
+    html, '(?i)href\s*=\s*["'']?(?:https?:)?//([^/?#"''\s>]+)', 1)), {upper}, {lower}) AS dst
+  FROM judged),
+edges AS (SELECT DISTINCT src, dst FROM links WHERE src != '' AND dst != '' AND src != dst),
+hosts AS (
+  SELECT host, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad
+  FROM (SELECT src AS host FROM edges UNION SELECT dst FROM edges UNION SELECT host FROM seeds) LEFT JOIN seeds USING (host)),
+{rank("trust", "good", "src", "dst")},
+{rank("distrust", "bad", "dst", "src")},
+scores AS (
+  SELECT t.host, d.score > 2::DOUBLE * t.score AND d.score > 0.05::DOUBLE AS blocked
+  FROM trust t JOIN distrust d ON t.host = d.host AND t.i = {rounds} AND d.i = {rounds})
+SELECT page_id, j.host, path, best.rule AS rule,
+  coalesce(best.verdict, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN scores s ON j.host = s.host
+"""
