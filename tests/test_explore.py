@@ -95,3 +95,12 @@ def test_picks_and_splits_do_not_depend_on_partitioning(spark):
     sizes = [p.count() for p in parts]
     assert sum(sizes) == 3000 and 1650 < sizes[0] < 1950
     assert sum(p.count() for p in sampling.random_rows(df, [0.6, 0.4])) == 3000
+
+
+def test_random_rows_do_not_follow_the_partitioning(spark):
+    df = spark.range(2000).selectExpr("id", "string(id % 7) AS t", "array(double(id)) AS a")
+    parts = sampling.random_rows(df, [0.6, 0.4])
+    other = sampling.random_rows(df.repartition(13, "t"), [0.6, 0.4])
+    ids = lambda part: {r.id for r in part.collect()}
+    assert [ids(p) for p in parts] == [ids(p) for p in other]
+    assert not ids(parts[0]) & ids(parts[1]) and 1100 < len(ids(parts[0])) < 1300

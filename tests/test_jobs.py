@@ -106,6 +106,23 @@ def test_sets_are_scaled_on_their_own(spark, texts, tmp_path):
     assert out.where("label2 >= 1 AND label1 = 0").count() == 0
 
 
+def test_saved_run_is_read_back(spark, texts, prepared, tmp_path):
+    saved = str(tmp_path / "saved")
+    prepared.save(saved)
+    again = prepare.load_prepared(spark, saved)
+    facts = ("scaled", "unscaled", "mode_feature", "rows_read", "rows_kept", "rows_rejected")
+    assert [getattr(again, f) for f in facts] == [getattr(prepared, f) for f in facts]
+    paths = texts[1]
+    outs = [prepare.prepare_test(spark, paths["test"], paths["truth"], str(tmp_path / n), run) for n, run in (("a", prepared), ("b", saved))]
+    assert_same(*(spark.read.parquet(o.scaled).withColumn("v", vector_to_array("scaledFeatures").cast("string")).drop("scaledFeatures") for o in outs), ["id", "cycle"])
+    sets = prepare.prepare_sets(spark, {"A": paths["test"]}, str(tmp_path / "sets"), {"A": paths["truth"]}, fitted={"A": saved})
+    x, y = vector_to_array("scaledFeatures"), F.col("y")
+    one = spark.read.parquet(outs[0].scaled).select("id", "cycle", x.alias("y"))
+    met = spark.read.parquet(sets).join(one, ["id", "cycle"])
+    assert met.count() == one.count()
+    assert met.where(F.exists(F.zip_with(x, y, lambda a, b: F.abs(a - b)), lambda d: d > 1e-9)).count() == 0
+
+
 def test_toy_run(spark, texts, tmp_path):
     paths = texts[1]
     train, test = prepare.toy_run(spark, paths["train"], paths["test"], paths["truth"], str(tmp_path), seed=3)

@@ -81,3 +81,10 @@ def test_beta(three):
     row = metrics.per_class(three[1], beta=2.0).where(F.col("label") == 0).first()
     p, r = 40 / 44, 40 / 45
     assert math.isclose(row.f, 5 * p * r / (4 * p + r))
+
+
+def test_full_report_holds_the_confusion_cells(three):
+    rows = metrics.full_report(three[1]).collect()
+    cells = {(r.label, r.prediction): r.value for r in rows if r.metric == "confusion"}
+    assert cells == {(float(r.label), float(r.prediction)): r.n for r in metrics.confusion(three[1], labels="union").collect()}
+    assert all(r.prediction is None for r in rows if r.metric != "confusion")

@@ -32,14 +32,14 @@ def confusion(
         classes = F.array_union(F.collect_set("label"), F.collect_set("prediction"))
     else:
         raise ValueError(f"labels must be 'true' or 'union', not {labels!r}")
-    # The pair table has one row per pair of classes, so the class list is short.
-    grid = (
-        counts.agg(classes.alias("c"))
-        .select(F.explode("c").alias("label"), "c")
-        .select("label", F.explode("c").alias("prediction"))
-    )
-    return grid.join(counts, ["label", "prediction"], "left").select(
-        "label", "prediction", F.coalesce("n", F.lit(0)).cast("long").alias("n")
+    # The pair table has one row per pair of classes, so the lists are short.
+    cell = F.struct("label", "prediction")
+    return (
+        counts.agg(classes.alias("c"), F.collect_list(F.struct(cell.alias("cell"), "n")).alias("known"))
+        .select(F.explode("c").alias("label"), "c", "known")
+        .select("label", F.explode("c").alias("prediction"), "known")
+        .select("label", "prediction", F.get(F.filter("known", lambda k: k["cell"] == cell), F.lit(0))["n"].alias("n"))
+        .withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     )
 
 
@@ -56,9 +56,14 @@ def confusion_percent(
 def confusion_matrix(
     df: DataFrame, label: str = "label", prediction: str = "prediction", labels: str = "true"
 ) -> DataFrame:
-    """Wide confusion matrix: one row per true class, one column per predicted class, ascending."""
+    """Wide confusion matrix: one row per true class, one column per predicted class, ascending.
+
+    The columns are known only from the data, so the cells, classes x classes of them, are
+    counted here once and pivoted as a local table.
+    """
     cells = confusion(df, label, prediction, labels)
-    return cells.groupBy("label").pivot("prediction").agg(F.sum("n")).orderBy("label")
+    local = df.sparkSession.createDataFrame(cells.collect(), cells.schema)
+    return local.groupBy("label").pivot("prediction").agg(F.sum("n")).orderBy("label")
 
 
 def class_totals(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -160,6 +165,22 @@ def evaluate(
     )
 
 
+def full_report(df: DataFrame, label: str = "label", prediction: str = "prediction", beta: float = 0.5) -> DataFrame:
+    """All metrics and the confusion cells as tidy rows (metric, label, prediction, value).
+
+    ``prediction`` is set in the cells (metric ``confusion``) only. Both halves share the one
+    aggregation by (label, prediction).
+    """
+    cells = confusion(df, label, prediction, "union").select(
+        F.lit("confusion").alias("metric"),
+        F.col("label").cast("double").alias("label"),
+        F.col("prediction").cast("double").alias("prediction"),
+        F.col("n").cast("double").alias("value"),
+    )
+    metrics = evaluate(df, label, prediction, beta).withColumn("prediction", F.lit(None).cast("double"))
+    return metrics.select("metric", "label", "prediction", "value").unionByName(cells)
+
+
 def report(df: DataFrame, title: str, label: str = "label", prediction: str = "prediction") -> str:
     """The metrics of a model as text. Only the classes x classes table reaches the driver."""
     cells = {(r.label, r.prediction): r.n for r in confusion(df, label, prediction).collect()}

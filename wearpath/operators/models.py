@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from wearpath.operators.features import label_indexer, with_class_weights
-from wearpath.operators.metrics import evaluate
+from wearpath.operators.metrics import full_report
 from wearpath.session import keep_checkpoints
 
 _COLUMNS = {"labelCol": "indexedLabel", "predictionCol": "_class"}
@@ -122,8 +122,8 @@ def score(df: DataFrame, model: PipelineModel, label: str | None = None) -> Data
 
 
 def evaluate_model(df: DataFrame, model: PipelineModel, label: str = "label2") -> DataFrame:
-    """Score a table and report all metrics by original label."""
-    return evaluate(score(df, model, label).select("label", "prediction"))
+    """Score a table and report all metrics and the confusion cells by original label."""
+    return full_report(score(df, model, label).select("label", "prediction"))
 
 
 def save(model: PipelineModel, path: str | None) -> bool:
@@ -178,5 +178,5 @@ def train_grid(
                 save(model, f"{path}/{kind}_{name}_{label}" if path else None)
                 tags = {"dataset": F.lit(name), "target": F.lit(label), "kind": F.lit(kind)}
                 metrics = evaluate_model(table, model, label).withColumns(tags)
-                reports.append(metrics.select(*tags, "metric", F.col("label").alias("class"), "value"))
+                reports.append(metrics.select(*tags, "metric", F.col("label").alias("class"), "prediction", "value"))
     return reduce(DataFrame.unionByName, reports)

@@ -128,7 +128,7 @@ def s9_flat_csv(spark, sf_dir):
 
 _DESCRIBED = ["cycle", *SETTING_NAMES, *SENSOR_NAMES]
 _DESCRIPTION_SQL = " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", CAST(count({c}) AS BIGINT) AS count, round(avg({c}) + 1e-9, 6) AS mean,"
+    f"SELECT '{c}' AS \"column\", CAST(count({c}) AS BIGINT) AS count, round(avg({c}), 9) AS mean,"
     f" round(stddev({c}), 6) AS stddev, round(CAST(min({c}) AS DOUBLE), 6) AS min,"
     f" round(CAST(max({c}) AS DOUBLE), 6) AS max FROM tel"
     for c in _DESCRIBED
@@ -136,9 +136,8 @@ _DESCRIPTION_SQL = " UNION ALL ".join(
 
 
 def _description(df: DataFrame) -> DataFrame:
-    """Means of two-decimal values often end in a 5 after the last kept digit. The shift, far below
-    that digit, makes both engines round such a tie the same way."""
-    return _rounded_doubles(df.withColumn("mean", F.col("mean") + 1e-9))
+    """Means of two-decimal values over some ten thousand rows have fewer than nine digits, so none is a tie."""
+    return _rounded_doubles(df.withColumn("mean", F.round("mean", 9)), digits=9).withColumn("stddev", F.round("stddev", 6))
 
 
 @_query("s11_single_csv", _sql(f"SELECT *, CAST(1 AS BIGINT) AS files FROM ({_DESCRIPTION_SQL})", SPEC))
@@ -961,10 +960,28 @@ def m4_label_indexer(spark, sf_dir):
     return indexed.groupBy("label2", "label_index").agg(F.count("*").alias("n"))
 
 
+def _facts(report: DataFrame, *by: str) -> DataFrame:
+    """What SQL can confirm of a model's report: rows of each true class in the confusion cells, and
+    that weighted recall is accuracy, which is the share of the diagonal."""
+    cell = F.col("metric") == "confusion"
+    total = lambda rows: F.sum(F.when(rows, F.col("value")).otherwise(0.0))
+    one = lambda name: F.max(F.when(F.col("metric") == name, F.col("value")))
+    right = total(cell & (F.col("label") == F.col("prediction"))) / total(cell)
+    agree = (F.abs(one("weighted_recall") - one("accuracy")) < 1e-9) & (F.abs(right - one("accuracy")) < 1e-9)
+    checked = report.groupBy(F.lit(0).alias("_all"), *by).agg(agree.alias("agree"))
+    classes = report.where(cell).groupBy(F.lit(0).alias("_all"), *by, "label").agg(F.sum("value").cast("bigint").alias("n"))
+    return classes.where("n > 0").join(checked, ["_all", *by]).drop("_all")
+
+
+def _facts_sql(select: str, **ctes: str) -> str:
+    """Rows of each true class in the rows that ``select`` gives (..., label)."""
+    return _sql(f"SELECT *, CAST(count(*) AS BIGINT) AS n, TRUE AS agree FROM ({select}) GROUP BY ALL", NARROW, **{**_LABELLED, **ctes})
+
+
 def _model_query(kind: str, label: str = "label2", **options) -> Query:
     def run(spark, sf_dir):
         df = _prepared(spark, sf_dir)
-        return models.evaluate_model(df, models.train(df, kind, label, **options), label)
+        return _facts(models.evaluate_model(df, models.train(df, kind, label, **options), label))
 
     return run
 
@@ -978,7 +995,7 @@ for _name, _kind, _label in (
     ("m11_forest_weighted", "rf_weighted", "label2"),
     ("m12_boosted_weighted", "gbt_weighted", "label2"),
 ):
-    _query(_name)(_model_query(_kind, _label))
+    _query(_name, _facts_sql(f"SELECT CAST({_label} AS DOUBLE) AS label FROM lab"))(_model_query(_kind, _label))
 
 
 @_query(
@@ -1009,21 +1026,43 @@ def m6_logistic_optimum(spark, sf_dir):
     return scored.groupBy("label").agg(F.count("*").alias("n")).withColumn("at_optimum", steepest < 1e-3)
 
 
-@_query("m7_holdout")
+@_query(
+    "m7_holdout",
+    _facts_sql(
+        f"SELECT CASE WHEN {_hash_sql('id', 11)} < 0.8::DOUBLE THEN 'training' ELSE 'validation' END AS part, CAST(label1 AS DOUBLE) AS label FROM lab"
+    ),
+)
 def m7_holdout(spark, sf_dir):
-    return learn.train_with_holdout(spark, _prepared_path(spark, sf_dir), by_unit=True)
+    return _facts(learn.train_with_holdout(spark, _prepared_path(spark, sf_dir), label=1, by_unit=True), "part")
 
 
-@_query("l2_coefficients")
+@_query(
+    "l2_coefficients",
+    _sql(
+        "SELECT DISTINCT CAST(label2 AS VARCHAR) AS label, feature, TRUE AS finite FROM lab,"
+        f" (SELECT unnest({['cycle', *NARROW.measures]}) AS feature)",
+        NARROW,
+        **_LABELLED,
+    ),
+)
 def l2_coefficients(spark, sf_dir):
+    """Each class has one finite coefficient for each feature."""
     df = _prepared(spark, sf_dir)
-    return models.coefficients(models.train(df, "lr_weighted", "label2"), spark, ["cycle", *NARROW.measures])
+    table = models.coefficients(models.train(df, "lr_weighted", "label2"), spark, ["cycle", *NARROW.measures])
+    return table.select("label", "feature", (F.abs("value") < float("inf")).alias("finite"))
 
 
-@_query("m13_score")
+@_query(
+    "m13_score",
+    _sql("SELECT id, cycle, CAST(label2 AS DOUBLE) AS label, TRUE AS likeliest FROM lab", NARROW, **_LABELLED),
+)
 def m13_score(spark, sf_dir):
+    """Each row gets the class with the largest probability."""
     df = _prepared(spark, sf_dir)
-    return models.score(df, models.train(df, "rf", "label2"), "label2").select("id", "cycle", "label", "prediction")
+    model = models.train(df, "rf", "label2")
+    p, names = vector_to_array("probability"), F.array(*[F.lit(float(x)) for x in model.stages[0].labels])
+    own = F.element_at(p, F.array_position(names, F.col("prediction")).cast("int"))
+    return models.score(df, model, "label2").select("id", "cycle", "label", (own == F.array_max(p)).alias("likeliest"))
 
 
 @_query(
@@ -1037,14 +1076,28 @@ def m13_score_complete(spark, sf_dir):
     return scored.select("id", "cycle", "label", F.col("prediction").isin(0.0, 1.0).alias("is_class"))
 
 
-@_query("m14_evaluate_saved")
+@_query("m14_evaluate_saved", _facts_sql("SELECT CAST(least(label2, 1) AS DOUBLE) AS label FROM lab"))
 def m14_evaluate_saved(spark, sf_dir):
     data, model = _prepared_path(spark, sf_dir), work_path(spark, "model")
     learn.train_model(spark, data, model, kind="rf")
-    return learn.evaluate_saved(spark, model, data, kind="RF", merged=True)
+    return _facts(learn.evaluate_saved(spark, model, data, kind="RF", merged=True))
+
+
+_GRID_SQL = " UNION ALL BY NAME ".join(
+    f"SELECT '{name}' AS dataset, '{target}' AS target, '{kind}' AS kind, CAST({target} AS DOUBLE) AS label FROM {table}"
+    for name, table in (("train", "lab"), ("cut", "cutlab"))
+    for target in ("label1", "label2")
+    for kind in ("lr", "rf")
+)
+_CUT_LABELLED = {
+    "truth": oracle.truth(),
+    "cut": oracle.truncated(),
+    "cutruled": _TEST_CTES["ruled"],
+    "cutlab": oracle.with_labels("cutruled"),
+}
 
 
-@_query("m15_grid")
+@_query("m15_grid", _facts_sql(_GRID_SQL, **_CUT_LABELLED))
 def m15_grid(spark, sf_dir):
     with_truth = prepare.label_steps(NARROW, fx.truth(spark, sf_dir))
     by_set = {
@@ -1056,7 +1109,7 @@ def m15_grid(spark, sf_dir):
         path = work_path(spark, f"grid-{name}")
         sinks.write_parquet(_scaled(table, NARROW), path)
         stored[name] = scans.read_prepared(spark, path)
-    return models.train_grid(stored, ["lr", "rf"])
+    return _facts(models.train_grid(stored, ["lr", "rf"]).withColumnRenamed("class", "label"), "dataset", "target", "kind")
 
 
 @_query(
@@ -1070,12 +1123,12 @@ def m16_implicit_factors(spark, sf_dir):
     return vectors.select("id", F.size("features").alias("rank"), finite.alias("finite"))
 
 
-@_query("m17_libsvm_metrics")
+@_query("m17_libsvm_metrics", _sql("SELECT DISTINCT CAST(label2 AS DOUBLE) AS label, TRUE AS agree FROM lab", NARROW, **_LABELLED))
 def m17_libsvm_metrics(spark, sf_dir):
     path = work_path(spark, "libsvm")
     df = _prepared(spark, sf_dir)
     sinks.write_libsvm(df, path, "label2", "scaledFeatures")
-    return learn.libsvm_metrics(spark, path, 1 + len(NARROW.measures))
+    return _facts(learn.libsvm_metrics(spark, path, 1 + len(NARROW.measures))).drop("n")
 
 
 # ---------------------------------------------------------------- jobs
@@ -1094,19 +1147,48 @@ def _without_mode(df: DataFrame) -> DataFrame:
     return _rounded_doubles(df.drop("operationmode"))
 
 
-def _prepared_sql(extra: dict, more=(), partition="id", table="lab") -> str:
-    sensors = SENSOR_NAMES
-    first, second = oracle.rolling(table, sensors, partition=partition)
-    names = [*SETTING_NAMES, *sensors, *MEAN_NAMES, *DEV_NAMES]
-    keep = ", ".join([*more, "id", "cycle", *_PREPARED_COLUMNS])
-    return _sql(f"SELECT {keep}, {oracle.rounded(names)} FROM _devs", SPEC, **extra, _means=first, _devs=second)
+_MEASURED = [*SETTING_NAMES, *SENSOR_NAMES, *MEAN_NAMES, *DEV_NAMES]
+
+
+def _prepared_sql(extra: dict, more=(), partition="id", table="lab", fitted: dict | None = None) -> str:
+    """The prepared table and its scaled features but the mode's; ``fitted`` are CTEs up to ``_fit``, the rows that give the ranges."""
+    first, second = oracle.rolling(table, SENSOR_NAMES, partition=partition)
+    scaled = ["cycle", *_MEASURED]
+    keep = ", ".join([*(f"_devs.{c}" for c in more), "id", "cycle", *_PREPARED_COLUMNS])
+    ranges = ", ".join([*more, *(f"min({c}) AS {c}_min, max({c}) AS {c}_max" for c in scaled)])
+    slots = ", ".join(
+        f"round(CASE WHEN {c}_max = {c}_min THEN 0.5 ELSE ({c} - {c}_min) / ({c}_max - {c}_min) END, 6) AS scaled_{c}" for c in scaled
+    )
+    join = " AND ".join(["TRUE", *(f"_devs.{c} = _ranges.{c}" for c in more)])
+    fit = fitted or {"_fit": "SELECT * FROM _devs"}
+    return _sql(
+        f"SELECT {keep}, {oracle.rounded(_MEASURED)}, {slots} FROM _devs JOIN _ranges ON {join}",
+        SPEC, **extra, _means=first, _devs=second, **fit, _ranges=f"SELECT {ranges} FROM _fit{' GROUP BY ALL' if more else ''}",
+    )
+
+
+def _train_fit() -> dict:
+    """CTEs of the training table, whose ranges a test table is scaled with."""
+    first, second = oracle.rolling("trainlab", SENSOR_NAMES)
+    return {
+        "trainruled": oracle.with_rul(),
+        "trainlab": oracle.with_labels("trainruled"),
+        "_trainmeans": first,
+        "_fit": second.replace("_means", "_trainmeans"),
+    }
+
+
+def _with_slots(df: DataFrame) -> DataFrame:
+    """A scaled table with one column for each feature but the mode, whose number is arbitrary."""
+    names = ["cycle", *SETTING_NAMES, *SENSOR_NAMES, "operationmode", *MEAN_NAMES, *DEV_NAMES]
+    return _without_mode(features.vector_columns(df, "scaledFeatures", names).drop("scaled_operationmode"))
 
 
 @_query("job_prepare_train", _prepared_sql(_LABELLED))
 def job_prepare_train(spark, sf_dir):
     text = _staged_text(spark, fx.telemetry(spark, sf_dir)[0], "train")
     done = prepare.prepare_train(spark, text, work_path(spark, "job-train"), write_csv=False)
-    return _without_mode(scans.read_prepared(spark, done.unscaled))
+    return _with_slots(scans.read_prepared(spark, done.scaled))
 
 
 #: Every third unit misses a sensor in its last cycle, and some rows have no unit.
@@ -1125,7 +1207,7 @@ def job_prepare_incomplete(spark, sf_dir):
     lost = df.where("cycle = 1").withColumn("id", F.lit(None).cast("int")).drop("rul")
     text = _staged_text(spark, broken.unionByName(lost), "incomplete")
     done = prepare.prepare_train(spark, text, work_path(spark, "job-incomplete"), write_csv=False)
-    return _without_mode(scans.read_prepared(spark, done.unscaled))
+    return _with_slots(scans.read_prepared(spark, done.scaled))
 
 
 @_query("job_prepare_test", _prepared_sql(_TEST_CTES))
@@ -1133,7 +1215,19 @@ def job_prepare_test(spark, sf_dir):
     text = _staged_text(spark, fx.cut(spark, sf_dir), "test")
     truth = _staged_text(spark, fx.truth(spark, sf_dir), "truth")
     done = prepare.prepare_test(spark, text, truth, work_path(spark, "job-test"))
-    return _without_mode(scans.read_prepared(spark, done.unscaled))
+    return _with_slots(scans.read_prepared(spark, done.scaled))
+
+
+@_query("job_prepare_test_fitted", _prepared_sql(_TEST_CTES, fitted=_train_fit()))
+def job_prepare_test_fitted(spark, sf_dir):
+    """A test table scaled with a training run that was saved and is read from its path."""
+    train = _staged_text(spark, fx.telemetry(spark, sf_dir)[0], "train")
+    text = _staged_text(spark, fx.cut(spark, sf_dir), "test")
+    truth = _staged_text(spark, fx.truth(spark, sf_dir), "truth")
+    saved = work_path(spark, "fitted")
+    prepare.prepare_train(spark, train, work_path(spark, "job-train"), write_csv=False).save(saved)
+    done = prepare.prepare_test(spark, text, truth, work_path(spark, "job-test"), saved)
+    return _with_slots(scans.read_prepared(spark, done.scaled))
 
 
 @_query("job_prepare_sets", _prepared_sql(_SETS_CTE, ("dataset",), "dataset, id"))
@@ -1144,7 +1238,7 @@ def job_prepare_sets(spark, sf_dir):
         n: _staged_text(spark, df.where(F.col("dataset") == n).drop("dataset"), n) for n in names
     }
     output = prepare.prepare_sets(spark, inputs, work_path(spark, "job-sets"))
-    return _without_mode(scans.read_prepared(spark, output).drop("scaledFeatures"))
+    return _with_slots(scans.read_prepared(spark, output))
 
 
 @_query(
@@ -1209,6 +1303,15 @@ def job_frame_features(spark, sf_dir):
     return _rounded_doubles(both.select("part", "id", "cycle", "rul", "label1", "label2", *_FRAME_FEATURES))
 
 
-@_query("job_frame_study")
+_STUDY_SQL = " UNION ALL BY NAME ".join(
+    f"SELECT '{kind}' AS kind, '{target}' AS target, '{part}' AS part, CAST({target} AS DOUBLE) AS label FROM {table}"
+    for kind, target in (("lr_weighted", "label2"), ("lr_weighted", "label1"), ("rf_weighted", "label2"), ("gbt_weighted", "label2"))
+    for part, table in (("train", "lab"), ("test", "cutlab"))
+)
+
+
+@_query("job_frame_study", _facts_sql(_STUDY_SQL, **_CUT_LABELLED).replace(", TRUE AS agree", ""))
 def job_frame_study(spark, sf_dir):
-    return learn.frame_study(spark, *_frame_texts(spark, sf_dir), truth_per_file=False)
+    """Rows of each true class in the confusion cells of each model and part."""
+    cells = learn.frame_study(spark, *_frame_texts(spark, sf_dir), truth_per_file=False)
+    return cells.groupBy("kind", "target", "part", "label").agg(F.sum("n").alias("n")).where("n > 0")

@@ -54,11 +54,27 @@ class Prepared:
     rows_read: int | None = None
     rows_kept: int | None = None
 
+    def save(self, path: str) -> None:
+        """Keep the fitted stages, for a preparation in another session (``load_prepared``)."""
+        spark = SparkSession.active()
+        self.modes.write().overwrite().save(f"{path}/modes")
+        self.scaler.write().overwrite().save(f"{path}/scaler")
+        facts = (self.scaled, self.unscaled, self.mode_feature, self.rows_read, self.rows_kept)
+        table = spark.createDataFrame([facts], "scaled STRING, unscaled STRING, mode_feature STRING, rows_read BIGINT, rows_kept BIGINT")
+        table.coalesce(1).write.mode("overwrite").json(f"{path}/facts")
+
     @property
     def rows_rejected(self) -> int | None:
         return None if self.rows_read is None else self.rows_read - self.rows_kept
 
 
+def load_prepared(spark: SparkSession, path: str) -> Prepared:
+    """What ``Prepared.save`` wrote."""
+    facts = spark.read.schema("scaled STRING, unscaled STRING, mode_feature STRING, rows_read BIGINT, rows_kept BIGINT").json(f"{path}/facts").first()
+    modes, scaler = (PipelineModel.load(f"{path}/{stage}") for stage in ("modes", "scaler"))
+    return Prepared(facts.scaled, facts.unscaled, modes, scaler, facts.mode_feature, facts.rows_read, facts.rows_kept)
+
+
 def _with_mode_feature(df: DataFrame, mode_feature: str) -> tuple[DataFrame, list[str]]:
     """The table with the operation mode as wanted, and its feature columns."""
     if mode_feature == "one_hot":
@@ -170,7 +186,7 @@ def prepare_test(
     input: str,
     truth: str,
     output: str,
-    fitted: Prepared | None = None,
+    fitted: Prepared | str | None = None,
     spec: TelemetrySpec = TURBOFAN,
     write_csv: bool = False,
     seed: int | None = None,
@@ -178,9 +194,12 @@ def prepare_test(
 ) -> Prepared:
     """Truncated telemetry + truth -> prepared table.
 
-    Give the ``fitted`` training run to use its modes and scale; without it both are fitted anew on
-    the test table, and their numbers do not compare with the training table's.
+    Give the ``fitted`` training run, or the path it was saved to, to use its modes and scale;
+    without it both are fitted anew on the test table, and their numbers do not compare with the
+    training table's.
     """
+    if isinstance(fitted, str):
+        fitted = load_prepared(spark, fitted)
     typed, path = _typed(spark, read_telemetry(spark, input, spec))
     try:
         df = reject_incomplete(typed, spec.key)
@@ -224,24 +243,29 @@ def prepare_sets(
     truths: Mapping[str, str] | None = None,
     spec: TelemetrySpec = TURBOFAN,
     seed: int | None = None,
+    fitted: Mapping[str, Prepared | str] | None = None,
 ) -> str:
     """Several data sets at once, written by ``dataset``; units are keyed by (dataset, id).
 
-    Modes and scale are fitted per set, as separate runs would; life, labels and rolling columns
-    are computed for all sets together.
+    Modes and scale are fitted per set, as separate runs would, or taken from the training run of
+    the same name in ``fitted`` (a run or its saved path; its mode must be a number feature); life,
+    labels and rolling columns are computed for all sets together.
     """
+    runs = {n: load_prepared(spark, run) if isinstance(run, str) else run for n, run in (fitted or {}).items()}
+    if any(run.mode_feature != "number" for run in runs.values()):
+        raise ValueError("prepare_sets needs training runs with the mode as a number")
     keyed = spec.with_dataset()
     typed, path = _typed(spark, read_telemetry_sets(spark, inputs, spec))
     df = reject_incomplete(typed, keyed.key)
 
     def each_set(table, step):
         return reduce(
-            DataFrame.unionByName, [step(table.where(F.col("dataset") == name)) for name in inputs]
+            DataFrame.unionByName, [step(table.where(F.col("dataset") == name), runs.get(name)) for name in inputs]
         )
 
     # a row that misses a measure keeps its place in the unit's life, without a mode, until life is known
     whole = reject_incomplete(df, spec.measures)
-    modes = each_set(whole, lambda part: add_modes(part, fit_modes(part, spec, seed=seed)))
+    modes = each_set(whole, lambda part, run: add_modes(part, run.modes if run else fit_modes(part, spec, seed=seed)))
     rest = df.where(~reduce(and_, [F.col(c).isNotNull() for c in spec.measures]))
     with_modes = modes.unionByName(rest, allowMissingColumns=True)
     truth = None
@@ -258,7 +282,7 @@ def prepare_sets(
         delete_path(spark, path)
     table = read_prepared(spark, f"{output}_unscaled")
     columns = feature_columns(table)
-    scaled = each_set(table, lambda part: apply_scaler(part, fit_scaler(part, columns)))
+    scaled = each_set(table, lambda part, run: apply_scaler(part, run.scaler if run else fit_scaler(part, columns)))
     write_parquet(scaled, output, partition_by=["dataset"])
     return output
 
