@@ -415,11 +415,14 @@ def test_lines_leave_whole_documents(spark):
     assert linededup.without_repeated_lines(clashing(spark, texts).where("false")).count() == 0
 
 
-def test_likely_misses_no_similar_pair():
+def test_alike_pairs_are_those_of_the_sets():
     rng = random.Random(12)
-    lines = [sentence(rng, 20) for _ in range(50)]
-    lines += [x.replace("a", "b", rng.randint(0, 4)) for x in lines] + ["ab", "ab", ""]
-    n = len(lines)
-    x, y = (np.array(v) for v in zip(*((i, j) for i in range(n) for j in range(i))))
-    likely = linededup.likely(lines, x, y, 0.8)
-    assert all(likely[k] for k in range(len(x)) if linededup.alike(lines[x[k]], lines[y[k]]))
+    lines = [sentence(rng, 20) for _ in range(40)]
+    lines += [x.replace("a", "b", rng.randint(0, 4)) for x in lines] + ["ab", "AB", "", "ab" + "\0" * 6, "abcdefg", "abcdefgh", "x\ud800abcdefgh"]
+    for more in ([], ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(60)) for _ in range(60)]):  # small and large alphabets
+        all_lines = lines + more + [x[:-2] + "zz" for x in more]
+        n = len(all_lines)
+        x, y = (np.array(v) for v in zip(*((i, j) for i in range(n) for j in range(i))))
+        found = linededup.alike_pairs(all_lines, x, y)
+        assert [bool(k) for k in found] == [linededup.alike(all_lines[i], all_lines[j]) for i, j in zip(x, y)]
+    assert len(linededup.alike_pairs([], np.array([], int), np.array([], int))) == 0

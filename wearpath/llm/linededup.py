@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,31 +79,53 @@ def band_keys(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: int
     return keys.view(np.int64)
 
 
-def likely(lines: list[str], x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs (lines[x], lines[y]) may reach ``threshold``: the Jaccard similarity of their shingles' 44-bit hashes, less a margin.
+def _shingle_codes(normal: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the shingles of all lines, equal only for equal shingles, line after line and repeats included; and how many each line has."""
+    sizes = np.array([max(len(t), k) for t in normal])
+    code = np.frombuffer("".join(t if len(t) >= k else t.ljust(k) for t in normal).encode("utf-32-le", "surrogatepass"), np.uint32)
+    known = np.zeros(int(code.max()) + 1, bool)
+    known[code] = True
+    code = np.cumsum(known, dtype=np.uint64)[code]  # from 1, as 0 fills up short lines
+    ends = np.cumsum(sizes)
+    for i in np.nonzero(sizes == k)[0]:
+        code[ends[i] - k + len(normal[i]) : ends[i]] = 0
+    base, width = int(code.max()) + 1, 1
+    while width < k:  # doubling: a shingle of 2w is two of w; k is a power of two
+        if base > 1 << 32:
+            code = np.unique(code, return_inverse=True)[1].astype(np.uint64)
+            base = int(code.max()) + 1
+        code = code[:-width] * np.uint64(base) + code[width:]
+        base, width = base * base, 2 * width
+    valid = np.ones(ends[-1], bool)
+    for back in range(1, k):
+        valid[ends - back] = False
+    return code[valid[: len(code)]], sizes - k + 1
+
+
+def _shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """For each line the sorted numbers of its different shingles; they hold for this call only."""
+    code, counts = _shingle_codes(list(map(_normal, lines)))
+    out = []
+    for one in np.split(code, np.cumsum(counts)[:-1]):
+        one.sort()
+        new = np.ones(len(one), bool)
+        np.not_equal(one[1:], one[:-1], out=new[1:])
+        out.append(one[new])
+    return out
 
-    All pairs at once by sorting (pair, hash); hashes that collide by chance move the
-    similarity by far less than the margin.
-    """
-    h, counts = _shingle_hashes(list(map(_normal, lines)))
-    h >>= np.uint64(20)
-    starts = np.concatenate([[0], np.cumsum(counts)])
+
+def alike_pairs(lines: list[str], x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """Which pairs (lines[x], lines[y]) have shingle sets of at least the given Jaccard similarity."""
     out = np.zeros(len(x), bool)
-    size, lo = counts[x] + counts[y], 0
-    while lo < len(x):
-        hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo:]), 1_000_000)))
-        distinct = []
-        for side in (x[lo:hi], y[lo:hi]):
-            n = counts[side]
-            at = np.arange(n.sum()) + np.repeat(starts[side] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-            key = np.sort((np.repeat(np.arange(len(side)), n).astype(np.uint64) << np.uint64(44)) | h[at])
-            distinct.append(key[np.concatenate([[True], key[1:] != key[:-1]])])
-        both = np.sort(np.concatenate(distinct))
-        shared = both[1:][both[1:] == both[:-1]]
-        count = lambda key: np.bincount((key >> np.uint64(44)).astype(np.int64), minlength=hi - lo)  # noqa: B023, E731
-        common = count(shared)
-        out[lo:hi] = common >= (threshold - 0.01) * (count(distinct[0]) + count(distinct[1]) - common)
-        lo = hi
+    sets = _shingle_sets(lines) if lines else []
+    for p, (i, j) in enumerate(zip(x.tolist(), y.tolist())):
+        a, b = sets[i], sets[j]
+        least, most = sorted((len(a), len(b)))
+        if least >= threshold * most:
+            both = np.concatenate((a, b))
+            both.sort()
+            common = int(np.count_nonzero(both[1:] == both[:-1]))
+            out[p] = common >= threshold * (least + most - common)
     return out
 
 
@@ -137,13 +158,13 @@ def occurrences(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
                             at.append(i)
                             pos.append(p)
                             lids.append(lid)
-                keys: list = [None] * len(at)
-                if seen:
-                    for row, found in zip(first, band_keys(list(seen.values()))):
-                        keys[row] = found
+                keys = band_keys(list(seen.values())) if seen else np.zeros((0, BANDS), np.int64)
+                new = np.zeros(len(at), bool)
+                new[first] = True
+                offsets = pa.array(np.concatenate([[0], np.cumsum(new)]) * BANDS, pa.int32(), mask=np.append(~new, False))
                 take = pa.array(at, pa.int64())
                 yield pa.record_batch(
-                    [part.column("id").take(take), part.column("th").take(take), pa.array(pos, pa.int32()), pa.array(lids, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    [part.column("id").take(take), part.column("th").take(take), pa.array(pos, pa.int32()), pa.array(lids, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
                     names=["id", "th", "pos", "lid", "keys"],
                 )
 
@@ -193,12 +214,11 @@ def similar(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
     """The pairs (a, b) of ``pairs`` whose lines' shingle sets have at least the given Jaccard similarity."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
-            keep = likely(x + y, np.arange(len(x)), np.arange(len(x)) + len(x), threshold) if x else np.zeros(0, bool)
-            for i in np.nonzero(keep)[0]:
-                keep[i] = alike(x[i], y[i], threshold)
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for batch in batches:
+            for b in chunks(batch, "x"):
+                at: dict[str, int] = {}  # a line is often in many pairs
+                x, y = (np.array([at.setdefault(line, len(at)) for line in b.column(c).to_pylist()], int) for c in "xy")
+                yield b.select(["a", "b"]).filter(pa.array(alike_pairs(list(at), x, y, threshold), pa.bool_()))
 
     met = (
         pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a")
@@ -232,23 +252,24 @@ def _crowded_links(lines: list[str], comps: list[bytes], first: int, threshold:
 
     Shingle sets become bit sets over the shingles that two lines have at least.
     """
-    sets = [shingles(x) for x in lines]
-    number: dict[str, int] = {}
-    for s, n in Counter(x for one in sets for x in one).items():
-        if n > 1:
-            number[s] = len(number)
-    bits = []
-    for one in sets:
-        flags = np.zeros(len(number) or 1, np.uint8)
-        flags[[number[s] for s in one if s in number]] = 1
+    sets = _shingle_sets(lines)
+    sizes = [len(one) for one in sets]
+    _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[number]
+    shared, groups, bits, at = int((times > 1).sum()), _Groups(), [], 0
+    for n in sizes:
+        flags = np.zeros(shared, np.uint8)
+        found = place[at : at + n]
+        flags[found[found >= 0]] = 1
         bits.append(int.from_bytes(np.packbits(flags)))
-    sizes, groups = [len(one) for one in sets], _Groups()
+        at += n
     for i in range(first or len(lines)):
-        bi, ni = bits[i], sizes[i]
+        bi, ni, ci = bits[i], sizes[i], comps[i]
         for j in range(first or i + 1, len(lines)):
-            both = (bi & bits[j]).bit_count()
-            if both >= threshold * (ni + sizes[j] - both) and groups.join(comps[i], comps[j]):
-                yield i, j
+            if ci != comps[j]:
+                both = (bi & bits[j]).bit_count()
+                if both >= threshold * (ni + sizes[j] - both) and groups.join(ci, comps[j]):
+                    yield i, j
 
 
 def compare_blocks(rows: DataFrame, bucket: list[str], texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -280,22 +301,19 @@ def compare_blocks(rows: DataFrame, bucket: list[str], texts: DataFrame, thresho
             return [(group[i]["id"], group[j]["id"]) for i, j in found]
 
         def gathered() -> list[tuple[bytes, bytes]]:
-            rows = [r for group in small for r in group]
-            x, y, at = [], [], 0
+            number: dict[str, int] = {}  # a line is often in several groups
+            x, y, ids = [], [], []
             for group in small:
-                for j in range(len(group)):
-                    x += [at + i for i in range(j) if group[i]["c"] != group[j]["c"]]
-                    y += [at + j] * (len(x) - len(y))
-                at += len(group)
+                at = [number.setdefault(r["line"], len(number)) for r in group]
+                for j, one in enumerate(group):
+                    for i in range(j):
+                        if group[i]["c"] != one["c"]:
+                            x.append(at[i])
+                            y.append(at[j])
+                            ids.append((group[i]["id"], one["id"]))
             small.clear()
-            if not x:
-                return []
-            lines = [r["line"] for r in rows]
-            return [
-                (rows[x[k]]["id"], rows[y[k]]["id"])
-                for k in np.nonzero(likely(lines, np.array(x), np.array(y), threshold))[0]
-                if alike(lines[x[k]], lines[y[k]], threshold)
-            ]
+            keep = alike_pairs(list(number), np.array(x, int), np.array(y, int), threshold) if ids else ()
+            return [pair for pair, near in zip(ids, keep) if near]
 
         def packed(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
             a, b = zip(*found) if found else ((), ())
