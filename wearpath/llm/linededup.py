@@ -18,6 +18,8 @@ from wearpath.llm.graph import link_buckets, shared_buckets
 SHINGLE, THRESHOLD, BANDS, ROWS = 8, 0.8, 8, 3
 #: Bits of the filter for the lines whose texts are needed.
 FILTER_BITS = 1 << 25
+#: Lines whose signatures are computed at once; their hashes stay in a processor's cache.
+SLICE = 500
 #: Lines of one bucket that a task compares with as many others at once.
 BLOCK = 256
 
@@ -63,6 +65,11 @@ def _shingle_hashes(normal: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np
 
 def band_keys(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """(lines, bands) keys; equal shingle sets have equal keys."""
+    parts = [_band_keys(lines[i : i + SLICE], k, bands, rows) for i in range(0, len(lines), SLICE)]
+    return np.concatenate(parts) if parts else np.zeros((0, bands), np.int64)
+
+
+def _band_keys(lines: list[str], k: int, bands: int, rows: int) -> np.ndarray:
     h, counts = _shingle_hashes(list(map(_normal, lines)), k)
     h32 = (h >> np.uint64(32)).astype(np.uint32)
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
@@ -158,7 +165,7 @@ def occurrences(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
                             at.append(i)
                             pos.append(p)
                             lids.append(lid)
-                keys = band_keys(list(seen.values())) if seen else np.zeros((0, BANDS), np.int64)
+                keys = band_keys(list(seen.values()))
                 new = np.zeros(len(at), bool)
                 new[first] = True
                 offsets = pa.array(np.concatenate([[0], np.cumsum(new)]) * BANDS, pa.int32(), mask=np.append(~new, False))
