@@ -68,13 +68,14 @@ def _mark(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
 
 
-def shared_buckets(rows: DataFrame, bucket: list[str]) -> DataFrame:
+def shared_buckets(rows: DataFrame, bucket: list[str], spread: bool = True) -> DataFrame:
     """Rows (bucket..., id, leader) of buckets with at least two ids: each id but the leader once.
 
     ``rows`` may repeat. One shuffle; the window streams over its sorted rows, so a hot
-    bucket takes no memory. The same ids have different leaders in different buckets.
+    bucket takes no memory. The same ids have different leaders in different buckets, or with
+    ``spread=False`` the same leader wherever it is in the bucket.
     """
-    order = Window.partitionBy(*bucket).orderBy(F.xxhash64("id", *bucket), "id")
+    order = Window.partitionBy(*bucket).orderBy(F.xxhash64("id", *(bucket if spread else [])), "id")
     first = F.first("id").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
         rows.withColumn("leader", first)
@@ -102,6 +103,7 @@ def link_buckets(
     bucket: list[str],
     verify: Callable[[DataFrame], DataFrame],
     compare: Callable[[DataFrame, list[str]], DataFrame] | None = None,
+    first_pairs: DataFrame | None = None,
 ) -> DataFrame:
     """Components (id, component) of all verified pairs that share a bucket.
 
@@ -110,7 +112,8 @@ def link_buckets(
     c) and returns links (a, b) that connect whatever the true pairs with different ``c`` in
     a bucket connect; by default it joins the rows and verifies.
 
-    1. Each member is compared with its bucket's leader, and components are formed.
+    1. Each member is compared with its bucket's leader, or ``first_pairs`` (a, b) instead,
+       and components are formed.
     2. Buckets whose members are in one component are done: further pairs would change
        nothing. In the others new leaders are compared, until the pairs between different
        components are few or the rounds are used up.
@@ -119,7 +122,7 @@ def link_buckets(
     The components are those of comparing all pairs of all buckets. Ids without a link have
     no row.
     """
-    pairs = members.select(F.col("id").alias("a"), F.col("leader").alias("b"))
+    pairs = members.select(F.col("id").alias("a"), F.col("leader").alias("b")) if first_pairs is None else first_pairs
     edges = stored(verify(pairs.distinct()), "links")
     found = stored(components(edges), "components")
     leaders = members.select(*bucket, F.col("leader").alias("id")).distinct()

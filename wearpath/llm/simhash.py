@@ -19,6 +19,14 @@ _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _SLICE = 200_000
 
 
+def word_shingles(text: bytes | None, width: int) -> Iterator[bytes]:
+    """The shingles of a text in order, words lower-cased; a text of fewer words is one shingle, a wordless one has none."""
+    words = _WORDS.findall(text.lower()) if text else []  # bytes.lower() touches A-Z only
+    if len(words) < width:
+        return iter([b" ".join(words)] if words else [])
+    return map(b" ".join, zip(*(words[i:] for i in range(width))))
+
+
 def fingerprint(text: bytes | None, width: int = 4) -> int:
     """The fingerprint of one UTF-8 text; zero if it has no word."""
     words = _WORDS.findall(text.lower()) if text else []  # bytes.lower() touches A-Z only
