@@ -89,6 +89,14 @@ def test_quality_keeps_prose_and_drops_furniture(spark):
     assert kept.columns == [f.split()[0] for f in CLASH.split(", ")] and {(r["doc_id"], r["text"], r["n_chars"]) for r in kept.collect()} == {(0, good, len(good)), (1, good, len(good))}
 
 
+def test_menu_items_apart_by_blank_lines_fail():
+    rng = random.Random(4)
+    prose = sentence(rng, 60)
+    kept, failed = quality.clean_lines(f"Home\n\nAbout\n \t\n\nContact\n\n{prose}\n\nA heading\n\n{prose}", quality.LineRules())
+    assert failed == {"punctuation": 3}
+    assert [x for x in kept if x.strip()] == [prose, "A heading", prose]
+
+
 # 2 urls
 
 

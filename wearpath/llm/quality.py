@@ -34,7 +34,7 @@ BOILERPLATE = (
 class LineRules:
     """Limits of the line rules and of the loss a document may have."""
 
-    #: A line of at most this many words and without sentence end is navigation, if a neighbour is one too or it has a separator.
+    #: A line of at most this many words and without sentence end is navigation, if the nearest line with words before or after is one too or it has a separator.
     navigation_words: int = 6
     #: Shares of a line's words that are menu separators, or that hold a symbol, from which it fails.
     separator_share: float = 0.2
@@ -81,10 +81,13 @@ def clean_lines(text: str, rules: LineRules) -> tuple[list[str], Counter]:
         0 < len(w) <= rules.navigation_words and line.rstrip()[-1:] not in _ENDS and not _BULLET.match(line)
         for line, w in zip(lines, split)
     ]
+    worded = [i for i, w in enumerate(split) if w]
+    beside = {i for i, j in zip(worded, worded[1:]) if short[i] and short[j]}
+    beside |= {j for i, j in zip(worded, worded[1:]) if i in beside and short[j]}
     kept, failed = [], Counter()
     for i, (line, words) in enumerate(zip(lines, split)):
         why = line_failure(line, words, rules) if words else None
-        if not why and short[i] and (any(short[max(0, i - 1) : i]) or any(short[i + 1 : i + 2])):
+        if not why and i in beside:
             why = "punctuation"
         if why:
             failed[why] += 1
