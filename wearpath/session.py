@@ -53,10 +53,21 @@ def _local_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"wearpath-{application}-")
 
 
+@cache
+def _own_folder(spark: SparkSession, application: str) -> str:
+    """This application's part of the shared folder; the driver's file system deletes it when it closes, also after ``spark.stop()``."""
+    path = f"{shared_folder(spark)}/wearpath/{application}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(place)
+    store.deleteOnExit(place)
+    return path
+
+
 def keep_checkpoints(spark: SparkSession) -> None:
     """Give iterative fits a folder to cut their lineage in, if the session has none yet."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+        spark.sparkContext.setCheckpointDir(work_path(spark, "checkpoints"))
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -66,5 +77,5 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/wearpath/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, deleted when the driver's process ends."""
+    return f"{_own_folder(spark, spark.sparkContext.applicationId)}/{name}-{uuid.uuid4().hex}"
