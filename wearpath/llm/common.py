@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
+import weakref
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearpath.session import work_path
+from wearpath.session import delete_path, work_path
 
 #: Bytes of text that a task turns into Python objects at once.
 CHUNK_BYTES = 4_000_000
 #: Rows of one Arrow batch; texts may be long.
-BATCH_ROWS = "500"
+BATCH_ROWS = 500
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_BEFORE: list[tuple[SparkSession, str]] = []
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -25,43 +28,55 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = work_path(spark, name)
     _WRITTEN.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
 
 
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by ``stored`` that nothing reads any more."""
-    spark = df.sparkSession
-    for entry in [e for e in _WRITTEN if any(e[1].rsplit("/", 1)[-1] in f for f in df.inputFiles()[:1])]:
-        _delete(*entry)
+    if (path := _PATHS.pop(df, None)) and (entry := (df.sparkSession, path)) in _WRITTEN:
         _WRITTEN.remove(entry)
+        delete_path(*entry)
 
 
-def release() -> None:
+def release(tables: list[tuple[SparkSession, str]] = _WRITTEN) -> None:
     """Delete every stored table; results that are computed from them must have been written before."""
-    while _WRITTEN:
-        _delete(*_WRITTEN.pop())
+    while tables:
+        spark, path = tables.pop()
+        if (spark, path) in _WRITTEN:
+            _WRITTEN.remove((spark, path))
+        if spark.sparkContext._jsc is not None:  # else its whole folder goes when the driver ends
+            delete_path(spark, path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    except Exception:  # noqa: BLE001  the session has ended, and with it the work folder's owner
-        pass
+def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage whose work tables go when the next stage begins: then its result has been written."""
 
+    @wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(_BEFORE)
+        known = set(_WRITTEN)
+        out = work(spark, docs, sf_dir)
+        _BEFORE.extend(entry for entry in _WRITTEN if entry not in known)
+        return out
 
-atexit.register(release)
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches small enough for long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return df.mapInArrow(work, schema)
+def map_batches(
+    df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS
+) -> DataFrame:
+    """``mapInArrow`` with slices small enough for long texts; Spark itself sends at most 64 MB at once."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return work(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+
+    return df.mapInArrow(sliced, schema)
 
 
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

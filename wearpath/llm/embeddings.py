@@ -265,8 +265,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_column: str = "
                 a, c, d = zip(*rows) if rows else ((), (), ())
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.int64())], names=["a", "b", "links"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    found = stored(met.mapInArrow(compare, "a bigint, b bigint, links bigint"), "vector_links")
+    found = stored(map_batches(met, compare, "a bigint, b bigint, links bigint", rows=8), "vector_links")
     joined = components(found.where("b is not null").select("a", "b"))
     counts = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     per_node = (
