@@ -9,7 +9,7 @@ import corpus_pipeline
 from wearpath.llm import quality
 from wearpath.llm.queries import ORACLES, QUERIES
 
-TABLES = "documents embeddings pages labels conversations".split()
+TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")

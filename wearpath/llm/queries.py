@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearpath.llm import bpe, chat, embeddings, langid, linededup, packing, quality, simhash, toxicity, urls
+from wearpath.llm import bpe, chat, embeddings, langid, lexical, linededup, packing, quality, simhash, toxicity, urls
 from wearpath.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.without_repeated_lines(docs)
 
 
+@query
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 ORACLES["op2_url_filters"] = urls.judge_sql()
 ORACLES["op5_embedding_near_dedup"] = embeddings.SQL
 ORACLES["op8_chat_formatting"] = chat.SQL
+ORACLES["op12_ranked_lexical_search"] = lexical.SQL
