@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearpath.llm import bpe, chat, embeddings, langid, lexical, linededup, packing, quality, simhash, toxicity, urls
+from wearpath.llm import bpe, chat, embeddings, langid, lexical, linededup, packing, quality, simhash, toxicity, urls, warc
 from wearpath.llm.common import table
+from wearpath.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,7 +97,13 @@ def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), work_path(spark, "warc"))
+
+
 ORACLES["op2_url_filters"] = urls.judge_sql()
 ORACLES["op5_embedding_near_dedup"] = embeddings.SQL
 ORACLES["op8_chat_formatting"] = chat.SQL
 ORACLES["op12_ranked_lexical_search"] = lexical.SQL
+ORACLES["op13_warc"] = warc.SQL
