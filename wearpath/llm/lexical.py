@@ -128,10 +128,11 @@ def best(found: pa.Table, k: int) -> pa.Table:
 def _candidates(docs: DataFrame, block: Items, k: int, schema: str) -> DataFrame:
     """Each task's ``k`` best documents of every item: (item, score, id)."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
+    cells, most = CELLS, CANDIDATES
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        step = max(1, CELLS // max(1, len(own.ids)))
+        step = max(1, cells // max(1, len(own.ids)))
         floor = np.ones(len(own.ids), np.int64)  # what a document needs to be among the best
         held: list[pa.Table] = []
         for batch in batches:
@@ -141,7 +142,7 @@ def _candidates(docs: DataFrame, block: Items, k: int, schema: str) -> DataFrame
                     table = scores(own, list(_texts(some)))
                     row, item = np.nonzero(table >= floor)
                     held.append(pa.table({"item": item, "score": table[row, item], "id": some.column("id").take(pa.array(row))}))
-                    if sum(map(len, held)) > CANDIDATES:
+                    if sum(map(len, held)) > most:
                         held = [best(pa.concat_tables(held), k)]
                         at, score = held[0]["item"].to_numpy(), held[0]["score"].to_numpy()
                         full = np.nonzero(np.bincount(at, minlength=len(floor)) == k)[0]

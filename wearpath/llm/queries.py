@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearpath.llm import bpe, chat, embeddings, langid, lexical, linededup, packing, quality, simhash, toxicity, urls, warc
+from wearpath.llm import alignment, bpe, chat, embeddings, langid, lexical, linededup, packing, quality, simhash, toxicity, urls, warc
 from wearpath.llm.common import table
 from wearpath.session import work_path
 
@@ -92,6 +92,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.without_repeated_lines(docs)
 
 
+@query
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"))
+    return alignment.alignments(table(spark, sf_dir, "documents"), alignment.Tokenizers.read(*files, public_tokenizers.PATTERN))
+
+
 @query
 def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
