@@ -96,6 +96,18 @@ def test_crowded_groups_count_the_same_links(monkeypatch, both):
     assert [sum(r.values()) for r in found[0][2][0]] == found[0][1]["n_links"]
 
 
+def test_long_texts_are_aligned_in_pieces(both):
+    for text in (t for t in texts_of(random.Random(2)) if t):
+        place, columns = alignment.align([text], both.open())
+        found = alignment.align_long(text, both.open(), size=5)
+        if not len(place):
+            assert found is None
+            continue
+        assert [found[c][0] for c in alignment._COUNTS] == [columns[c][0].as_py() for c in alignment._COUNTS]
+        assert found["groups_sha256"] == [hashlib.sha256(columns["groups"][0].as_buffer()).hexdigest()]
+        assert dict(zip(found["pairs"][0], found["times"][0])) == dict(zip(columns["pairs"][0].as_py(), columns["times"][0].as_py()))
+
+
 def test_words_encode_alone_as_in_their_text(both):
     rng = random.Random(4)
     tokenizers = both.open()

@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from wearpath.llm.common import as_bytes, chunks, map_batches, stored
 
 #: Bytes of text in a block of documents; a block's pairs meet their corpus counts in one group.
-BLOCK_BYTES = 32 << 20
-#: Words whose ids a task remembers before it starts afresh.
-REMEMBERED = 400_000
+BLOCK_BYTES = 16 << 20
+#: Bytes of text that are aligned at once; a longer text is aligned in pieces, cut where a word ends.
+PIECE_BYTES = 1 << 20
+#: Words whose ids a task remembers before it starts afresh, and their longest.
+REMEMBERED, WORD = 200_000, 100
 #: Links of a group from which equal ids are counted before they are paired.
 CROWDED = 64
 
@@ -90,7 +92,7 @@ class Tokenizers:
         numbers = pa.array([str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))], pa.large_string())
         self.number = numbers
         self.width = len(self.bytes_b)
-        self.known: dict[str, tuple[list[int], list[int]] | None] = {}
+        self._forget()
         self._open = True
         return self
 
@@ -122,19 +124,30 @@ class Tokenizers:
         cuts = (np.searchsorted(np.cumsum(self.length_a.to_numpy()[a]), ends) + 1).tolist()
         return [(a[i:j], x) for i, j, x in zip([0, *cuts[:-1]], cuts, b)]
 
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = _columns([])
+
     def units(self, words: list[str], texts: list[str]) -> tuple[pa.ListArray, pa.ListArray, np.ndarray]:
         """Ids by A and by B of each word, then of each text, and whether both spell it; words are remembered."""
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            self._forget()
         new = [w for w in words if w not in self.known]
-        self.known.update(zip(new, self.words(new)))
-        found = [self.known[w] for w in words] + (self.encode(texts) if texts else [])
-        for w in new:
-            if len(w) > 100:
-                del self.known[w]
-        fine = np.array([f is not None for f in found], bool)
-        a, b = (pa.array([f[k] if f else [] for f in found], pa.list_(pa.int32())) for k in (0, 1))
-        return a, b, fine
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.ids = _joined(self.ids, _columns(self.words(new)))
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        own = [c.take(pa.array(at)) for c in self.ids]
+        a, b, fine = _joined(own, _columns(self.encode(texts) if texts else []))
+        return a, b, fine.to_numpy(zero_copy_only=False)
+
+
+def _columns(found: list[tuple[list[int], list[int]] | None]) -> list[pa.Array]:
+    lists = (pa.array([f[k] if f else [] for f in found], pa.list_(pa.int32())) for k in (0, 1))
+    return [*lists, pa.array([f is not None for f in found], pa.bool_())]
+
+
+def _joined(*parts: list[pa.Array]) -> list[pa.Array]:
+    return [pa.concat_arrays(columns) for columns in zip(*parts)]
 
 
 def _flat(ids: pa.ListArray, unit: np.ndarray, doc: np.ndarray, lengths: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -185,7 +198,7 @@ def _lists(values: pa.Array, sizes: np.ndarray, kind: type = pa.LargeListArray)
 
 
 def align(texts: list[str], both: Tokenizers) -> tuple[np.ndarray, dict[str, pa.Array]]:
-    """Of the texts that both tokenizers spell: their places, and columns n_a, n_b, n_groups, n_links, groups_sha256, pairs, times."""
+    """Of the texts that both tokenizers spell: their places, and columns n_a, n_b, n_groups, n_links, groups, pairs, times."""
     units = pc.split_pattern(pa.array(texts, pa.string()), " ")
     code = pc.list_flatten(units).dictionary_encode()
     unit, doc = code.indices.to_numpy(), pc.list_parent_indices(units).to_numpy()
@@ -194,11 +207,15 @@ def align(texts: list[str], both: Tokenizers) -> tuple[np.ndarray, dict[str, pa.
     whole = np.zeros(len(texts), bool)
     whole[doc[~apart[unit]]] = True  # texts in which a space meets other white space or an end
     rest = np.nonzero(whole)[0]
-    number = np.cumsum(apart) - 1
-    unit, doc = np.append(number[unit[~whole[doc]]], apart.sum() + np.arange(len(rest))), np.append(doc[~whole[doc]], rest)
+    alone = [texts[i] for i in rest]
+    short = apart & (np.array([len(w) for w in words]) <= WORD)
+    long = np.nonzero(apart & ~short)[0]
+    number = np.cumsum(short) - 1
+    number[long] = short.sum() + np.arange(len(long))
+    unit, doc = np.append(number[unit[~whole[doc]]], short.sum() + len(long) + np.arange(len(rest))), np.append(doc[~whole[doc]], rest)
     order = np.argsort(doc, kind="stable")
     unit, doc = unit[order], doc[order]
-    ids_a, ids_b, fine = both.units([w for w, own in zip(words, apart) if own], [texts[i] for i in rest])
+    ids_a, ids_b, fine = both.units([w for w, own in zip(words, short) if own], [words[i] for i in long] + alone)
     bad = np.zeros(len(texts), bool)
     bad[doc[~fine[unit]]] = True
     unit, doc = unit[~bad[doc]], (np.cumsum(~bad) - 1)[doc[~bad[doc]]]
@@ -229,13 +246,41 @@ def align(texts: list[str], both: Tokenizers) -> tuple[np.ndarray, dict[str, pa.
         "n_b": pa.array(np.bincount(doc_b, minlength=n)),
         "n_groups": pa.array(n_groups),
         "n_links": pa.array(n_links),
-        "groups_sha256": pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in text], pa.string()),
+        "groups": text,
         "pairs": _lists(pa.array(ab[order]), per, pa.ListArray),
         "times": _lists(pa.array(m[order]), per, pa.ListArray),
     }
 
 
 _ALIGNED = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs array<bigint>, times array<bigint>"
+_COUNTS = ("n_a", "n_b", "n_groups", "n_links")
+_SPACE = re.compile(r"(?<=\S) (?=\S)")
+
+
+def pieces(text: str, size: int) -> Iterator[str]:
+    """A text cut at single spaces between words, which both tokenizers begin a token with, into pieces of ``size`` characters or a word more."""
+    start = 0
+    while (found := _SPACE.search(text, start + size)) is not None:
+        yield text[start : found.start()]
+        start = found.end()
+    yield text[start:]
+
+
+def align_long(text: str, both: Tokenizers, size: int = PIECE_BYTES) -> dict[str, list] | None:
+    """The columns of ``align`` with ``groups_sha256`` for one text, piece after piece; None if it isn't spelled."""
+    counts, digest, ab, times = np.zeros(4, np.int64), hashlib.sha256(), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for k, piece in enumerate(pieces(text, size) if both.apart else [text]):
+        place, columns = align([piece], both)
+        if not len(place):
+            return None
+        counts += [columns[c][0].as_py() for c in _COUNTS]
+        digest.update(b";" * (k > 0))
+        digest.update(columns["groups"][0].as_buffer())
+        ab, at = np.unique(np.append(ab, columns["pairs"].values.to_numpy()), return_inverse=True)
+        now = np.zeros(len(ab), np.int64)
+        np.add.at(now, at, np.append(times, columns["times"].values.to_numpy()))
+        times = now
+    return {c: [int(n)] for c, n in zip(_COUNTS, counts)} | {"groups_sha256": [digest.hexdigest()], "pairs": [ab], "times": [times]}
 
 
 def aligned(docs: DataFrame, both: Tokenizers, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -248,9 +293,10 @@ def aligned(docs: DataFrame, both: Tokenizers, id_column: str = "doc_id", text_c
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers, task = shared.value.open(), TaskContext.get()
+        kinds = dict.fromkeys(_COUNTS, pa.int64()) | {"groups_sha256": pa.string(), "pairs": pa.list_(pa.int64()), "times": pa.list_(pa.int64())}
         block, filled = (task.partitionId() if task else 0) << 32, 0
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", PIECE_BYTES):
                 texts, at = [], []
                 for k, t in enumerate(part.column("text")):
                     if t.is_valid and t.as_buffer().size:
@@ -259,15 +305,20 @@ def aligned(docs: DataFrame, both: Tokenizers, id_column: str = "doc_id", text_c
                             at.append(k)
                         except UnicodeDecodeError:
                             pass  # no text whose tokens could spell it
-                place, columns = align(texts, tokenizers) if texts else (np.zeros(0, np.int64), {})
+                if len(texts) == 1:
+                    columns = align_long(texts[0], tokenizers)
+                    place = np.zeros(0 if columns is None else 1, np.int64)
+                else:
+                    place, columns = align(texts, tokenizers) if texts else (np.zeros(0, np.int64), {})
+                    columns["groups_sha256"] = [hashlib.sha256(t.as_buffer()).hexdigest() for t in columns.pop("groups", ())]
                 have = np.array(at, np.int64)[place]
                 rest = np.setdiff1d(np.arange(part.num_rows), have)
-                for rows, values in ((have, columns), (rest, {})):
+                empty = dict.fromkeys(_COUNTS, [0] * len(rest)) | {"groups_sha256": [""] * len(rest), "pairs": [[]] * len(rest), "times": [[]] * len(rest)}
+                for rows, values in ((have, columns), (rest, empty)):
                     if len(rows):
-                        empty = {k: pa.array([0] * len(rows), pa.int64()) for k in ("n_a", "n_b", "n_groups", "n_links")}
-                        empty |= {"groups_sha256": pa.array([""] * len(rows)), **{k: pa.array([[]] * len(rows), pa.list_(pa.int64())) for k in ("pairs", "times")}}
-                        own = {"block": pa.array([block] * len(rows), pa.int64()), "id": part.column("id").take(pa.array(rows))}
-                        yield pa.RecordBatch.from_pydict(own | (values or empty))
+                        own = [pa.array([block] * len(rows)), part.column("id").take(pa.array(rows))]
+                        own += [v if isinstance(v := values[c], pa.Array) else pa.array(v, t) for c, t in kinds.items()]
+                        yield pa.RecordBatch.from_arrays(own, names=["block", "id", *kinds])
                 filled += part.column("text").nbytes
                 if filled >= block_bytes:
                     block, filled = block + 1, 0
