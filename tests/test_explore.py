@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wearpath.operators import explore, sampling
 from wearpath.spec import TelemetrySpec
@@ -51,12 +52,58 @@ def test_density(data):
     grid = [30.0, 50.0, 70.0]
     rows = explore.density(df, "x", grid, 4.0).orderBy("x").collect()
     expected = [np.exp(-0.5 * ((g - x) / 4) ** 2).sum() / (400 * 4 * np.sqrt(2 * np.pi)) for g in grid]
-    assert [r.density for r in rows] == pytest.approx(expected)
+    peak = 1 / (4 * np.sqrt(2 * np.pi))
+    assert [r.density for r in rows] == pytest.approx(expected, abs=peak / (8 * explore.CELLS**2))
+    fine = explore.density(df, "x", grid, 4.0, cells=2000).orderBy("x").collect()
+    assert [r.density for r in fine] == pytest.approx(expected, abs=peak / (8 * 2000**2))
     cells = {(r.x, r.y): r.density for r in explore.density2d(df, "x", "y", grid, [300.0, 400.0], 4.0, 50.0).collect()}
     k = np.exp(-0.5 * ((50 - x) / 4) ** 2) * np.exp(-0.5 * ((400 - y) / 50) ** 2)
     assert len(cells) == 6 and cells[50.0, 400.0] == pytest.approx(k.sum() / (400 * 4 * 50 * 2 * np.pi))
 
 
+def test_density_far_from_the_data_and_of_nothing(data):
+    df = data[3]
+    rows = explore.density(df, "x", [-1000.0, 50.0, 1e6], 4.0).orderBy("x").collect()
+    assert rows[0].density == 0 and rows[1].density > 0 and rows[2].density == 0
+    assert [r.density for r in explore.density(df.where("false"), "x", [1.0], 4.0).collect()] == [None]
+
+
+def test_bandwidth_and_bins_follow_the_data(spark, data):
+    x, _, _, df = data
+    first, third = np.quantile(x, [0.25, 0.75], method="inverted_cdf")
+    assert explore.bandwidth_of(df, "x") == pytest.approx(0.9 * min(x.std(ddof=1), (third - first) / 1.34) / 400**0.2)
+    assert explore.bins_of(df, "x") == int(np.ceil((x.max() - x.min()) / (2 * (third - first) / 400 ** (1 / 3))))
+    assert explore.bins_of(df, "flat") == 1 and explore.bins_of(df.where("false"), "x") == 1
+    assert explore.histogram(df, "x", None).agg({"n": "sum"}).first()[0] == 400
+    rows = spark.range(200_000).selectExpr("CAST((id * 7919) % 200003 AS DOUBLE) AS v").repartition(6)
+    _, _, _, first, third, _ = explore.spread_of(rows, "v", accuracy=1e-3)
+    ranks = [rows.where(F.col("v") <= q).count() / 200_000 for q in (first, third)]
+    assert ranks == pytest.approx([0.25, 0.75], abs=1e-3)
+    skewed = spark.range(100).selectExpr("CASE WHEN id < 90 THEN 1.0D ELSE double(id) END AS v")
+    assert explore.bins_of(skewed, "v") == 8
+
+
+def test_trend_band_does_not_follow_the_partitioning(data):
+    x, y, _, df = data
+    grid = [30.0, 50.0, 70.0]
+    band = {r.x: r for r in explore.trend_band(df, "y", "x", ["id"], grid, replicates=300).collect()}
+    again = {r.x: r for r in explore.trend_band(df.repartition(7), "y", "x", ["id"], grid, replicates=300).collect()}
+    curve = np.polynomial.Polynomial.fit(x, y, 2)
+    design = np.vander(x - 50, 3)
+    spread = np.linalg.inv(design.T @ design) * ((y - curve(x)) ** 2).sum() / (len(x) - 3)
+    for g in grid:
+        assert band[g].fit == pytest.approx(curve(g)) and band[g].low < band[g].fit < band[g].high
+        assert (band[g].low, band[g].high) == (pytest.approx(again[g].low), pytest.approx(again[g].high))
+        at = np.array([(g - 50) ** 2, g - 50, 1])
+        assert band[g].high - band[g].low == pytest.approx(2 * 1.96 * np.sqrt(at @ spread @ at), rel=0.35)
+    line = explore.trend_band(df, "y", "x", ["id"], grid, order=1, replicates=20).orderBy("x").collect()
+    assert [r.fit for r in line] == pytest.approx(np.polyval(np.polyfit(x, y, 1), grid).tolist())
+
+
+def test_draws_are_poisson():
+    assert explore.poisson_share(0) == pytest.approx(0.3678794) and explore.poisson_share(20) == pytest.approx(1)
+
+
 def test_trends_and_residuals(data):
     x, y, _, df = data
     slope, intercept = np.polyfit(x, y, 1)

@@ -124,7 +124,7 @@ def test_table_operations(spark):
 
 
 def test_work_paths_lie_in_the_session_folder(spark):
-    assert work_path(spark, "x").startswith(shared_folder(spark) + "/wearpath/x-")
+    assert work_path(spark, "x").startswith(f"{shared_folder(spark)}/wearpath/{spark.sparkContext.applicationId}/x-")
     assert work_path(spark, "x") != work_path(spark, "x")
 
 
@@ -141,3 +141,28 @@ def test_pattern_scan_leaves_side_outputs_out(spark, tmp_path):
     spark.range(3).write.csv(str(tmp_path / "test_FD001.csv"))
     found = scans.read_prepared_sets(spark, str(tmp_path / "test_*")).groupBy("dataset").count().collect()
     assert sorted(map(tuple, found)) == [("FD001", 3), ("FD002", 3)]
+
+
+def test_lines_that_do_not_fit_are_kept_apart(spark, tmp_path):
+    lines = ["1 1 0.5 2.5  ", "1 x 0.1 3", "1 4 0.1", "", "2 1 NA  7", "2 2 1e3 4 5 6", "1.5 2 1 1", " 1 1 1", "3 1 nan inf", "3 2 NaN -Inf"]
+    for k in range(3):
+        (tmp_path / f"{k}.txt").write_text("\n".join(lines) + "\n")
+    spec = TelemetrySpec(settings=(), sensors=("p", "q"))
+    parsed = scans.read_telemetry_lines(spark, str(tmp_path / "*.txt"), spec)
+    kept, side = scans.quarantine(parsed, str(tmp_path / "out"))
+    assert kept.columns == ["id", "cycle", "p", "q"] and kept.count() + side.count() == 3 * len(lines)
+    reasons = {r.line: r.reason for r in side.collect()}
+    assert reasons == {
+        "1 x 0.1 3": "cycle is not int",
+        "1 4 0.1": "q is missing",
+        "": "id is missing; cycle is missing; p is missing; q is missing",
+        "2 1 NA  7": "p is not double; q is missing",
+        "1.5 2 1 1": "id is not int",
+        " 1 1 1": "id is missing",
+        "3 1 nan inf": "p is not double; q is not double",
+    }
+    assert len({r.file for r in side.collect()}) == 3 and side.where("row IS NULL OR block IS NULL").count() == 0
+    known = scans.read_telemetry(spark, str(tmp_path / "0.txt"), spec).where("id IS NOT NULL AND cycle IS NOT NULL AND p IS NOT NULL AND q IS NOT NULL")
+    assert sorted(map(str, known.collect())) == sorted(map(str, kept.where("true").distinct().collect()))
+    only_key = scans.read_telemetry_lines(spark, str(tmp_path / "0.txt"), spec, required=["id", "cycle"])
+    assert only_key.where("reason IS NULL").count() == 6

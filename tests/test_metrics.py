@@ -88,3 +88,11 @@ def test_full_report_holds_the_confusion_cells(three):
     cells = {(r.label, r.prediction): r.value for r in rows if r.metric == "confusion"}
     assert cells == {(float(r.label), float(r.prediction)): r.n for r in metrics.confusion(three[1], labels="union").collect()}
     assert all(r.prediction is None for r in rows if r.metric != "confusion")
+
+
+def test_a_thousand_classes(spark):
+    rows = spark.range(20_000).selectExpr("CAST(id % 1000 AS DOUBLE) AS label", "CAST((id * 7919) % 1003 AS DOUBLE) AS prediction")
+    cells = metrics.confusion(rows)
+    found = cells.agg(F.count("*").alias("cells"), F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("some")).first()
+    assert found.cells == 1_000_000 and found.n == rows.where("prediction < 1000").count()
+    assert found.some == rows.where("prediction < 1000").distinct().count()

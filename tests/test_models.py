@@ -86,6 +86,14 @@ def test_grid(separable, tmp_path):
     assert (tmp_path / "rf_a_label1").exists() and (tmp_path / "rf_a_label2").exists()
 
 
+def test_grid_goes_on_when_a_model_fails(separable):
+    table = models.train_grid({"a": separable, "b": separable}, ["rf", "lr"], ["label2"], options={"lr": {"maxIter": -1}})
+    rows = table.collect()
+    bad = [r for r in rows if r.metric == "error"]
+    assert {(r.dataset, r.kind) for r in bad} == {("a", "lr"), ("b", "lr")} and all(r.error for r in bad)
+    assert {(r.dataset, r.kind) for r in rows if r.metric == "accuracy"} == {("a", "rf"), ("b", "rf")}
+
+
 def test_modes_follow_the_settings(spark):
     spec = TelemetrySpec(sensors=())
     rows = [(1, n, float(n % 6) * 10, float(n % 6), 100.0) for n in range(120)]
@@ -98,6 +106,31 @@ def test_modes_follow_the_settings(spark):
     assert attached.columns == ordered.columns and attached.count() == 120
 
 
+def test_modes_of_weighted_settings_cost_no_more_than_of_all_rows(spark, monkeypatch):
+    spec = TelemetrySpec(sensors=())
+    rng = np.random.default_rng(8)
+    rows = [(1, n, float(rng.integers(24)), float(rng.integers(100)), 100.0) for n in range(3000)]
+    df = spark.createDataFrame(rows, "id INT, cycle INT, setting1 DOUBLE, setting2 DOUBLE, setting3 DOUBLE")
+    points = np.array([r[2:] for r in rows])
+
+    def cost(centres):
+        return min(np.square(points[:, None, :] - np.array(centres)[None]).sum(2).min(1).sum(), np.inf)
+
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    vectors = VectorAssembler(inputCols=list(spec.settings), outputCol="v").transform(df)
+    whole = KMeans(k=6, featuresCol="v", seed=3, maxIter=100).fit(vectors)
+    weighted = modes.fit_modes(df, spec, seed=3, maxIter=100)
+    assert cost(weighted.stages[-1].clusterCenters()) < 1.15 * cost(whole.clusterCenters())
+    table = modes.weighted_settings(df, spec.settings)
+    assert table.count() == df.select(*spec.settings).distinct().count() and table.agg({"_weight": "sum"}).first()[0] == 3000
+    coarse = modes.weighted_settings(df, spec.settings, most=400)
+    assert coarse.count() <= 21 * 21 and coarse.agg({"_weight": "sum"}).first()[0] == 3000
+    means = coarse.selectExpr("sum(setting1 * _weight) / 3000", "sum(setting2 * _weight) / 3000").first()
+    assert tuple(means) == (pytest.approx(points[:, 0].mean()), pytest.approx(points[:, 1].mean()))
+
+
 def test_modes_of_constant_settings(spark):
     rows = [(1, n, 1.0, 1.0, 1.0) for n in range(20)]
     df = spark.createDataFrame(rows, "id INT, cycle INT, setting1 DOUBLE, setting2 DOUBLE, setting3 DOUBLE")
@@ -114,3 +147,21 @@ def test_implicit_factors_rank_seen_items_first(spark):
     pairs = spark.createDataFrame([(u, i) for u in range(12) for i in range(10)], "user INT, item INT")
     scores = {(r.user, r.item): r.prediction for r in model.transform(pairs).collect()}
     assert all(scores[u, i] > scores[u, 1 - i % 2] for u in range(12) for i in range(10) if i % 2 == u % 2)
+
+
+def test_user_vectors_solve_their_normal_equations(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(u), int(i), float(rng.integers(0, 4))) for u in range(25) for i in rng.choice(15, 6, replace=False)]
+    ratings = spark.createDataFrame(rows, "user INT, item INT, rating FLOAT")
+    model = factors.fit_implicit(ratings, rank=5, iterations=4)
+    gaps = {r.id: r.residual for r in factors.user_residuals(model, ratings).collect()}
+    assert len(gaps) == 25 and max(v for v in gaps.values() if v is not None) < 1e-3
+    x = {r.id: np.array(r.features) for r in model.itemFactors.collect()}
+    y = {r.id: np.array(r.features) for r in model.userFactors.collect()}
+    gram = sum(np.outer(v, v) for v in x.values())
+    other = factors.user_residuals(model, ratings, alpha=20.0)
+    for r in other.collect():
+        own = [(x[i], rating) for u, i, rating in rows if u == r.id]
+        left = gram + 0.8 * sum(rating > 0 for _, rating in own) * np.eye(5) + sum(20 * rating * np.outer(v, v) for v, rating in own)
+        right = sum((1 + 20 * rating) * v for v, rating in own if rating > 0)
+        assert r.residual == pytest.approx(np.linalg.norm(left @ y[r.id] - right) / np.linalg.norm(right))

@@ -85,3 +85,14 @@ def test_no_cross_join_and_no_row_by_row_python(spark, sf_dir, name):
 def test_only_the_fixture_shuffle_for_the_flagship(spark, sf_dir):
     df, units = fx.telemetry(spark, sf_dir, SPEC)
     assert exchanges(plan(enrich(df, SPEC, long_units=units))) == 1
+
+
+def test_a_data_set_reads_its_own_files(spark):
+    from wearpath.plans.prepare import _typed
+
+    df = spark.range(40).selectExpr("CAST(id % 4 AS STRING) AS dataset", "CAST(id AS INT) AS id", "1.0D AS s1")
+    typed, path = _typed(spark, df, ["dataset"])
+    assert typed.dtypes == df.dtypes and typed.count() == 40
+    own = typed.where("dataset = '2'")
+    assert own.count() == 10 and {f.split("/")[-2] for f in own.select("_metadata.file_path").distinct().toPandas()["file_path"]} == {"dataset=2"}
+    assert "PartitionFilters: [isnotnull(dataset" in own._jdf.queryExecution().executedPlan().toString()

@@ -43,3 +43,35 @@ def factor_lines(factors: DataFrame) -> DataFrame:
     return factors.select(
         F.concat(F.col("id").cast("string"), F.lit("\t"), joined_decimals(F.col("features"))).alias("value")
     )
+
+
+def user_residuals(model: ALSModel, ratings: DataFrame, regularisation: float = 0.8, alpha: float = 150.0) -> DataFrame:
+    """How far each user vector is from the ridge solution given the item vectors: (id, residual).
+
+    The last step of a fit solves (G + sum of a r x x' + l n I) y = sum of (1 + a r) x for every
+    user, with G the sum of x x' over all items. The residual is the length of the difference
+    of both sides over that of the right one. It is linear in the rated items' vectors, so no
+    matrix is built per user: a rating adds one multiple of its item's vector, and only the rank x rank sums of G go to the driver.
+    """
+    rank = model.rank
+    items = model.itemFactors.select(F.col("id").alias("item"), F.col("features").cast("array<double>").alias("x"))
+    users = model.userFactors.select(F.col("id").alias("user"), F.col("features").cast("array<double>").alias("y"))
+    own = range(rank)
+    products = items.agg(*[F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"g{i}_{j}") for i in own for j in range(i + 1)]).first()
+    gram = [[products[f"g{max(i, j)}_{min(i, j)}"] for j in own] for i in own]
+
+    def dot(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
+
+    rated = ratings.join(items, "item").join(users, "user")
+    confidence = alpha * F.abs(F.col("rating").cast("double"))
+    right = F.when(F.col("rating") > 0, 1 + confidence).otherwise(0.0)
+    sums = rated.select("user", "x", (confidence * dot(F.col("x"), F.col("y")) - right).alias("c"), right.alias("b"), (F.col("rating") > 0).alias("seen")).groupBy("user").agg(
+        F.array(*[F.sum(F.col("c") * F.col("x")[i]) for i in own]).alias("c"),
+        F.array(*[F.sum(F.col("b") * F.col("x")[i]) for i in own]).alias("b"),
+        F.count_if("seen").alias("n"),
+    )
+    solved = sums.join(users, "user")
+    through = F.transform(F.array(*[F.array(*[F.lit(v) for v in row]) for row in gram]), lambda row: dot(row, F.col("y")))
+    gap = F.zip_with(F.zip_with("c", through, lambda a, b: a + b), F.transform("y", lambda v: v * F.col("n") * regularisation), lambda a, b: a + b)
+    return solved.select(F.col("user").alias("id"), F.sqrt(F.try_divide(dot(gap, gap), dot(F.col("b"), F.col("b")))).alias("residual"))

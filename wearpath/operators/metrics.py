@@ -1,7 +1,7 @@
 """Confusion matrix and the metrics that follow from it.
 
 The (label, prediction) pairs are grouped once; everything else is arithmetic on that table of at
-most classes x classes rows.
+most classes x classes rows, of which only pairs that occur have one.
 """
 
 from __future__ import annotations
@@ -32,15 +32,9 @@ def confusion(
         classes = F.array_union(F.collect_set("label"), F.collect_set("prediction"))
     else:
         raise ValueError(f"labels must be 'true' or 'union', not {labels!r}")
-    # The pair table has one row per pair of classes, so the lists are short.
-    cell = F.struct("label", "prediction")
-    return (
-        counts.agg(classes.alias("c"), F.collect_list(F.struct(cell.alias("cell"), "n")).alias("known"))
-        .select(F.explode("c").alias("label"), "c", "known")
-        .select("label", F.explode("c").alias("prediction"), "known")
-        .select("label", "prediction", F.get(F.filter("known", lambda k: k["cell"] == cell), F.lit(0))["n"].alias("n"))
-        .withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
-    )
+    # The class list is as long as there are classes; the cells it spans are the result's rows, and counts join them.
+    listed = counts.agg(classes.alias("c")).select(F.explode("c").alias("label"), "c").select("label", F.explode("c").alias("prediction"))
+    return listed.join(counts, ["label", "prediction"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 
 def confusion_percent(

@@ -7,15 +7,12 @@ on every table the model scores.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
-from functools import reduce
+from functools import partial
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier,
     LogisticRegression,
     LogisticRegressionModel,
-    OneVsRest,
-    OneVsRestModel,
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
@@ -24,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from wearpath.operators.boosting import THREADS, SoftmaxBoosting, in_parallel
 from wearpath.operators.features import label_indexer, with_class_weights
 from wearpath.operators.metrics import full_report
 from wearpath.session import keep_checkpoints
@@ -41,16 +39,12 @@ def _forest(features: str, **options) -> Estimator:
     return RandomForestClassifier(featuresCol=features, **_COLUMNS, **settings)
 
 
-def _boosted(features: str, **options) -> Estimator:
-    weight = options.pop("weightCol", None)
-    settings = {"maxIter": 10, "maxDepth": 6, "seed": 11, **options}
-    trees = GBTClassifier(featuresCol=features, **_COLUMNS, **settings)
-    columns = {**_COLUMNS, "weightCol": weight} if weight else _COLUMNS
-    return OneVsRest(classifier=trees, featuresCol=features, **columns)
+def _boosted(features: str, **options) -> SoftmaxBoosting:
+    return SoftmaxBoosting(features, _COLUMNS["labelCol"], _COLUMNS["predictionCol"], **options)
 
 
 #: Model kinds: how to build them, their fixed parameters, whether classes are weighted.
-KINDS: dict[str, tuple[Callable[..., Estimator], dict, bool]] = {
+KINDS: dict[str, tuple[Callable[..., Estimator | SoftmaxBoosting], dict, bool]] = {
     "lr": (_logistic, {}, False),
     "rf": (_forest, {"numTrees": 3, "maxDepth": 4}, False),
     "rf_large": (_forest, {"numTrees": 666, "maxDepth": 6}, False),
@@ -62,7 +56,7 @@ KINDS: dict[str, tuple[Callable[..., Estimator], dict, bool]] = {
 _FITTED = {
     "lr": LogisticRegressionModel,
     "rf": RandomForestClassificationModel,
-    "gbt": OneVsRestModel,
+    "gbt": PipelineModel,
 }
 
 
@@ -78,12 +72,14 @@ def train(
     features: str = "scaledFeatures",
     label_order: str = "frequencyDesc",
     keep: bool = True,
+    indexer: StringIndexerModel | None = None,
     **options,
 ) -> PipelineModel:
     """Fit a classifier of ``KINDS``; ``options`` override its parameters.
 
     Only label, features and weight are kept for the iterations, in memory as far as it goes, then
     on disk. ``keep=False`` reads the table again instead, for one larger than the cluster's disks.
+    ``indexer`` is a label index that was fitted before.
     """
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {sorted(KINDS)}, not {kind!r}")
@@ -97,7 +93,7 @@ def train(
     if keep:
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        indexer = label_indexer(label, order=label_order).fit(rows)
+        indexer = indexer or label_indexer(label, order=label_order).fit(rows)
         back = IndexToString(inputCol="_class", outputCol="_label", labels=indexer.labels)
         indexed = indexer.transform(rows)
         return PipelineModel(stages=[indexer, build(features, **parameters).fit(indexed), back])
@@ -165,18 +161,32 @@ def train_grid(
     features: str = "scaledFeatures",
     path: str | None = None,
     options: Mapping[str, dict] | None = None,
+    threads: int = THREADS,
 ) -> DataFrame:
-    """Train each kind on each table and label; one tidy table of metrics on the training rows.
+    """Train each kind on each table and label, ``threads`` models at a time; one tidy local table of metrics on the training rows.
 
-    Models are saved as ``<path>/<kind>_<table>_<label>`` if a path is given.
+    A data set's labels and features are kept once for all its models, which share one index
+    for each label. Models are saved as ``<path>/<kind>_<table>_<label>`` if a path is given.
+    A model that fails has one row, with metric ``error`` and its message in ``error``; the others go on.
     """
-    reports = []
+    kinds, labels, found = list(kinds), list(labels), []
+
+    def one(name: str, rows: DataFrame, label: str, kind: str, indexer: StringIndexerModel) -> list[tuple]:
+        tags = (name, label, kind)
+        try:
+            model = train(rows, kind, label, features, keep=False, indexer=indexer, **(options or {}).get(kind, {}))
+            save(model, f"{path}/{kind}_{name}_{label}" if path else None)
+            return [(*tags, r.metric, r.label, r.prediction, r.value, None) for r in evaluate_model(rows, model, label).collect()]
+        except Exception as failure:  # noqa: BLE001  what one model meets is its own result
+            return [(*tags, "error", None, None, None, f"{type(failure).__name__}: {failure}"[:500])]
+
     for name, table in tables.items():
-        for label in labels:
-            for kind in kinds:
-                model = train(table, kind, label, features, **(options or {}).get(kind, {}))
-                save(model, f"{path}/{kind}_{name}_{label}" if path else None)
-                tags = {"dataset": F.lit(name), "target": F.lit(label), "kind": F.lit(kind)}
-                metrics = evaluate_model(table, model, label).withColumns(tags)
-                reports.append(metrics.select(*tags, "metric", F.col("label").alias("class"), "prediction", "value"))
-    return reduce(DataFrame.unionByName, reports)
+        rows = table.select(*labels, features).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            indexers = {label: label_indexer(label).fit(rows) for label in labels}
+            work = [partial(one, name, rows, label, kind, indexers[label]) for label in labels for kind in kinds]
+            found += [row for report in in_parallel(work, threads) for row in report]
+        finally:
+            rows.unpersist()
+    schema = "dataset STRING, target STRING, kind STRING, metric STRING, class DOUBLE, prediction DOUBLE, value DOUBLE, error STRING"
+    return next(iter(tables.values())).sparkSession.createDataFrame(found, schema)

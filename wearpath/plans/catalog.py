@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearpath.functions.names import renumbered
-from wearpath.operators import explore, factors, features, metrics, models, modes, rolling, rul, sampling, tables
+from wearpath.operators import boosting, compiled, explore, factors, features, metrics, models, modes, rolling, rul, sampling, tables
 from wearpath.plans import fixtures as fx
 from wearpath.plans import learn, oracle, prepare
 from wearpath.plans.fixtures import DEV_NAMES, LINE_SPEC, MEAN_NAMES, NARROW, SENSOR_NAMES, SETTING_NAMES, SPEC
@@ -46,6 +46,10 @@ def _sql(select: str, spec: TelemetrySpec = NARROW, **ctes: str) -> str:
     return oracle.with_ctes({"tel": oracle.telemetry(spec), **ctes}, select)
 
 
+def _hash_sql(keys: str, seed: int) -> str:
+    return f"('0x' || substr(md5(concat_ws(':', {keys}, '{seed}')), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
 _RULED = {"ruled": oracle.with_rul()}
 _LABELLED = {**_RULED, "lab": oracle.with_labels()}
 _PREDICTED = {
@@ -315,14 +319,38 @@ def p10_reject_counts(spark, sf_dir):
     return features.count_incomplete(_broken_text(spark, sf_dir), ["id", "cycle", "setting1", "s1"])
 
 
-def _broken_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_query(
+    "s1_quarantine",
+    _sql(
+        "SELECT cycle, concat_ws('; ', CASE WHEN id IS NULL THEN 'id is not int' END, CASE WHEN s1 IS NULL THEN 's1 is not double' END) AS reason,"
+        " (SELECT count(*) FROM broken WHERE id IS NOT NULL AND s1 IS NOT NULL) AS rows_kept, (SELECT count(*) FROM broken) AS rows_read"
+        " FROM broken WHERE id IS NULL OR s1 IS NULL",
+        NARROW,
+        **_BROKEN,
+    ),
+)
+def s1_quarantine(spark, sf_dir):
+    """The lines that do not fit, why, and that no line is lost: kept and quarantined rows come from one written pass."""
+    spec = TelemetrySpec(settings=("setting1",), sensors=("s1",))
+    lines = scans.read_telemetry_lines(spark, _broken_file(spark, sf_dir), spec)
+    kept, side = scans.quarantine(lines, work_path(spark, "quarantine"))
+    whole, bad = (t.agg(F.count("*")).scalar() for t in (kept, side))
+    cycle = F.split("line", " ")[1].cast("int")
+    return side.select(cycle.alias("cycle"), "reason", whole.alias("rows_kept"), (whole + bad).alias("rows_read"))
+
+
+def _broken_file(spark: SparkSession, sf_dir: str) -> str:
     """Telemetry text whose unit or sensor is not a number in some lines."""
     df = fx.telemetry(spark, sf_dir, NARROW)[0]
     unit = F.when(F.col("setting2") == 7, "x").otherwise(F.col("id").cast("string"))
     sensor = F.when(F.col("s1") < 5, "NA").otherwise(F.col("s1").cast("string"))
     path = work_path(spark, "broken")
     sinks.write_text_table(df.select(unit.alias("id"), "cycle", "setting1", sensor.alias("s1")), path)
-    return scans.read_telemetry(spark, path, TelemetrySpec(settings=("setting1",), sensors=("s1",)))
+    return path
+
+
+def _broken_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.read_telemetry(spark, _broken_file(spark, sf_dir), TelemetrySpec(settings=("setting1",), sensors=("s1",)))
 
 
 @_query("p11_rul_train", _sql("SELECT id, cycle, rul FROM ruled", NARROW, **_RULED))
@@ -498,18 +526,54 @@ def a7_histogram(spark, sf_dir):
 
 
 @_query(
-    "a8_density",
+    "a7_histogram_auto",
     _sql(
-        "SELECT CAST(g.range * 10 AS DOUBLE) AS x,"
-        " round(sum(exp(-0.5 * pow((g.range * 10 - s1) / 5.0, 2))) / (count(*) * 5.0 * sqrt(2 * pi())), 9) AS density"
-        " FROM range(50) g, tel GROUP BY g.range"
+        "SELECT CAST(b.range AS INT) AS bin, round(lo + b.range * (hi - lo) / bins, 6) AS lo,"
+        " round(lo + (b.range + 1) * (hi - lo) / bins, 6) AS hi, CAST(coalesce(n, 0) AS BIGINT) AS n"
+        " FROM ext, range(10000) b LEFT JOIN"
+        " (SELECT least(CAST(floor((s1 - lo) / (hi - lo) * bins) AS BIGINT), bins - 1) AS bin, count(*) AS n FROM tel, ext GROUP BY 1) c"
+        " ON c.bin = b.range WHERE b.range < bins",
+        NARROW,
+        ext="SELECT min(s1) AS lo, max(s1) AS hi, greatest(1, least(10000, ceil((max(s1) - min(s1))"
+        " / (2 * (quantile_disc(s1, 0.75) - quantile_disc(s1, 0.25)) / pow(count(*), 1.0 / 3)))))::BIGINT AS bins FROM tel",
     ),
 )
+def a7_histogram_auto(spark, sf_dir):
+    """Bins chosen from the data; the sketch is fine enough here to give the exact quartiles."""
+    df = fx.telemetry(spark, sf_dir, ONE_SENSOR)[0]
+    return _rounded_doubles(explore.histogram(df, "s1", explore.bins_of(df, "s1", accuracy=1e-7)))
+
+
+def _density_sql(bandwidth: str, digits: int) -> str:
+    """The binned form: rows shared between the neighbouring points of a grid of 1/32 of the bandwidth."""
+    return _sql(
+        "SELECT CAST(g.range * 10 AS DOUBLE) AS x, round(sum(w * exp(-0.5 * pow((g.range * 10 - cell * h / 32) / h, 2)))"
+        f" / (sum(w) * any_value(h) * sqrt(2 * pi())), {digits}) AS density FROM range(50) g, shared, width GROUP BY g.range",
+        NARROW,
+        width=f"SELECT {bandwidth} AS h FROM tel",
+        placed="SELECT s1 / (h / 32) AS p FROM tel, width",
+        shared="SELECT cell, sum(w) AS w FROM (SELECT floor(p) AS cell, 1 - (p - floor(p)) AS w FROM placed"
+        " UNION ALL SELECT floor(p) + 1, p - floor(p) FROM placed) GROUP BY cell",
+    )
+
+
+@_query("a8_density", _density_sql("any_value(5.0::DOUBLE)", 9))
 def a8_density(spark, sf_dir):
     df = fx.telemetry(spark, sf_dir, ONE_SENSOR)[0]
     return _rounded(explore.density(df, "s1", [10.0 * i for i in range(50)], 5.0), "density", digits=9)
 
 
+@_query(
+    "a8_density_auto",
+    _density_sql("0.9 * least(stddev_samp(s1), (quantile_disc(s1, 0.75) - quantile_disc(s1, 0.25)) / 1.34::DOUBLE) / pow(count(*), 0.2)", 8),
+)
+def a8_density_auto(spark, sf_dir):
+    """The bandwidth comes from the data; the sketch is fine enough here to give the exact quartiles."""
+    df = fx.telemetry(spark, sf_dir, ONE_SENSOR)[0]
+    width = explore.bandwidth_of(df, "s1", accuracy=1e-7)
+    return _rounded(explore.density(df, "s1", [10.0 * i for i in range(50)], width), "density", digits=8)
+
+
 @_query(
     "a8_density2d",
     _sql(
@@ -556,6 +620,36 @@ def a9_quadratic_trend(spark, sf_dir):
     return _rounded_doubles(explore.quadratic_trend(fx.telemetry(spark, sf_dir, NARROW)[0], "s2", "s1"))
 
 
+_MULTIPLIERS = explore.multipliers(50, 7)
+_BAND_GRID = [50.0, 100.0, 150.0, 200.0]
+_POISSON = " + ".join(
+    f"CASE WHEN place >= {explore.poisson_share(k):.17e} THEN 1.0 ELSE 0.0 END" for k in range(explore.MOST_DRAWS)
+)
+
+
+@_query(
+    "a9_trend_band",
+    _sql(
+        "SELECT x, round(max(CASE WHEN r = 0 THEN v END), 5) AS fit, round(quantile_cont(CASE WHEN r > 0 THEN v END, 0.025), 5) AS low,"
+        " round(quantile_cont(CASE WHEN r > 0 THEN v END, 0.975), 5) AS high FROM curve GROUP BY x",
+        NARROW,
+        hashed="SELECT *, ('0x' || substr(h, 1, 7))::BIGINT AS h0, ('0x' || substr(h, 8, 7))::BIGINT AS h1"
+        " FROM (SELECT *, md5(concat_ws(':', id, cycle, '7')) AS h FROM tel)",
+        drawn="SELECT r, s1 - 125 AS d, s2 AS y, CASE WHEN r = 0 THEN 1.0::DOUBLE ELSE " + _POISSON + " END::DOUBLE AS w FROM"
+        f" (SELECT *, ((h0 * {list(_MULTIPLIERS[0])}[r + 1] + h1 * {list(_MULTIPLIERS[1])}[r + 1]) % {explore.MODULUS}) / {explore.MODULUS}.0::DOUBLE AS place"
+        " FROM hashed, (SELECT unnest(range(51)) AS r))",
+        p="SELECT r, sum(w) AS n, sum(w * d) AS u1, sum(w * d * d) AS u2, sum(w * d * d * d) AS u3, sum(w * d * d * d * d) AS u4,"
+        " sum(w * y) AS t0, sum(w * d * y) AS t1, sum(w * d * d * y) AS t2 FROM drawn GROUP BY r",
+        det=_QUADRATIC["det"],
+        c=_QUADRATIC["c"].replace("SELECT mx,", "SELECT r,"),
+        curve="SELECT r, x, a0 + a1 * (x - 125) + a2 * (x - 125) * (x - 125) AS v FROM c, (SELECT unnest([50.0, 100.0, 150.0, 200.0]::DOUBLE[]) AS x)",
+    ),
+)
+def a9_trend_band(spark, sf_dir):
+    band = explore.trend_band(fx.telemetry(spark, sf_dir, NARROW)[0], "s2", "s1", ["id", "cycle"], _BAND_GRID, replicates=50)
+    return _rounded_doubles(band, 5)
+
+
 @_query(
     "a10_residual",
     _sql(
@@ -826,10 +920,6 @@ def l3_head(spark, sf_dir):
     return explore.head(fx.telemetry(spark, sf_dir, ONE_SENSOR)[0], 10, ["id", "cycle"])
 
 
-def _hash_sql(keys: str, seed: int) -> str:
-    return f"('0x' || substr(md5(concat_ws(':', {keys}, '{seed}')), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
-
-
 @_query(
     "l4_sample",
     _sql(f"SELECT id, cycle, s1 FROM tel WHERE {_hash_sql('id, cycle', 123456)} < 1000.0::DOUBLE / (SELECT count(*) FROM tel)"),
@@ -914,6 +1004,20 @@ def m1_modes_nearest(spark, sf_dir):
     )
 
 
+@_query(
+    "m1_modes_fixed_point",
+    _sql("SELECT CAST(count(*) AS BIGINT) AS n, CAST(6 AS BIGINT) AS modes, TRUE AS settled FROM tel"),
+)
+def m1_modes_fixed_point(spark, sf_dir):
+    """Fitted on weighted settings, each centre is the mean of all rows that lie nearest to it."""
+    df = fx.telemetry(spark, sf_dir, TelemetrySpec(sensors=()))[0]
+    model = modes.fit_modes(df, maxIter=500, tol=1e-12)
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.stages[-1].clusterCenters()])
+    own = modes.mode_centres(model, df).withColumn("c", F.element_at(centres, F.col("operationmode") + 1))
+    far = F.greatest(*[F.abs(F.col(s) - F.col("c")[i]) for i, s in enumerate(SETTING_NAMES)])
+    return own.agg(F.sum("rows").alias("n"), F.count("*").alias("modes"), (F.max(far) < 1e-6).alias("settled"))
+
+
 @_query("m3_minmax", _sql(_minmax_sql(SPEC.measures), SPEC))
 def m3_minmax(spark, sf_dir):
     return _rounded_doubles(features.minmax_columns(fx.telemetry(spark, sf_dir)[0], SPEC.measures))
@@ -1076,6 +1180,109 @@ def m13_score_complete(spark, sf_dir):
     return scored.select("id", "cycle", "label", F.col("prediction").isin(0.0, 1.0).alias("is_class"))
 
 
+_CUT_LABELLED = {
+    "truth": oracle.truth(),
+    "cut": oracle.truncated(),
+    "cutruled": _TEST_CTES["ruled"],
+    "cutlab": oracle.with_labels("cutruled"),
+}
+_NAMES = ["cycle", *NARROW.measures]
+_SLOTS = [f"f_{n}" for n in _NAMES]
+#: A forest and a regression given by rule, to be scored in both engines.
+_GIVEN_FOREST = [
+    compiled.Node(
+        t % 6, 0.1 + 0.07 * t,
+        compiled.Node((t + 2) % 6, 0.05 * t, compiled.Node(values=(0.7, 0.2, 0.1)), compiled.Node(values=(0.1 * t / 9, 0.5, 0.5 - 0.1 * t / 9))),
+        compiled.Node((t + 4) % 6, 0.9 - 0.08 * t, compiled.Node(values=(0.2, 0.3, 0.5)), compiled.Node(values=(0.25, 0.05 * t, 0.75 - 0.05 * t))),
+    )
+    for t in range(9)
+]
+_GIVEN = {
+    "forest": compiled.forest(_GIVEN_FOREST, _SLOTS, ("0", "2", "1")),
+    "regression": compiled.regression(
+        [[(-1.0) ** (i + k) * (0.3 + 0.2 * i + 0.1 * k) for i in range(6)] for k in range(3)], [0.1, -0.2, 0.05], _SLOTS, ("0", "1", "2")
+    ),
+    "boosted": compiled.boosted([[n for n in _GIVEN_FOREST[k::3]] for k in range(3)], 0.3, _SLOTS, ("0", "1", "2")),
+}
+_SCALED_SLOTS = {
+    **_LABELLED,
+    "rng": "SELECT " + ", ".join(f"min({c}) AS {c}_lo, max({c}) AS {c}_hi" for c in _NAMES) + " FROM lab",
+    "slots": "SELECT id, lab.cycle, "
+    + ", ".join(f"CASE WHEN {c}_hi = {c}_lo THEN 0.5::DOUBLE ELSE (lab.{c} - {c}_lo) / ({c}_hi - {c}_lo)::DOUBLE END AS f_{c}" for c in _NAMES)
+    + " FROM lab, rng",
+}
+
+
+def _given_query(name: str) -> Query:
+    model = _GIVEN[name]
+
+    def run(spark, sf_dir):
+        table = compiled.feature_table(_prepared(spark, sf_dir), _NAMES, ["id", "cycle"])
+        return _rounded_doubles(model.score(table, ["id", "cycle"]))
+
+    return run
+
+
+for _name, _model in _GIVEN.items():
+    _query(
+        f"m13_given_{_name}",
+        _sql(
+            "SELECT id, cycle, prediction, " + ", ".join(f"round(probability_{k}, 6) AS probability_{k}" for k in range(3))
+            + f" FROM ({_model.sql('slots', ['id', 'cycle'])})",
+            NARROW,
+            **_SCALED_SLOTS,
+        ),
+    )(_given_query(_name))
+
+
+def _compiled_query(kind: str, label: str, **options) -> Query:
+    def run(spark, sf_dir):
+        """Each row: the compiled statement's class and probabilities against the model's own."""
+        df = _prepared(spark, sf_dir)
+        model = models.train(df, kind, label, **options)
+        written = compiled.compile_model(model, _SLOTS)
+        own = models.score(df, model, label)
+        scores = [F.col("scores")[k] for k in range(len(written.labels))]
+        own = own.withColumn("p", F.array(*boosting.softmax(scores)) if "scores" in own.columns else vector_to_array("probability"))
+        keep = ["id", "cycle", "label", "own", "p"]
+        source = own.select("id", "cycle", "label", F.col("prediction").alias("own"), "p", "scaledFeatures")
+        scored = written.score(compiled.feature_table(source, _NAMES, keep), keep)
+        gaps = [F.abs(F.col("p")[k] - F.col(f"probability_{k}")) for k in range(len(written.labels))]
+        same = (F.col("prediction") == F.col("own")) & (F.greatest(*gaps) < 1e-9)
+        return scored.select("id", "cycle", "label", same.alias("same"))
+
+    return run
+
+
+for _name, _kind, _label, _options in (
+    ("m8_forest_compiled", "rf", "label2", {}),
+    ("m11_forest_weighted_compiled", "rf_weighted", "label2", {"numTrees": 12, "maxDepth": 4}),
+    ("m6_logistic_compiled", "lr", "label2", {}),
+    ("m10_logistic_weighted_compiled", "lr_weighted", "label1", {}),
+    ("m12_boosted_compiled", "gbt_weighted", "label2", {"maxIter": 3, "maxDepth": 3}),
+):
+    _query(_name, _sql(f"SELECT id, cycle, CAST({_label} AS DOUBLE) AS label, TRUE AS same FROM lab", NARROW, **_LABELLED))(
+        _compiled_query(_kind, _label, **_options)
+    )
+
+
+@_query(
+    "m14_saved_compiled",
+    _sql("SELECT id, cycle, CAST(label2 AS DOUBLE) AS label, TRUE AS same FROM cutlab", NARROW, **_CUT_LABELLED),
+)
+def m14_saved_compiled(spark, sf_dir):
+    """A model that was saved and loaded scores another table as its compiled statement does."""
+    path = work_path(spark, "model")
+    models.save(models.train(_prepared(spark, sf_dir), "rf", "label2"), path)
+    model = models.load(path, "RF")
+    rows = fx.cut(spark, sf_dir, NARROW, prepare.label_steps(NARROW, fx.truth(spark, sf_dir)))
+    own = models.score(_scaled(rows, NARROW), model, "label2")
+    source = own.select("id", "cycle", "label", F.col("prediction").alias("own"), "scaledFeatures")
+    keep = ["id", "cycle", "label", "own"]
+    scored = compiled.compile_model(model, _SLOTS).score(compiled.feature_table(source, _NAMES, keep), keep)
+    return scored.select("id", "cycle", "label", (F.col("prediction") == F.col("own")).alias("same"))
+
+
 @_query("m14_evaluate_saved", _facts_sql("SELECT CAST(least(label2, 1) AS DOUBLE) AS label FROM lab"))
 def m14_evaluate_saved(spark, sf_dir):
     data, model = _prepared_path(spark, sf_dir), work_path(spark, "model")
@@ -1089,12 +1296,6 @@ _GRID_SQL = " UNION ALL BY NAME ".join(
     for target in ("label1", "label2")
     for kind in ("lr", "rf")
 )
-_CUT_LABELLED = {
-    "truth": oracle.truth(),
-    "cut": oracle.truncated(),
-    "cutruled": _TEST_CTES["ruled"],
-    "cutlab": oracle.with_labels("cutruled"),
-}
 
 
 @_query("m15_grid", _facts_sql(_GRID_SQL, **_CUT_LABELLED))
@@ -1123,6 +1324,17 @@ def m16_implicit_factors(spark, sf_dir):
     return vectors.select("id", F.size("features").alias("rank"), finite.alias("finite"))
 
 
+@_query(
+    "m16_user_residuals",
+    "SELECT DISTINCT CAST(o_custkey AS INT) AS id, TRUE AS solved FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+)
+def m16_user_residuals(spark, sf_dir):
+    """Every user vector solves its normal equations given the item vectors, to single precision."""
+    ratings = fx.ratings(spark, sf_dir)
+    gaps = factors.user_residuals(factors.fit_implicit(ratings), ratings)
+    return gaps.select("id", (F.col("residual") < 1e-2).alias("solved"))
+
+
 @_query("m17_libsvm_metrics", _sql("SELECT DISTINCT CAST(label2 AS DOUBLE) AS label, TRUE AS agree FROM lab", NARROW, **_LABELLED))
 def m17_libsvm_metrics(spark, sf_dir):
     path = work_path(spark, "libsvm")

@@ -115,11 +115,11 @@ def _complete_with_modes(spec: TelemetrySpec, modes: PipelineModel) -> UnitStep:
     return row_step(step)
 
 
-def _typed(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, str]:
-    """The parsed table, written once, and its path."""
+def _typed(spark: SparkSession, df: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, str]:
+    """The parsed table, written once, and its path; a filter on a column of ``by`` reads its own files only."""
     path = work_path(spark, "typed")
-    write_parquet(df, path)
-    return read_prepared(spark, path), path
+    write_parquet(df, path, partition_by=by)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns), path
 
 
 def enrich(
@@ -255,7 +255,7 @@ def prepare_sets(
     if any(run.mode_feature != "number" for run in runs.values()):
         raise ValueError("prepare_sets needs training runs with the mode as a number")
     keyed = spec.with_dataset()
-    typed, path = _typed(spark, read_telemetry_sets(spark, inputs, spec))
+    typed, path = _typed(spark, read_telemetry_sets(spark, inputs, spec), ["dataset"])
     df = reject_incomplete(typed, keyed.key)
 
     def each_set(table, step):

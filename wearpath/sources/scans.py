@@ -27,6 +27,48 @@ def read_telemetry(spark: SparkSession, path: str | list[str], spec: TelemetrySp
     return _text_table(spark, path, spec.schema(), " ")
 
 
+def read_telemetry_lines(spark: SparkSession, path: str | list[str], spec: TelemetrySpec = TURBOFAN, required: Sequence[str] | None = None) -> DataFrame:
+    """Telemetry lines with what is wrong with them, as ``read_telemetry`` types them.
+
+    Beside the columns: ``line``, ``reason`` (NULL if the line is whole, else each required column
+    that is missing or not of its type; all columns are required unless named), ``file``,
+    ``block`` (the byte at which the part of the file begins that was read with the line) and
+    ``row`` (the order of lines within one reading task). Surplus fields are no fault; an empty line misses all.
+    """
+    schema = spec.schema()
+    parts = F.split("value", " ")
+    need = [f.name for f in schema] if required is None else list(required)
+    tokens = {f.name: F.nullif(F.get(parts, F.lit(i)), F.lit("")) for i, f in enumerate(schema)}
+    words = ("NaN", "Inf", "-Inf", "Infinity", "-Infinity")  # the only spellings that the table scan takes
+    plain = {n: F.when(t.isin(*words) | ~t.rlike("(?i)nan|inf"), t) for n, t in tokens.items()}
+    typed = {f.name: plain[f.name].try_cast(f.dataType) for f in schema}
+    faults = [
+        F.when(tokens[f.name].isNull(), f"{f.name} is missing").when(typed[f.name].isNull(), f"{f.name} is not {f.dataType.simpleString()}")
+        for f in schema
+        if f.name in need
+    ]
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row")
+    )
+    reason = F.nullif(F.concat_ws("; ", *faults), F.lit(""))
+    return lines.select(*[c.alias(n) for n, c in typed.items()], F.col("value").alias("line"), reason.alias("reason"), "file", "block", "row")
+
+
+def quarantine(lines: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Write the result of ``read_telemetry_lines`` once: whole rows, and the side table of (line, reason, file, block, row).
+
+    Both lie under ``path``, as ``rejected=false`` and ``rejected=true``, from one pass over the
+    text: what is kept and what is quarantined add up to what was read.
+    """
+    side = ["line", "reason", "file", "block", "row"]
+    kept = [c for c in lines.columns if c not in side]
+    whole = F.col("reason").isNull()
+    rows = lines.select(*kept, *[F.when(~whole, F.col(c)).alias(c) for c in side], (~whole).alias("rejected"))
+    rows.write.partitionBy("rejected").parquet(path)
+    back = lines.sparkSession.read.schema(rows.schema).parquet(path)
+    return back.where(~F.col("rejected")).select(*kept), back.where("rejected").select(*side)
+
+
 def read_truth(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Blank-separated truth (unit, life after the last cycle) without header."""
     return _text_table(spark, path, TRUTH_SCHEMA, " ")
