@@ -62,6 +62,36 @@ def test_components_equal_union_find(spark):
     assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+@pytest.mark.parametrize("hub", [50_000, 5])
+def test_components_of_paths_and_hubs(spark, monkeypatch, hub):
+    monkeypatch.setattr(graph, "HUB", hub)
+    rng = random.Random(hub)
+    names = list(range(6000))
+    rng.shuffle(names)
+    path = [(names[i], names[i + 1]) for i in range(2500)]
+    star = [(names[3000], names[i]) for i in range(3001, 4500)] * 2
+    bridge = [(names[3000], names[4600]), (names[4600], names[4700]), (names[4601], names[4602])]
+    links = path + star + bridge
+    rng.shuffle(links)
+    edges = spark.createDataFrame(links, "a bigint, b bigint").repartition(40)
+    found = graph.components(edges).collect()
+    want = roots(6000, links)
+    assert len(found) == len(dict(found)) and dict(found) == {x: want[x] for e in links for x in e}
+    text = edges.select(*(F.unhex(F.lpad(F.hex(c), 8, "0")).alias(c) for c in "ab"))
+    assert {int.from_bytes(i): int.from_bytes(c) for i, c in graph.components(text).collect()} == dict(found)
+
+
+def test_joined_components(spark):
+    rng = random.Random(6)
+    first, more = ([(rng.randrange(400), rng.randrange(400)) for _ in range(150)] for _ in range(2))
+    found = graph.components(spark.createDataFrame(first, "a bigint, b bigint"))
+    joined = graph.joined_components(found, spark.createDataFrame(more, "a bigint, b bigint")).collect()
+    want = roots(400, first + more)
+    assert len(joined) == len(dict(joined)) and dict(joined) == {x: want[x] for a, b in first + more if a != b for x in (a, b)}
+    same = graph.joined_components(found, spark.createDataFrame([], "a bigint, b bigint"))
+    assert sorted(same.collect()) == sorted(found.collect())
+
+
 # 1 quality
 
 

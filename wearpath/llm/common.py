@@ -34,7 +34,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(df: DataFrame) -> None:
-    """Delete the files of a table made by ``stored`` that nothing reads any more."""
+    """Delete the files of a table that ``stored`` returned, if nothing reads them any more."""
     if (path := _PATHS.pop(df, None)) and (entry := (df.sparkSession, path)) in _WRITTEN:
         _WRITTEN.remove(entry)
         delete_path(*entry)
