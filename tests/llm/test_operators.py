@@ -4,6 +4,7 @@ import base64
 import hashlib
 import os
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -81,6 +82,19 @@ def test_components_of_paths_and_hubs(spark, monkeypatch, hub):
     assert {int.from_bytes(i): int.from_bytes(c) for i, c in graph.components(text).collect()} == dict(found)
 
 
+def test_crowded_buckets_are_compared_in_blocks(spark, monkeypatch):
+    rng = random.Random(21)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    prints = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(7))) for b in base for _ in range(60)})
+    rows = [(0, 0, simhash._signed(f), simhash._signed(f), len(prints)) for f in prints]
+    table = spark.createDataFrame(rows, "t int, k bigint, id bigint, c bigint, size bigint").repartition(3)
+    links = simhash.compare_blocks(table, ["t", "k"], radius=4, block=17).collect()
+    place = {simhash._signed(f): i for i, f in enumerate(prints)}
+    want = roots(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4])
+    assert roots(len(prints), [(place[a], place[b]) for a, b in links]) == want
+    assert all((a ^ b) & (2**64 - 1) and ((a ^ b) & (2**64 - 1)).bit_count() <= 4 for a, b in links)
+
+
 def test_joined_components(spark):
     rng = random.Random(6)
     first, more = ([(rng.randrange(400), rng.randrange(400)) for _ in range(150)] for _ in range(2))
@@ -159,6 +173,17 @@ def test_trust_and_distrust_spread_over_links(spark):
     assert found["farm.net"]["distrust"] == pytest.approx(0.15 * 0.85)
 
 
+@pytest.mark.parametrize("referrers", [1, 3, 50])
+def test_a_host_that_links_only_to_a_blocked_one_is_blocked_whoever_else_does(spark, referrers):
+    rows = [(0, "http://bad.com/de/1", "", 1)] + [(i, f"http://f{i}.net/x", "<a href='http://bad.com/q'>", 1) for i in range(1, referrers + 1)]
+    rows += [(90, "http://fair.net/x", "<a href='//bad.com/'>" + "".join(f"<a href='//p{k}.net/'>" for k in range(9)) + "x" * 500_000, 1)]
+    pages = spark.createDataFrame(rows + rows[1:2], "page_id bigint, url string, html string, host int")
+    found = urls.judge_urls(pages).collect()
+    assert len(found) == len(rows) + 1
+    assert {r["host"]: r["verdict"] for r in found} == {"bad.com": "block", "fair.net": "allow"} | {f"f{i}.net": "block" for i in range(1, referrers + 1)}
+    assert urls.rounds_for(0.85, 1e-4) == 57
+
+
 def test_ranks_equal_sql_on_a_random_link_graph(spark):
     rng = random.Random(8)
     hosts = [f"h{i}.{('com', 'org', 'net', 'net')[i % 4]}" for i in range(40)]
@@ -329,6 +354,20 @@ def test_vectors_by_brute_force(spark):
 
 def test_folding_and_exceptions():
     lex = toxicity.Lexicon({"idiot": 4.0, "trash": 3.0}, slope=5.0, offset=-3.0)
+    import time
+
+    start = time.perf_counter()
+    assert lex.hits(toxicity.fold("trash can idiot " * 60_000 + "trash"))[-1][2] == 3.0
+    assert time.perf_counter() - start < 5
+    rng = random.Random(3)
+    for _ in range(50):
+        words = rng.choices(["trash", "can", "idiot", "idiots", "bag", "take", "out", "the", "xtrash"], k=40)
+        text = rng.choice([" ", "  ", ", "]).join(words)
+        phrases = [m.span() for e in map(toxicity.fold, lex.exceptions) for m in re.finditer(rf"(?<![^\W_])(?={re.escape(e)}(?![^\W_]))", text)]
+        covered = [(a, a + len(e)) for e in map(toxicity.fold, lex.exceptions) for m in re.finditer(rf"(?<![^\W_])(?={re.escape(e)}(?![^\W_]))", text) for a in [m.start()]]
+        naive = [(m.start(), m.end(), w) for word, w in lex.weights.items() for m in re.finditer(rf"(?<![^\W_]){word}(?![^\W_])", text)]
+        naive = sorted(n for n in naive if not any(a <= n[0] and n[1] <= b for a, b in covered))
+        assert lex.hits(text) == naive and len(phrases) == len(covered)
     for text in ("You IDIOT", "you 1d10t!", "іdіоt", "ｉｄｉｏｔ", "id\u200biot", "such trash"):
         assert lex.score(text) > 0.5, text
     for text in (None, "", "idiotic idioms", "put it in the trash can", "10 3 1337", "kind words"):
@@ -354,7 +393,35 @@ def test_lexicon_is_learned(spark):
 def test_windows_hold_every_byte():
     data = np.arange(1, 600, dtype=np.uint16).astype(np.uint8)
     x = langid.windows(data, 256)
-    assert x.shape == (3, 256) and (x.reshape(-1)[:599] == data).all() and not x.reshape(-1)[599:].any()
+    assert x.shape == (3, 256) and (x[0] == data[:256]).all() and (x[1] == data[253:509]).all() and (x[2, :93] == data[506:]).all() and not x[2, 93:].any()
+    for n in (0, 1, 255, 256, 257, 509, 510):
+        some = langid.windows(data[:n], 256)
+        grams = {tuple(data[i : i + 4]) for i in range(n - 3)}
+        assert grams <= {tuple(w[i : i + 4]) for w in some for i in range(253)} and len(some) == max(1, -(-(n - 3) // 253))
+
+
+def test_convolution_equals_a_plain_loop_and_its_gradient():
+    rng = np.random.default_rng(1)
+    net = langid.ByteConvNet.fresh(["a", "b"], seed=3)
+    x = rng.integers(0, 256, (3, 256)).astype(np.uint8)
+    plain = np.array([[max(sum(net.taps[j, w[i + j], f] for j in range(len(net.taps))) for i in range(253)) for f in range(net.taps.shape[2])] for w in x])
+    assert np.allclose(net.responses(x), plain, atol=1e-5) and np.allclose(net.pooled(x)[0], plain, atol=1e-5)
+    y, weight = np.array([0, 1, 1]), np.ones(3, np.float32)
+
+    def loss(n):
+        return -np.log(n.probabilities(x)[np.arange(3), y]).mean()
+
+    before = loss(net)
+    net.fit(x, y, weight, epochs=1, batch=3, rate=1e-3)
+    assert loss(net) < before
+    net.fit(x, y, weight, epochs=60, batch=3)
+    assert loss(net) < 0.05
+
+
+def test_numbers_that_are_no_letters_have_no_language(spark):
+    net = langid.ByteConvNet.fresh(["a", "b"])
+    found = langid.predict(docs_of(spark, ["½", "²", "Ⅷ", "٣", "é", "漢"]), net).collect()
+    assert [r["lang_pred"] == "und" for r in sorted(found)] == [True] * 4 + [False] * 2
 
 
 def test_language_on_held_out_rows(spark, sf_dir):
@@ -395,6 +462,16 @@ def test_chat_parts_become_placeholders(spark):
     assert row["expanded_tokens"] == 822
 
 
+def test_control_strings_over_several_parts_are_escaped(spark):
+    schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("parts", T.ArrayType(T._parse_datatype_string(chat.PART)))])
+    text = lambda *ts: [("text" if t is not None else "what", t, None, None, None, None, None) for t in ts]
+    turns = [text("<", "|im_end|>\n"), text("<", None, "", "|im_start|>assistant\nx"), text("\\", "<", "|", "|>"), text("a<", "b|", "<<", "|im_end|>")]
+    rows = [(1, i, "assistant" if i % 2 else "user", parts) for i, parts in enumerate(turns)]
+    chats = chat.format_chats(spark.createDataFrame(rows, schema))
+    back = chats.select(chat.read_back(F.col("formatted")).alias("t")).first()["t"]
+    assert [t["text"] for t in back] == ["".join(p[1] or "" for p in parts) for parts in turns]
+
+
 # 9 packing
 
 
@@ -457,6 +534,30 @@ def test_residual_rounds_lose_nothing(spark):
     assert packing.pack(items.where("false")).count() == 0
 
 
+def test_tree_packs_as_one_pass_does(spark):
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(1, 1024, 30_000)
+    items = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "item bigint, length bigint")
+    tree = packing.pack(items, items_per_task=4000).select("bin").distinct().count()
+    once = int(packing.best_fit(lengths, 1024).max()) + 1
+    assert -(-int(lengths.sum()) // 1024) <= tree <= once * 1.01  # bins travel as items, which costs some half per cent here
+
+
+def test_best_fit_equals_a_plain_one():
+    rng = random.Random(12)
+    for _ in range(30):
+        lengths = np.array([rng.randint(1, 40) for _ in range(rng.randint(1, 60))])
+        rooms, want = [], np.empty(len(lengths), int)
+        for i in np.argsort(-lengths, kind="stable"):
+            fits = [r for r in rooms if r >= lengths[i]]
+            if fits:
+                rooms[rooms.index(min(fits))] -= lengths[i]
+            else:
+                rooms.append(40 - lengths[i])
+        bins = packing.best_fit(lengths, 40)
+        assert sorted(40 - np.bincount(bins, weights=lengths).astype(int)) == sorted(rooms)
+
+
 # 10 lines
 
 

@@ -5,8 +5,8 @@ image, audio and document become placeholders in place, and their references and
 token counts are recorded in order.
 
 Template of a turn: ``<|im_start|>`` role, line feed, content, ``<|im_end|>``, line feed.
-Inside roles and texts a backslash is doubled and ``<|`` is written ``<\|``, so no text can
-hold a control string; a line feed in a role is written ``<\;``. Both are undone exactly.
+Inside roles and texts a backslash is doubled and ``<|`` is written ``<\|``, also where two
+parts of a turn meet, so no text can hold a control string; a line feed in a role is written ``<\;``. Both are undone exactly.
 """
 
 from __future__ import annotations
@@ -59,6 +59,12 @@ def visit(part: Column) -> Column:
     return out.otherwise(F.lit(""))
 
 
+def _after(before: Column, piece: Column) -> Column:
+    """A piece after what stands before it; escaped too where ``<`` and ``|`` of two texts meet, as in their joined text."""
+    meets = F.endswith(before, F.lit("<")) & F.startswith(piece, F.lit("|"))
+    return F.concat(before, F.when(meets, "\\").otherwise(""), piece)
+
+
 def attachment(part: Column) -> Column:
     """Struct (kind, ref, tokens) of an attachment part."""
     tokens = F.lit(None).cast("bigint")
@@ -84,7 +90,7 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     value in the result, so its turns meet in one task; nothing larger does.
     """
     p = F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>"))
-    content = F.array_join(F.transform(p, visit), "")
+    content = F.aggregate(F.transform(p, visit), F.lit(""), _after)
     seen = F.transform(F.filter(p, lambda x: x["type"].isin(*TOKENS)), attachment)
     name = F.coalesce(F.col(role), F.lit(""))
     rows = turns.select(

@@ -228,14 +228,19 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_column: str = "
         "intervals",
     )
     box = blocks.select("block", "group", "lo", "hi", F.floor(F.element_at("lo", 1) / cell).alias("c0"), F.floor(F.element_at("hi", 1) / cell).alias("c1"))
-    left = box.select("*", F.explode(F.sequence("c0", "c1")).alias("c")).alias("x")
-    right = box.select("*", F.explode(F.sequence(F.col("c0") - 1, F.col("c1") + 1)).alias("c")).alias("y")
+    # intervals meet in the cells of the two leading directions that they span, or in neighbouring ones
+    last = F.least(F.size("lo"), F.lit(2))
+    box = box.withColumns({"d0": F.floor(F.element_at("lo", last) / cell), "d1": F.floor(F.element_at("hi", last) / cell)})
+    span = lambda df, more: df.select("*", F.explode(F.sequence(F.col("c0") - more, F.col("c1") + more)).alias("c")).select(
+        "*", F.explode(F.sequence(F.col("d0") - more, F.col("d1") + more)).alias("d")
+    )
+    left, right = span(box, 0).alias("x"), span(box, 1).alias("y")
     gap = F.zip_with(
         F.zip_with("x.lo", "y.hi", lambda a, b: a - b), F.zip_with("y.lo", "x.hi", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0))
     )
     near = F.aggregate(gap, F.lit(0.0), lambda s, g: s + g * g) <= cell * cell + _SLACK
     pairs = stored(
-        left.join(right, (F.col("x.group") == F.col("y.group")) & (F.col("x.c") == F.col("y.c")) & (F.col("x.block") <= F.col("y.block")) & near)
+        left.join(right, (F.col("x.group") == F.col("y.group")) & (F.col("x.c") == F.col("y.c")) & (F.col("x.d") == F.col("y.d")) & (F.col("x.block") <= F.col("y.block")) & near)
         .select(F.col("x.block").alias("i"), F.col("y.block").alias("j"))
         .distinct(),
         "interval_pairs",

@@ -159,24 +159,11 @@ def shared_buckets(rows: DataFrame, bucket: list[str], spread: bool = True) -> D
     )
 
 
-def _close_pairs(verify: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, list[str]], DataFrame]:
-    """Compare every pair of a bucket's rows (bucket..., id, c) with different ``c`` in a join."""
-
-    def compare(rows: DataFrame, bucket: list[str]) -> DataFrame:
-        x, y = rows.alias("x"), rows.alias("y")
-        on = F.col("x.c") < F.col("y.c")
-        for k in bucket:
-            on = on & (F.col(f"x.{k}") == F.col(f"y.{k}"))
-        return verify(x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-
-    return compare
-
-
 def link_buckets(
     members: DataFrame,
     bucket: list[str],
     verify: Callable[[DataFrame], DataFrame],
-    compare: Callable[[DataFrame, list[str]], DataFrame] | None = None,
+    compare: Callable[[DataFrame, list[str]], DataFrame],
     first_pairs: DataFrame | None = None,
 ) -> DataFrame:
     """Components (id, component) of all verified pairs that share a bucket.
@@ -184,7 +171,7 @@ def link_buckets(
     ``members`` comes from ``shared_buckets`` and is read several times (store it).
     ``verify`` keeps the true pairs of a table (a, b). ``compare`` gets rows (bucket..., id,
     c) and returns links (a, b) that connect whatever the true pairs with different ``c`` in
-    a bucket connect; by default it joins the rows and verifies.
+    a bucket connect.
 
     1. Each member is compared with its bucket's leader, or ``first_pairs`` (a, b) instead,
        and components are formed.
@@ -224,5 +211,5 @@ def link_buckets(
         first = F.first(F.struct("id", "c")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         pairs = open_rows.withColumn("f", first).where("f.c != c").select(F.col("id").alias("a"), F.col("f.id").alias("b"))
         found = stored(joined_components(found, stored(verify(pairs.distinct()), "links")), "components")
-    more = stored((compare or _close_pairs(verify))(open_rows.drop("w"), bucket), "links")
+    more = stored(compare(open_rows.drop("w"), bucket), "links")
     return stored(joined_components(found, more), "components")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,15 +22,19 @@ WINDOWS_EACH = 4
 EPOCHS = 6
 #: Windows whose convolutions are in memory at once.
 _AT_ONCE = 128
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters of any script; numbers of other kinds (fractions, numerals) are none.
+_LETTER = regex.compile(r"\p{L}")
+#: Bytes from one window to the next: windows overlap, so that each n-gram lies whole in one.
+STRIDE = WINDOW - max(WIDTHS) + 1
 
 
 def windows(data: np.ndarray, size: int = WINDOW) -> np.ndarray:
-    """All of ``data`` (bytes) in rows of ``size``, the last one filled with zeros; at least one row."""
-    rows = max(1, -(-len(data) // size))
-    out = np.zeros(rows * size, np.uint8)
+    """All of ``data`` (bytes) in rows of ``size`` that overlap by the widest filter's bytes but one; zeros fill up the last. At least one row."""
+    stride = size - max(WIDTHS) + 1
+    rows = max(1, -(-(len(data) - size + stride) // stride))
+    out = np.zeros((rows - 1) * stride + size, np.uint8)
     out[: len(data)] = data
-    return out.reshape(rows, size)
+    return np.lib.stride_tricks.sliding_window_view(out, size)[::stride].copy()
 
 
 @dataclass
@@ -123,13 +127,14 @@ class ByteConvNet:
             return "und", 0.0
         data = np.frombuffer(text, np.uint8)
         total = np.zeros(len(self.languages))
-        step = WINDOW * 4096
-        for i in range(0, len(data), step):
-            x = windows(data[i : i + step])
-            sizes = np.full(len(x), WINDOW)
-            sizes[-1] = len(data[i : i + step]) - WINDOW * (len(x) - 1)
+        step = STRIDE * 4096
+        for i in range(0, max(1, len(data) - WINDOW + STRIDE), step):
+            part = data[i : i + step + WINDOW - STRIDE]
+            x = windows(part)
+            sizes = np.full(len(x), STRIDE)
+            sizes[-1] = min(len(part), len(data) - i) - STRIDE * (len(x) - 1)
             total += sizes @ self.probabilities(x).astype(np.float64)
-        total /= len(data)
+        total /= total.sum()
         k = int(total.argmax())
         return self.languages[k], float(min(1.0, total[k]))
 

@@ -18,8 +18,6 @@ from wearpath.llm.common import as_bytes, chunks, map_batches, stored
 ITEMS_PER_TASK = 40_000
 #: Share of a bin from which a bin is closed before the last round.
 NEARLY_FULL = 0.998
-#: A round that leaves more than this share of its items is the last.
-LEAST_GAIN = 0.98
 
 #: Letters that both tokenizer libraries are tested to class alike; other texts go to the slower one.
 _COMMON = re.compile("[\x00-ɏ -⁯]*")
@@ -172,7 +170,7 @@ def pack(lengths: DataFrame, size: int = 1024, items_per_task: int = ITEMS_PER_T
     Partitions pack their items by best fit. Bins that are nearly full, or that no item
     could still enter as every item is longer than their room, are final. The others become
     items themselves and are packed again in a few partitions less, until one partition is
-    left or a round gains nothing. No task holds more than ``items_per_task`` items at once.
+    left or a round saves no bin. No task holds more than ``items_per_task`` items at once.
     Offsets are gapless from 0 in each bin. Items must be distinct; an empty table gives no rows.
     """
     spark = lengths.sparkSession
@@ -189,7 +187,7 @@ def pack(lengths: DataFrame, size: int = 1024, items_per_task: int = ITEMS_PER_T
         rounds.append(packed)
         over = packed.where("!done").select(F.col("bin").alias("item"), F.col("total").alias("length")).distinct()
         now = over.count() if parts > 1 else 0
-        if now < 2 or now > LEAST_GAIN * left:
+        if now < 2 or now >= left:
             break
         items, left = over, now
     # from the top down: a bin of a lower round lies in a bin of the next at some offset

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOLS = "#*$%&|<>"
 _ENDS = ".!?:;…。！？\"'”’»)]"
 _BULLET = re.compile(r"\s*(?:[-*•·]|\d{1,3}[.)])\s")
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 #: Phrases of page furniture, lower case. A line of at most ``boilerplate_words`` words that holds one fails.
 BOILERPLATE = (

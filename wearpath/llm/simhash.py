@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wearpath.llm.common import as_bytes, map_batches, stored
-from wearpath.llm.graph import link_buckets, shared_buckets
+from wearpath.llm.graph import _Sets, link_buckets, shared_buckets
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Shingles whose bits are counted at once.
 _SLICE = 200_000
+#: Fingerprints of one bucket that a task compares with as many others at once.
+BLOCK = 2_000
 
 
 def word_shingles(text: bytes | None, width: int) -> Iterator[bytes]:
@@ -72,6 +74,58 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def compare_blocks(rows: DataFrame, bucket: list[str], radius: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that join the fingerprints within ``radius`` of each bucket in ``rows`` (bucket..., id, c, size).
+
+    A bucket is cut into blocks of about ``block`` fingerprints, and each pair of blocks is one group of
+    a task, so a group is bounded however large the bucket is.
+    """
+    own = rows.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    group = F.struct(*bucket, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    met = (
+        own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select(F.to_json(group).alias("g"), "own", "id", "c")
+        .repartition("g")
+        .sortWithinPartitions("g", "own", "id")
+    )
+
+    def links(side: np.ndarray, ids: np.ndarray, comps: np.ndarray) -> list[tuple[int, int]]:
+        first = int(np.searchsorted(side, side[-1]))  # of the second block; 0 if the group is one block
+        out, sets = [], _Sets()
+        for i in range(first or len(ids)):
+            start = first or i + 1
+            near = np.nonzero(np.bitwise_count(ids[start:].view(np.uint64) ^ ids[i : i + 1].view(np.uint64)) <= radius)[0] + start
+            for j in near.tolist():
+                a, b = sets.root(int(comps[i])), sets.root(int(comps[j]))
+                if a != b:
+                    sets.join(a, b)
+                    out.append((int(ids[i]), int(ids[j])))
+        return out
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+
+        def packed() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            a, b = zip(*found) if (found := links(*columns)) else ((), ())
+            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            names = batch.column("g").to_pylist()
+            arrays = [batch.column(c).to_numpy() for c in ("own", "id", "c")]
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for i, j in zip(cuts, cuts[1:]):
+                if held and names[i] != last:
+                    yield packed()
+                    held = []
+                last = names[i]
+                held.append([c[i:j] for c in arrays])
+        if held:
+            yield packed()
+
+    return met.mapInArrow(work, "a bigint, b bigint")
+
+
 def near_components(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Connect equal or near fingerprints of ``fps`` (id, fp): rows (fp, component_id).
 
@@ -89,7 +143,7 @@ def near_components(fps: DataFrame, radius: int = 4) -> DataFrame:
     def close(pairs: DataFrame) -> DataFrame:
         return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
-    found = link_buckets(members, ["t", "k"], close)
+    found = link_buckets(members, ["t", "k"], close, lambda rows, bucket: compare_blocks(rows, bucket, radius))
     joined = nodes.join(found.withColumnRenamed("id", "fp"), "fp", "left").withColumn("c", F.coalesce("component", "fp"))
     least = joined.groupBy("c").agg(F.min("least").alias("component_id"))
     return joined.join(least, "c").select("fp", "component_id")

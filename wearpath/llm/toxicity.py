@@ -112,15 +112,24 @@ class Lexicon:
                 excused.append((start, end))
             else:
                 found.append((start, end, weight))
-        if excused:
-            found = [f for f in found if not any(a <= f[0] and f[1] <= b for a, b in excused)]
-        return found
+        if not excused:
+            return found
+        found.sort()
+        excused.sort()
+        kept, at, reach = [], 0, 0  # reach: the furthest end of the phrases that begin at or before a hit
+        for hit in found:
+            while at < len(excused) and excused[at][0] <= hit[0]:
+                reach = max(reach, excused[at][1])
+                at += 1
+            if hit[1] > reach:
+                kept.append(hit)
+        return kept
 
     def density(self, text: str) -> float:
-        """Weights of all hits over the logarithm of the length, so that long texts are not toxic for one word in many."""
+        """Weights of all hits over the logarithm of the number of words, so that long texts are not toxic for one word in many."""
         folded = fold(text)
         total = sum(h[2] for h in self.hits(folded))
-        return total / math.log2(16 + folded.count(" ") + folded.count("\n")) if total else 0.0
+        return total / math.log2(16 + len(folded.split())) if total else 0.0
 
     def score(self, text: str | None) -> float:
         z = self.slope * self.density(text or "") + self.offset
@@ -206,7 +215,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2)
 def score(docs: DataFrame, lexicon: Lexicon, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id_column, score) from 0 to 1 for every whole text; null and empty texts score as without a hit.
 
-    Repeated rows and null ids stay; other columns are not read.
+    An empty table gives no rows. Repeated rows and null ids stay; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -55,31 +56,43 @@ def host_edges(pages: DataFrame, url_column: str = "url", html_column: str = "ht
     )
 
 
+#: Damping of both ranks, and the largest share of a seed's weight that the rounds may leave unsettled.
+DAMPING, TOLERANCE = 0.85, 1e-4
+
+
+def rounds_for(damping: float = DAMPING, tolerance: float = TOLERANCE) -> int:
+    """Rounds after which no score can differ from its limit by more than ``tolerance`` times the seeds' sum."""
+    return math.ceil(math.log(tolerance) / math.log(damping))
+
+
 def personalised_rank(
-    hosts: DataFrame, edges: DataFrame, seed: str, damping: float = 0.85, rounds: int = 20, store_every: int = 4
+    hosts: DataFrame, edges: DataFrame, seed: str, shared_by: str = "src", damping: float = DAMPING, tolerance: float = TOLERANCE, store_every: int = 4
 ) -> DataFrame:
     """PageRank of ``hosts`` (host, ``seed`` weight) over ``edges`` (src, dst) with restarts at the seeds: (host, score).
 
-    Hosts without links give their rank back to nobody, so the scores sum to the seeds' sum
-    at most. Each round is one join on the source and one sum by target, combined before the
-    shuffle; the lineage is cut every ``store_every`` rounds.
+    ``shared_by="src"``: a host's rank is shared among its targets, as usual. ``"dst"``: a
+    host gets the mean over its sources, so its score does not fall because others get the
+    same source's rank too. Each round is one join on the source and one sum by target,
+    combined before the shuffle; the lineage is cut every ``store_every`` rounds. The rounds
+    end when no score moves any more, at the latest when ``tolerance`` is reached.
     """
     start = hosts.select("host", F.col(seed).alias("base"))
-    out = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    weighted = stored(edges.join(out, "src").select("src", "dst", (1 / F.col("degree")).alias("w")), "weighted_edges")
+    out = edges.groupBy(shared_by).agg(F.count("*").alias("degree"))
+    weighted = stored(edges.join(out, shared_by).select("src", "dst", (1 / F.col("degree")).alias("w")), "weighted_edges")
     if weighted.isEmpty():
         return start.select("host", ((1 - damping) * F.col("base")).alias("score"))
-    rank = start.select("host", "base", F.col("base").alias("score"))
+    rank, rounds = start.select("host", "base", F.col("base").alias("score"), F.lit(0.0).alias("before")), rounds_for(damping, tolerance)
     for i in range(1, rounds + 1):
         given = (
             rank.where("score > 0").join(weighted, rank["host"] == weighted["src"])
             .groupBy("dst").agg(F.sum(F.col("score") * F.col("w")).alias("got"))
         )
-        rank = rank.join(given, rank["host"] == given["dst"], "left").select(
-            "host", "base", ((1 - damping) * F.col("base") + damping * F.coalesce("got", F.lit(0.0))).alias("score")
-        )
+        now = ((1 - damping) * F.col("base") + damping * F.coalesce("got", F.lit(0.0))).alias("score")
+        rank = rank.join(given, rank["host"] == given["dst"], "left").select("host", "base", now, F.col("score").alias("before"))
         if i % store_every == 0 or i == rounds:
             rank = stored(rank, "rank")
+            if (rank.agg(F.max(F.abs(F.col("score") - F.col("before")))).first()[0] or 0.0) < 1e-15:
+                break
     return rank.select("host", "score")
 
 
@@ -97,12 +110,15 @@ def judge_urls(
     The longest rule that fits decides. Where none fits, the host does: trust flows along
     the links from hosts with allowed pages, distrust against the links from hosts with
     blocked pages (who links to a blocked host is suspect), and a host is blocked if its
-    distrust exceeds ``distrust_ratio`` times its trust and ``least_distrust``. Seeds weigh
+    distrust exceeds ``distrust_ratio`` times its trust and ``least_distrust``. A host's
+    distrust is the damped mean over the hosts it links to, so it does not depend on how many
+    others link there: a host of which two fifths of the links lead to wholly blocked hosts reaches 0.05. Seeds weigh
     by their share of allowed and blocked pages, so a host with both is judged by which
     prevails. Without links, 0.05 is reached where a third of a host's pages are blocked. A
     host without links and rules is allowed.
 
     Null and malformed urls have an empty host and path and are allowed; repeated rows stay.
+    An empty table gives no rows. Columns other than the three named are not read.
     """
     host, path = host_of(F.col(url_column)), path_of(F.col(url_column))
     judged = pages.select(F.col(id_column), host.alias("host"), path.alias("path")).withColumn(
@@ -115,7 +131,7 @@ def judge_urls(
     hosts = stored(others.join(seeds, "host", "full").select("host", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("good", "bad"))), "hosts")
     trust = personalised_rank(hosts, edges, "good").withColumnRenamed("score", "trust")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    distrust = personalised_rank(hosts, back, "bad").withColumnRenamed("score", "distrust")
+    distrust = personalised_rank(hosts, back, "bad", shared_by="dst").withColumnRenamed("score", "distrust")
     scores = stored(trust.join(distrust, "host"), "host_scores").withColumnRenamed("host", "_host")
     blocked = (F.col("distrust") > distrust_ratio * F.col("trust")) & (F.col("distrust") > least_distrust)
     return judged.join(scores, judged["host"] == scores["_host"], "left").select(
@@ -129,7 +145,7 @@ def judge_urls(
     )
 
 
-def judge_sql(rules: Sequence[tuple[str, str, str]] = RULES, damping: float = 0.85, rounds: int = 20) -> str:
+def judge_sql(rules: Sequence[tuple[str, str, str]] = RULES, damping: float = DAMPING, rounds: int = rounds_for()) -> str:
     """``judge_urls`` over ``pages`` in SQL: the ranks are recursive queries of ``rounds`` steps."""
     upper, lower = f"'{_UPPER}'", f"'{_LOWER}'"
     fits = [
@@ -139,7 +155,7 @@ def judge_sql(rules: Sequence[tuple[str, str, str]] = RULES, damping: float = 0.
 
     def rank(name: str, seed: str, src: str, dst: str) -> str:
         return f"""
-{name}_w AS (SELECT {src} AS s, {dst} AS d, 1::DOUBLE / count(*) OVER (PARTITION BY {src}) AS w FROM edges),
+{name}_w AS (SELECT {src} AS s, {dst} AS d, 1::DOUBLE / count(*) OVER (PARTITION BY src) AS w FROM edges),
 {name} AS (
   SELECT host, {seed} AS base, {seed} AS score, 0 AS i FROM hosts
   UNION ALL
