@@ -353,7 +353,8 @@ def test_vectors_by_brute_force(spark):
 
 
 def test_folding_and_exceptions():
-    lex = toxicity.Lexicon({"idiot": 4.0, "trash": 3.0}, slope=5.0, offset=-3.0)
+    innocent = ("trash can", "trash bag", "trash cans", "take out the trash")
+    lex = toxicity.Lexicon({"idiot": 4.0, "trash": 3.0}, innocent, slope=5.0, offset=-3.0)
     import time
 
     start = time.perf_counter()
@@ -387,9 +388,39 @@ def test_lexicon_is_learned(spark):
     assert toxicity.score(docs, empty).where("score >= 0.5").count() == 0
 
 
+def test_phrases_that_clean_texts_share_are_excused(spark):
+    rng = random.Random(9)
+    tails = [" you are trash", " put it in the trash can", " what trash you write", ""]
+    kinds = [0 if i % 4 == 0 else 2 if i % 4 == 2 else 1 if i % 36 == 1 else 3 for i in range(600)]
+    docs = docs_of(spark, [sentence(rng, 40) + tails[k] for k in kinds])
+    labels = spark.createDataFrame([(i, int(kinds[i] in (0, 2))) for i in range(450)], "doc_id bigint, toxic int")
+    lexicon = toxicity.learn(docs, labels)
+    assert "trash" in lexicon.weights and {"the trash", "trash can"} <= set(lexicon.exceptions)
+    assert not {"are trash", "what trash", "trash you"} & set(lexicon.exceptions)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, lexicon).collect()}
+    assert all((scores[i] >= 0.5) == (kinds[i] in (0, 2)) for i in range(450, 600))
+    assert toxicity.Lexicon({"trash": 3.0}).phrases("old trash, new  trash trash can") == {"old trash", "trash trash", "trash can"}
+
+
 # 7 language
 
 
+def test_training_windows_come_from_whole_texts_and_all_languages(spark, monkeypatch):
+    rng = random.Random(4)
+    common = [(i, "en", sentence(rng, 200)) for i in range(300)]
+    hot = [(None, "en", "same words again and again " * 30)] * 300
+    rare = [(1000, "xx", "".join(chr(rng.randint(0x430, 0x44F)) for _ in range(3000)))]
+    rows = spark.createDataFrame([*common, *hot, *rare, (7, None, "x"), (8, "en", None), (9, "en", "")], "doc_id bigint, lang string, text string")
+    seen = []
+    monkeypatch.setattr(langid.ByteConvNet, "fit", lambda self, x, y, weight, **_: seen.append((x, y, weight)))
+    net = langid.train(rows, sample=400)
+    (x, y, weight), whole = seen[0], langid.windows(np.frombuffer(rare[0][2].encode(), np.uint8))
+    assert net.languages == ["en", "xx"] and {bytes(w) for w in x[y == 1]} == {bytes(w) for w in whole}
+    assert 100 < (y == 0).sum() < 320 and len({bytes(w) for w in x}) == len(x)
+    assert np.isclose(weight[y == 0].sum(), weight[y == 1].sum())
+
+
+
 def test_windows_hold_every_byte():
     data = np.arange(1, 600, dtype=np.uint16).astype(np.uint8)
     x = langid.windows(data, 256)

@@ -16,9 +16,8 @@ from wearpath.llm.common import as_bytes, map_batches
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
-#: Labelled documents that are sampled for training, and windows of each.
-TRAIN_DOCUMENTS = 6_000
-WINDOWS_EACH = 4
+#: Windows of labelled texts that the network is trained on, at most about this many; languages share them equally.
+TRAIN_WINDOWS = 24_000
 EPOCHS = 6
 #: Windows whose convolutions are in memory at once.
 _AT_ONCE = 128
@@ -139,40 +138,36 @@ class ByteConvNet:
         return self.languages[k], float(min(1.0, total[k]))
 
 
-def train(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", documents: int = TRAIN_DOCUMENTS) -> ByteConvNet:
-    """A network fitted on a sample of about ``documents`` labelled rows, drawn by a hash of the id.
+def train(labelled: DataFrame, text_column: str = "text", label_column: str = "lang", sample: int = TRAIN_WINDOWS) -> ByteConvNet:
+    """A network fitted on about ``sample`` windows of the labelled texts, at most, drawn by a hash of their bytes.
 
-    Rows without label or text are left out. From each sampled text ``WINDOWS_EACH`` windows,
-    spread over its whole length, go to the driver: a few megabytes at every input size.
+    All windows of all texts are candidates, with the same chance for each window of a
+    language; a rare language gives as many as a common one, or all it has. Equal windows
+    count once, so copies of a text add nothing. Rows without label or text are left out.
     Languages weigh alike. Without any labelled row the network knows no language, and every
     prediction is ``und``.
     """
-    rows = labelled.where(F.col(label_column).isNotNull() & (F.length(text_column) > 0))
-    n = rows.count()
-    share = min(1.0, documents / max(1, n))
-    drawn = rows.where(F.pmod(F.xxhash64(F.col(id_column).cast("string")), F.lit(1_000_000)) < share * 1_000_000)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            labels, parts = [], []
-            for label, text in zip(b.column("label").to_pylist(), b.column("text").to_pylist()):
-                last = max(0, len(text) - WINDOW)
-                for start in sorted({last * i // max(1, WINDOWS_EACH - 1) for i in range(WINDOWS_EACH)}):
-                    labels.append(label)
-                    parts.append(text[start : start + WINDOW])
-            yield pa.record_batch([pa.array(labels, pa.string()), pa.array(parts, pa.binary())], names=["label", "part"])
-
-    found = map_batches(
-        drawn.select(F.col(label_column).cast("string").alias("label"), F.col(text_column).cast("binary").alias("text")), cut, "label string, part binary"
-    ).collect()
-    found.sort()
-    languages = sorted({r[0] for r in found})
+    texts = labelled.where(F.col(label_column).isNotNull() & (F.length(text_column) > 0)).select(
+        F.col(label_column).cast("string").alias("label"), F.col(text_column).cast("binary").alias("text")
+    )
+    many = F.greatest(F.lit(1), F.ceil((F.octet_length("text") - WINDOW) / F.lit(STRIDE)).cast("int") + 1)
+    sizes = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.sum(many).alias("n")).collect()}
+    languages = sorted(sizes)
     net = ByteConvNet.fresh(languages)
+    if not languages:
+        return net
+    spark, scale = labelled.sparkSession, 1_000_000_000
+    shares = [(k, int(scale * min(1.0, max(1, sample // len(languages)) / n))) for k, n in sizes.items()]
+    cut = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.substring("text", i * STRIDE + 1, F.lit(WINDOW)))
+    drawn = texts.join(F.broadcast(spark.createDataFrame(shares, "label string, share bigint")), "label").select(
+        "label", F.explode(F.filter(cut, lambda part: F.pmod(F.xxhash64(part), F.lit(scale)) < F.col("share"))).alias("part")
+    )
+    found = sorted((r["label"], bytes(r["part"])) for r in drawn.distinct().collect())
     if not found:
         return net
-    y = np.array([languages.index(r[0]) for r in found])
-    x = np.concatenate([windows(np.frombuffer(bytes(r[1]), np.uint8)) for r in found])
-    counts = np.bincount(y, minlength=len(languages))
+    y = np.array([languages.index(label) for label, _ in found])
+    x = np.concatenate([windows(np.frombuffer(part, np.uint8)) for _, part in found])
+    counts = np.maximum(np.bincount(y, minlength=len(languages)), 1)
     net.fit(x, y, (len(y) / len(languages) / counts)[y].astype(np.float32))
     return net
 

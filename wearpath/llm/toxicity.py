@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -21,6 +21,12 @@ TRAIN_DOCUMENTS = 20_000
 LEAST_SHARE = 0.02
 LEAST_LOG_ODDS = 2.5
 LEXICON_WORDS = 2_000
+#: Two words of which one is in the lexicon excuse it if this many clean texts hold them and they are no likelier in toxic ones.
+EXCUSED_TEXTS = 3
+EXCUSED_LOG_ODDS = 0.0
+EXCUSED_PHRASES = 2_000
+#: Characters beside a hit in which its neighbour is looked for.
+LONGEST_WORD = 40
 
 #: Fixed values. Letters of other scripts that look like Latin ones, in both alphabets' order.
 _CYRILLIC = dict(zip("авеіјкмнорѕстухԁһԛԝԍ", "abeijkmhopsctyxdhqwg"))
@@ -29,13 +35,6 @@ _GREEK = dict(zip("αβεικνορτυχω", "abeiknoptuxw"))
 _DIGITS = dict(zip("0134578@$!|+€£", "oieastbasilte" + "l"))
 _INVISIBLE = dict.fromkeys("­​‌‍⁠﻿", "")
 
-#: Innocent phrases that hold a word of abuse; folded like texts.
-EXCEPTIONS = (
-    "trash can", "trash cans", "trash bag", "trash bags", "trash bin", "trash collection", "take out the trash",
-    "taking out the trash", "clown fish", "circus clown", "rodeo clown", "class clown", "clown school",
-    "pond scum", "soap scum", "stupid question", "sore loser",
-)
-
 
 def _table() -> dict[int, str]:
     """Full-width forms, homoglyphs and accented Latin letters to plain lower-case ones."""
@@ -56,6 +55,8 @@ _SUBSTITUTES = {ord(k): v for k, v in _DIGITS.items()}
 #: A substitute counts as a letter only beside a letter or another substitute that is.
 _MIXED = re.compile(r"[^\W_]*[0-9@$!|+€£]+[a-z0-9@$!|+€£]*")
 _WORD = re.compile(r"[^\W_]+")
+_BEFORE = re.compile(r"[^\W_]+ \Z")
+_AFTER = re.compile(r" [^\W_]+")
 
 
 def _unmask(match: re.Match) -> str:
@@ -79,7 +80,7 @@ class Lexicon:
     """Weights of words, phrases that excuse them, and the line that turns a density into a probability."""
 
     weights: dict[str, float]
-    exceptions: Sequence[str] = EXCEPTIONS
+    exceptions: Sequence[str] = ()
     slope: float = 1.0
     offset: float = 0.0
     _found: ahocorasick.Automaton | None = field(default=None, repr=False, compare=False)
@@ -125,6 +126,16 @@ class Lexicon:
                 kept.append(hit)
         return kept
 
+    def phrases(self, folded: str) -> set[str]:
+        """Each hit with the word one space before it, and with the word one space after it."""
+        found = set()
+        for start, end, _ in self.hits(folded):
+            if before := _BEFORE.search(folded, max(0, start - LONGEST_WORD), start):
+                found.add(folded[before.start() : end])
+            if after := _AFTER.match(folded, end, end + LONGEST_WORD):
+                found.add(folded[start : after.end()])
+        return found
+
     def density(self, text: str) -> float:
         """Weights of all hits over the logarithm of the number of words, so that long texts are not toxic for one word in many."""
         folded = fold(text)
@@ -141,12 +152,14 @@ def _decoded(column: pa.Array) -> Iterator[str]:
         yield t.as_buffer().to_pybytes().decode("utf-8", "replace") if t.is_valid else ""
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", documents: int = TRAIN_DOCUMENTS, exceptions: Sequence[str] = EXCEPTIONS) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", documents: int = TRAIN_DOCUMENTS, exceptions: Sequence[str] = ()) -> Lexicon:
     """The lexicon of a sample of about ``documents`` labelled texts, drawn by a hash of the id.
 
     Counts, for every folded word, the toxic and the other texts that hold it; words
     clearly likelier in toxic texts enter with their log odds as weight, at most
-    ``LEXICON_WORDS`` of them. The density's slope and offset are a logistic regression on
+    ``LEXICON_WORDS`` of them. Pairs of neighbouring words that hold such a word, but are as
+    common in clean texts, are learned as phrases that excuse it, at most ``EXCUSED_PHRASES``,
+    beside the caller's ``exceptions``. The density's slope and offset are a logistic regression on
     the same sample. Rows without label or text are left out; ids may repeat, a document
     with several labels takes the largest. The sampled ids are broadcast, as ``documents``
     bounds them. Without toxic texts the lexicon is empty and
@@ -158,32 +171,44 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     drawn = known.where(F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1_000_000)) < share * 1_000_000)
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).cast("binary").alias("text")).join(F.broadcast(drawn), "_id").select("text", "label")
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found: list[str] = []
-            marks: list[int] = []
-            for text, label in zip(_decoded(b.column("text")), b.column("label").to_pylist()):
-                own = set(_WORD.findall(fold(text)))
-                own = {w for w in own if len(w) > 2}
-                found += own
-                marks += [int(label)] * len(own)
-            yield pa.record_batch([pa.array(found, pa.string()), pa.array(marks, pa.int32())], names=["word", "label"])
+    def marked(found_in: Callable[[str], set[str]]) -> DataFrame:
+        """(word, b, n): toxic and all sampled texts in which ``found_in`` finds the word."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found: list[str] = []
+                marks: list[int] = []
+                for text, label in zip(_decoded(b.column("text")), b.column("label").to_pylist()):
+                    own = found_in(fold(text))
+                    found += own
+                    marks += [int(label)] * len(own)
+                yield pa.record_batch([pa.array(found, pa.string()), pa.array(marks, pa.int32())], names=["word", "label"])
+
+        is_bad = F.sum(F.when(F.col("label") == 1, 1).otherwise(0))
+        return map_batches(rows, work, "word string, label int").groupBy("word").agg(is_bad.alias("b"), F.count("*").alias("n"))
 
     sizes = dict(drawn.groupBy("label").count().collect())
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
         return Lexicon({}, exceptions, 0.0, -4.0)
-    is_bad = F.sum(F.when(F.col("label") == 1, 1).otherwise(0))
-    counts = map_batches(rows, words, "word string, label int").groupBy("word").agg(is_bad.alias("b"), F.count("*").alias("n"))
     odds = F.log(((F.col("b") + 0.5) / (bad + 1)) / ((F.col("n") - F.col("b") + 0.5) / (good + 1)))
     kept = (
-        counts.withColumn("w", odds)
+        marked(lambda folded: {w for w in _WORD.findall(folded) if len(w) > 2})
+        .withColumn("w", odds)
         .where((F.col("b") >= max(3.0, LEAST_SHARE * bad)) & (F.col("w") >= LEAST_LOG_ODDS))
         .orderBy(F.desc("w"), "word")
         .limit(LEXICON_WORDS)
         .collect()
     )
     lexicon = Lexicon({r["word"]: float(r["w"]) for r in kept}, exceptions)
+    excused = (
+        marked(lexicon.phrases)
+        .where((F.col("n") - F.col("b") >= EXCUSED_TEXTS) & (odds <= EXCUSED_LOG_ODDS))
+        .orderBy(odds, "word")
+        .limit(EXCUSED_PHRASES)
+        .collect()
+    )
+    lexicon = Lexicon(lexicon.weights, [*exceptions, *(r["word"] for r in excused)])
 
     def densities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
