@@ -1403,6 +1403,65 @@ def job_prepare_train(spark, sf_dir):
     return _with_slots(scans.read_prepared(spark, done.scaled))
 
 
+def _csv_sql(extra: dict) -> str:
+    """The unscaled table of a preparation job but the mode."""
+    first, second = oracle.rolling("lab", SENSOR_NAMES)
+    keep = ", ".join(["id", "cycle", *_PREPARED_COLUMNS])
+    return _sql(f"SELECT {keep}, {oracle.rounded(_MEASURED)} FROM _devs", SPEC, **extra, _means=first, _devs=second)
+
+
+def _csv_table(spark: SparkSession, done: prepare.Prepared) -> DataFrame:
+    """The CSV of a job's unscaled table, read with the types of its Parquet form."""
+    schema = scans.read_prepared(spark, done.unscaled).schema
+    return _without_mode(spark.read.schema(schema).csv(f"{done.unscaled}.csv", header=True))
+
+
+@_query("s10_csv_switch", _csv_sql(_LABELLED))
+def s10_csv_switch(spark, sf_dir):
+    text = _staged_text(spark, fx.telemetry(spark, sf_dir)[0], "train")
+    return _csv_table(spark, prepare.prepare_train(spark, text, work_path(spark, "job-csv"), write_csv=True))
+
+
+@_query("job_toy_run", _csv_sql(_TEST_CTES))
+def job_toy_run(spark, sf_dir):
+    """The test table that the run writes for looking at by hand."""
+    texts = [_staged_text(spark, df, n) for df, n in ((fx.telemetry(spark, sf_dir)[0], "train"), (fx.cut(spark, sf_dir), "test"), (fx.truth(spark, sf_dir), "truth"))]
+    return _csv_table(spark, prepare.toy_run(spark, *texts, work_path(spark, "job-toy"), seed=3)[1])
+
+
+@_query(
+    "job_implicit_factors",
+    "SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS id, CAST(40 AS INT) AS factors, TRUE AS six_decimals"
+    " FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+)
+def job_implicit_factors(spark, sf_dir):
+    """Ratings as text in, a line of factors for each item out."""
+    ratings, output = _staged_text(spark, fx.ratings(spark, sf_dir), "ratings", separator="\t"), work_path(spark, "factors")
+    learn.implicit_factors(spark, ratings, output)
+    line = F.split("value", "\t")
+    values = F.split(line[1], " ")
+    decimals = F.forall(values, lambda v: v.rlike(r"^-?\d+\.\d{6}$"))
+    return spark.read.text(output).select(line[0].alias("id"), F.size(values).alias("factors"), decimals.alias("six_decimals"))
+
+
+@_query(
+    "m5_label_choice",
+    _sql(
+        "SELECT '1' AS choice, label1 AS label, CAST(count(*) AS BIGINT) AS n, CAST(2 AS INT) AS classes FROM lab GROUP BY label1"
+        " UNION ALL SELECT choice, label2, CAST(count(*) AS BIGINT), CAST(3 AS INT) FROM lab, (VALUES ('2'), ('x')) AS c(choice) GROUP BY choice, label2",
+        NARROW, **_LABELLED,
+    ),
+)
+def m5_label_choice(spark, sf_dir):
+    """The labels that a model is trained on for each choice, and how many classes it has."""
+    df, out = fx.labelled(spark, sf_dir, NARROW), []
+    for choice in ("1", "2", "x"):
+        column, classes = models.label_column(choice)
+        counts = df.groupBy(F.col(column).alias("label")).agg(F.count("*").alias("n"))
+        out.append(counts.select(F.lit(choice).alias("choice"), "label", "n", F.lit(classes).alias("classes")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 #: Every third unit misses a sensor in its last cycle, and some rows have no unit.
 _INCOMPLETE = {
     **_LABELLED,
