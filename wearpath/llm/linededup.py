@@ -16,8 +16,8 @@ from wearpath.llm.graph import link_buckets, shared_buckets
 #: Characters of a shingle, least Jaccard similarity, bands and rows of a band. A pair at
 #: 0.8 shares a band with probability 0.997, one at 0.9 with 0.99998.
 SHINGLE, THRESHOLD, BANDS, ROWS = 8, 0.8, 8, 3
-#: Bits of the filter for the lines whose texts are needed.
-FILTER_BITS = 1 << 25
+#: Least and most bits of the filter for the lines whose texts are needed, and bits for each line between: 4 MB to 64 MB.
+FILTER_BITS, MOST_FILTER_BITS, LINE_BITS = 1 << 25, 1 << 29, 8
 #: Lines whose signatures are computed at once; their hashes stay in a processor's cache.
 SLICE = 500
 #: Lines of one bucket that a task compares with as many others at once.
@@ -180,9 +180,19 @@ def occurrences(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return map_batches(rows, work, f"id {kind}, th bigint, pos int, lid binary, keys array<bigint>")
 
 
+def filter_bits(lines: int) -> int:
+    """A power of two of at least ``LINE_BITS`` bits a line, within the bounds."""
+    return min(MOST_FILTER_BITS, max(FILTER_BITS, 1 << (LINE_BITS * lines).bit_length()))
+
+
 def _line_filter(wanted: DataFrame) -> np.ndarray:
-    """A bitmap of the first 32 bits of ``wanted`` (lid), 4 MB at every size. It lets some other lines pass, never stops a wanted one."""
-    place = F.pmod(F.conv(F.hex(F.substring("lid", 1, 4)), 16, 10).cast("bigint"), F.lit(FILTER_BITS))
+    """A bitmap of the first 32 bits of ``wanted`` (lid), sized by their number up to 64 MB.
+
+    It lets an eighth of the other lines pass, more beyond 67 million wanted ones, and never
+    stops a wanted line; what passes needlessly ends in the join with ``wanted``.
+    """
+    size = filter_bits(wanted.count())
+    place = F.pmod(F.conv(F.hex(F.substring("lid", 1, 4)), 16, 10).cast("bigint"), F.lit(size))
     part = 4096 * 8
     rows = (
         wanted.select(place.alias("p"))
@@ -190,7 +200,7 @@ def _line_filter(wanted: DataFrame) -> np.ndarray:
         .agg(F.bitmap_construct_agg(F.pmod("p", F.lit(part))).alias("bits"))
         .collect()
     )
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    bits = np.zeros(size // 8, np.uint8)
     for k, found in rows:
         bits[k * 4096 : k * 4096 + len(found)] = np.frombuffer(bytes(found), np.uint8)
     return bits
@@ -202,13 +212,14 @@ def line_texts(docs: DataFrame, wanted: DataFrame, text_column: str) -> DataFram
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
+        size = 8 * len(bits)
         for batch in batches:
             seen = {}
             for t in batch.column("text"):
                 text = t.as_buffer().to_pybytes().decode("utf-8", "replace") if t.is_valid else ""
                 for line in text.split("\n"):
                     lid = xxhash.xxh3_128_digest(line.encode("utf-8"))
-                    p = int.from_bytes(lid[:4]) % FILTER_BITS
+                    p = int.from_bytes(lid[:4]) % size
                     if bits[p >> 3] >> (p & 7) & 1:
                         seen[lid] = line
             yield pa.record_batch([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.string())], names=["lid", "line"])
@@ -362,7 +373,8 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     Lines are alike if they are equal or their character shingles have a Jaccard similarity
     of at least 0.8; alike lines, and what can be reached from them, are one component. Its
     first line by (id, text hash, position) stays, all others are dropped. Lines without a
-    visible character are never dropped.
+    visible character are never dropped. Null ids come first and are documents like others,
+    told apart by their text; null and empty texts have no lines, and an empty table gives no rows.
     """
     found = stored(occurrences(docs, id_column, text_column), "lines")
     joined = line_components(docs, found, text_column).withColumnRenamed("id", "lid")
@@ -385,7 +397,8 @@ def without_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_colu
     """``docs`` with repeated lines removed from the texts; columns and rows stay.
 
     A document whose lines all go has an empty text, a null text stays null. Rows with the
-    same id and text count as one document. ``n_chars``, where it exists, follows the text.
+    same id and text count as one document, also with a null id. ``n_chars``, where it exists,
+    follows the text. An empty table gives no rows.
     """
     names = docs.columns
     at, last = names.index(text_column), len(names)
