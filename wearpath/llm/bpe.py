@@ -209,7 +209,8 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_id
 
     Columns id_column, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256
     (decoded bytes). Long texts go through in slices, so neither ids nor bytes of a whole
-    text are held.
+    text are held. Null texts are empty. Repeated rows and null ids stay, other columns are
+    not read, and an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 

@@ -86,7 +86,7 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     with the ``trained`` role. ``attachments`` are in the order of their placeholders;
     ``expanded_tokens`` is their sum. Rows of one turn number are ordered by role and
     content and repeated rows stay; null turns come first; a null role is empty; null parts
-    are an empty content; a null conversation id is a conversation. A conversation is one
+    are an empty content; a null conversation id is a conversation; an empty table gives no rows. A conversation is one
     value in the result, so its turns meet in one task; nothing larger does.
     """
     p = F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>"))

@@ -155,8 +155,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_column: str = "
     Two vectors of equal, known label and as many components link at a cosine of at least
     ``threshold`` in double precision. Vectors that are null, zero or hold null or
     non-finite components, and those without label, link with nothing and stay alone.
-    Equal directions are one node with a weight, so copies make no pairs. Ids should be
-    distinct: rows that share an id share their links. Null ids stay and link with nothing.
+    Equal directions are one node with a weight, so copies make no pairs. Ids are
+    integers and should be distinct: rows that share an id share their links. Null ids stay and link with nothing.
 
     1. The different unit vectors of each label are sorted by their grid cells on the
        leading principal directions and cut into intervals.

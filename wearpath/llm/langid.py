@@ -176,7 +176,7 @@ def predict(docs: DataFrame, net: ByteConvNet, id_column: str = "doc_id", text_c
     """(id_column, lang_pred, score) for every row. Null texts and texts without a letter: ``und``, 0.
 
     Every byte of a text is in one window. Repeated rows and null ids stay; other columns
-    are not read.
+    are not read; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -193,7 +193,10 @@ def predict(docs: DataFrame, net: ByteConvNet, id_column: str = "doc_id", text_c
 
 
 def recognised(docs: DataFrame, net: ByteConvNet, text_column: str = "text", least: float = 0.4) -> DataFrame:
-    """``docs`` without texts that have no letter or no language with a score of ``least``. Same columns."""
+    """``docs`` without texts that have no letter or no language with a score of ``least``. Same columns.
+
+    Null and empty texts go, repeated rows and null ids are judged as any others, an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)
     at = docs.columns.index(text_column)
 

@@ -217,7 +217,8 @@ def pack_documents(docs: DataFrame, encoder: Encoder, size: int = 1024, end_id:
     """(id_column, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every row of ``docs``.
 
     Full pieces are sequences of their own and take no part in the packing; each text has
-    at most one other piece. Repeated rows and null ids are packed like any others. With
+    at most one other piece. Repeated rows and null ids are packed like any others, null and empty texts
+    are one piece of the end id; an empty table gives no rows. With
     ``tokens`` the ids come along, for ``sequences``.
     """
     cut = stored(pieces(docs, encoder, size, end_id, id_column, text_column, tokens).withColumn("item", F.monotonically_increasing_id()), "pieces")

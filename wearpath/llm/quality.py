@@ -166,7 +166,8 @@ def line_quality(
 def kept_documents(docs: DataFrame, text_column: str = "text", rules: LineRules = LineRules()) -> DataFrame:
     """``docs`` without the rejected documents; the others have their failed lines removed. Same columns.
 
-    ``n_chars``, where it exists, follows the new text.
+    ``n_chars``, where it exists, follows the new text. Null, empty and wordless texts are
+    rejected; repeated rows are judged each; an empty table gives no rows.
     """
     names, types = docs.columns, docs.schema
     at = names.index(text_column)
