@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from wearpath.operators import factors, metrics, models, modes
@@ -45,6 +46,15 @@ def test_rows_without_label_are_scored(separable):
     assert scored.where(~F.col("prediction").isin(0.0, 1.0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["lr", "rf", "lr_weighted"])
+def test_two_classes_are_scored_after_a_table_was_observed(spark, separable, kind):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    model = models.train(separable, kind, "label1")
+    assert accuracy(separable, model, "label1") == 1.0
+
+
 def test_save_and_load(separable, tmp_path):
     model, path = models.train(separable, "lr", "label2", keep=False), str(tmp_path / "m")
     assert not models.save(model, None) and not models.save(model, "")
