@@ -159,6 +159,22 @@ def test_implicit_factors_rank_seen_items_first(spark):
     assert all(scores[u, i] > scores[u, 1 - i % 2] for u in range(12) for i in range(10) if i % 2 == u % 2)
 
 
+def test_factor_shuffles_go_with_their_iteration(spark, monkeypatch):
+    """ALS deletes a shuffle when it cuts the lineage, and sends a factor to each block that needs it."""
+    built = []
+
+    class Recorded(factors.ALS):
+        def fit(self, *args):
+            built.append(self)
+            return super().fit(*args)
+
+    monkeypatch.setattr(factors, "ALS", Recorded)
+    ratings = spark.createDataFrame([(u, i, 5.0) for u in range(4) for i in range(3)], "user INT, item INT, rating FLOAT")
+    factors.fit_implicit(ratings, rank=2, iterations=2)
+    assert built[0].getCheckpointInterval() == 1
+    assert built[0].getNumUserBlocks() == built[0].getNumItemBlocks() == 4
+
+
 def test_user_vectors_solve_their_normal_equations(spark):
     rng = np.random.default_rng(4)
     rows = [(int(u), int(i), float(rng.integers(0, 4))) for u in range(25) for i in rng.choice(15, 6, replace=False)]

@@ -17,8 +17,14 @@ def fit_implicit(
     regularisation: float = 0.8,
     alpha: float = 150.0,
     seed: int = 11,
+    blocks: int = 4,
 ) -> ALSModel:
-    """Implicit-feedback ALS on (user, item, rating). Its lineage is cut every ten iterations."""
+    """Implicit-feedback ALS on (user, item, rating).
+
+    Each step sends a factor to every block that needs it, so what is shuffled grows with ``blocks``,
+    which is also how many tasks work on a step. The lineage is cut in every iteration, as ALS deletes
+    a shuffle only when it does so.
+    """
     keep_checkpoints(ratings.sparkSession)
     als = ALS(
         rank=rank,
@@ -30,6 +36,9 @@ def fit_implicit(
         itemCol="item",
         ratingCol="rating",
         seed=seed,
+        numUserBlocks=blocks,
+        numItemBlocks=blocks,
+        checkpointInterval=1,
     )
     return als.fit(ratings)
 
@@ -54,16 +63,17 @@ def user_residuals(model: ALSModel, ratings: DataFrame, regularisation: float =
     matrix is built per user: a rating adds one multiple of its item's vector, and only the rank x rank sums of G go to the driver.
     """
     rank = model.rank
-    items = model.itemFactors.select(F.col("id").alias("item"), F.col("features").cast("array<double>").alias("x"))
-    users = model.userFactors.select(F.col("id").alias("user"), F.col("features").cast("array<double>").alias("y"))
+    items = model.itemFactors.select(F.col("id").alias("item"), F.col("features").alias("x"))
+    users = model.userFactors.select(F.col("id").alias("user"), F.col("features").alias("y"))
+    doubles = lambda *names: {n: F.col(n).cast("array<double>") for n in names}  # noqa: E731  floats are half as wide in a shuffle
     own = range(rank)
-    products = items.agg(*[F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"g{i}_{j}") for i in own for j in range(i + 1)]).first()
+    products = items.withColumns(doubles("x")).agg(*[F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"g{i}_{j}") for i in own for j in range(i + 1)]).first()
     gram = [[products[f"g{max(i, j)}_{min(i, j)}"] for j in own] for i in own]
 
     def dot(a, b):
         return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
 
-    rated = ratings.join(items, "item").join(users, "user")
+    rated = ratings.join(items, "item").join(users, "user").withColumns(doubles("x", "y"))
     confidence = alpha * F.abs(F.col("rating").cast("double"))
     right = F.when(F.col("rating") > 0, 1 + confidence).otherwise(0.0)
     sums = rated.select("user", "x", (confidence * dot(F.col("x"), F.col("y")) - right).alias("c"), right.alias("b"), (F.col("rating") > 0).alias("seen")).groupBy("user").agg(
@@ -71,7 +81,7 @@ def user_residuals(model: ALSModel, ratings: DataFrame, regularisation: float =
         F.array(*[F.sum(F.col("b") * F.col("x")[i]) for i in own]).alias("b"),
         F.count_if("seen").alias("n"),
     )
-    solved = sums.join(users, "user")
+    solved = sums.join(users, "user").withColumns(doubles("y"))
     through = F.transform(F.array(*[F.array(*[F.lit(v) for v in row]) for row in gram]), lambda row: dot(row, F.col("y")))
     gap = F.zip_with(F.zip_with("c", through, lambda a, b: a + b), F.transform("y", lambda v: v * F.col("n") * regularisation), lambda a, b: a + b)
     return solved.select(F.col("user").alias("id"), F.sqrt(F.try_divide(dot(gap, gap), dot(F.col("b"), F.col("b")))).alias("residual"))
