@@ -58,6 +58,17 @@ def test_csv_outputs(spark, prepared):
     assert len(spark.read.csv(f"{prepared.scaled}_unscaled.csv", header=True).columns) == 72
 
 
+def test_csv_of_a_large_table_is_compressed(spark, texts, tmp_path, monkeypatch):
+    monkeypatch.setattr(prepare, "PLAIN_ROWS", 10)
+    done = prepare.prepare_train(spark, texts[1]["train"], str(tmp_path / "train"), seed=3)
+    for table, width in ((done.scaled, 72 + 68), (done.unscaled, 72)):
+        files = [f.name for f in (tmp_path / f"{table.rsplit('/', 1)[-1]}.csv").glob("part-*")]
+        assert files and all(f.endswith(".csv.gz") for f in files)
+        back = spark.read.csv(f"{table}.csv", header=True, inferSchema=True)
+        assert len(back.columns) == width
+        assert back.agg(F.count("*"), F.max("a1")).first() == spark.read.parquet(table).agg(F.count("*"), F.max("a1")).first()
+
+
 def test_test_table_uses_the_training_fit(spark, texts, prepared, tmp_path):
     paths = texts[1]
     fitted = prepare.prepare_test(spark, paths["test"], paths["truth"], str(tmp_path / "fitted"), prepared)
