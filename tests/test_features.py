@@ -34,6 +34,26 @@ def test_vector_scaler_equals_column_scaling(small):
     assert_same(flat, features.minmax_columns(known, ["s1", "s2"]), ["id", "cycle"])
 
 
+def test_scale_comes_from_the_ranges(small, monkeypatch):
+    known, fitted_on = small.dropna(), []
+
+    class Recorded(features.Pipeline):
+        def fit(self, df):
+            fitted_on.append(df.count())
+            return super().fit(df)
+
+    monkeypatch.setattr(features, "Pipeline", Recorded)
+    scaler = features.fit_scaler(known, ["cycle", "s1", "s2"]).stages[1]
+    assert fitted_on == [2]
+    assert list(scaler.originalMin) == [1.0, 2.0, 7.0] and list(scaler.originalMax) == [2.0, 10.0, 7.0]
+
+
+@pytest.mark.parametrize("value", [None, float("nan")])
+def test_scaler_refuses_missing_values(spark, value):
+    with pytest.raises(Exception, match="(?i)null|nan"):
+        features.fit_scaler(spark.createDataFrame([(1.0,), (value,), (3.0,)], "s1 DOUBLE"), ["s1"])
+
+
 def test_scaler_is_reused_on_another_table(small):
     known = small.dropna()
     model = features.fit_scaler(known, ["s1"])
