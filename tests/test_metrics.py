@@ -1,4 +1,5 @@
 import math
+import shutil
 
 import pytest
 from pyspark.mllib.evaluation import MulticlassMetrics
@@ -96,3 +97,12 @@ def test_a_thousand_classes(spark):
     found = cells.agg(F.count("*").alias("cells"), F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("some")).first()
     assert found.cells == 1_000_000 and found.n == rows.where("prediction < 1000").count()
     assert found.some == rows.where("prediction < 1000").distinct().count()
+
+
+def test_a_full_report_reads_its_rows_once(spark, tmp_path):
+    """Rows that are gone after the report was built are not asked for again."""
+    path = tmp_path / "scored"
+    spark.createDataFrame([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)], "label DOUBLE, prediction DOUBLE").write.parquet(str(path))
+    report = metrics.full_report(spark.read.parquet(str(path)))
+    shutil.rmtree(path)
+    assert {r.metric: r.value for r in report.collect() if r.label is None}["accuracy"] == pytest.approx(2 / 3)
