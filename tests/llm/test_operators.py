@@ -643,3 +643,29 @@ def test_alike_pairs_are_those_of_the_sets():
         found = linededup.alike_pairs(all_lines, x, y)
         assert [bool(k) for k in found] == [linededup.alike(all_lines[i], all_lines[j]) for i, j in zip(x, y)]
     assert len(linededup.alike_pairs([], np.array([], int), np.array([], int))) == 0
+
+
+def test_keys_of_one_line_are_gone_before_the_window(spark):
+    """All rows that share a key with another id stay, however the batches cut a run; most others go."""
+    name = lambda i: i.to_bytes(16, "big")
+    rows = [(name(i), i) for i in range(30_000)]  # keys that occur once
+    rows += [(name(7), 40_000)] * 300  # one line's copies
+    rows += [(name(i % 50), 50_000) for i in range(25_000)]  # a hot key over several batches
+    rows += [(name(i), 60_000 + i // 2) for i in range(2_000)] * 2
+    found = linededup.repeated_keys(spark.createDataFrame(rows, "id binary, key bigint")).collect()
+    kept = {(bytes(r["id"]), r["key"]) for r in found}
+    wanted = {(name(i), 50_000) for i in range(50)} | {(name(i), 60_000 + i // 2) for i in range(2_000)}
+    assert wanted <= kept <= {(i, k) for i, k in rows}
+    assert len(found) < 3_000
+
+
+def test_pairs_are_alike_whatever_the_alphabet():
+    """Shingles are numbered by tables, in one sort or line by line, and compared as sets all the same."""
+    rng = np.random.default_rng(3)
+    for letters in (4, 90, 700, 20_000):
+        lines = ["".join(chr(0x4E00 + c) for c in rng.integers(0, letters, n)) for n in rng.integers(1, 120, 60)]
+        lines += [line[:-1] + "x" for line in lines] + ["", "ab", "ab  c"]
+        x, y = rng.integers(0, len(lines), 300), rng.integers(0, len(lines), 300)
+        x[:60], y[:60] = np.arange(60), np.arange(60, 120)
+        found = linededup.alike_pairs(lines, x, y)
+        assert found.tolist() == [linededup.alike(lines[i], lines[j]) for i, j in zip(x, y)]

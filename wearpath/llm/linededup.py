@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wearpath.llm.common import chunks, map_batches, stored
-from wearpath.llm.graph import link_buckets, shared_buckets
+from wearpath.llm.graph import CHUNK, link_buckets, shared_buckets
 
 #: Characters of a shingle, least Jaccard similarity, bands and rows of a band. A pair at
 #: 0.8 shares a band with probability 0.997, one at 0.9 with 0.99998.
@@ -22,6 +22,8 @@ FILTER_BITS, MOST_FILTER_BITS, LINE_BITS = 1 << 25, 1 << 29, 8
 SLICE = 500
 #: Lines of one bucket that a task compares with as many others at once.
 BLOCK = 256
+#: Largest number of possible shingles that are numbered by a table.
+TABLE = 1 << 19
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -98,6 +100,11 @@ def _shingle_codes(normal: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.
         code[ends[i] - k + len(normal[i]) : ends[i]] = 0
     base, width = int(code.max()) + 1, 1
     while width < k:  # doubling: a shingle of 2w is two of w; k is a power of two
+        if width > 1 and base <= TABLE:  # numbered anew by a table, which needs no sorting
+            known = np.zeros(base, bool)
+            known[code] = True
+            code = (np.cumsum(known, dtype=np.uint64) - np.uint64(1))[code]
+            base = int(code.max()) + 1
         if base > 1 << 32:
             code = np.unique(code, return_inverse=True)[1].astype(np.uint64)
             base = int(code.max()) + 1
@@ -112,27 +119,35 @@ def _shingle_codes(normal: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.
 def _shingle_sets(lines: list[str]) -> list[np.ndarray]:
     """For each line the sorted numbers of its different shingles; they hold for this call only."""
     code, counts = _shingle_codes(list(map(_normal, lines)))
-    out = []
-    for one in np.split(code, np.cumsum(counts)[:-1]):
-        one.sort()
-        new = np.ones(len(one), bool)
-        np.not_equal(one[1:], one[:-1], out=new[1:])
-        out.append(one[new])
-    return out
+    base = int(code.max()) + 1
+    if base * len(lines) < 1 << 64:  # all lines in one sort
+        at = np.repeat(np.arange(len(lines), dtype=np.uint64) * np.uint64(base), counts)
+        code += at
+        code.sort()
+        code -= at
+    else:
+        for one in np.split(code, np.cumsum(counts)[:-1]):
+            one.sort()
+    new = np.ones(len(code), bool)
+    np.not_equal(code[1:], code[:-1], out=new[1:])
+    starts = np.cumsum(counts) - counts
+    new[starts] = True
+    kept = code[new]
+    ends = np.cumsum(np.add.reduceat(new, starts, dtype=np.int64)).tolist()
+    return [kept[i:j] for i, j in zip([0, *ends], ends)]
 
 
 def alike_pairs(lines: list[str], x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
     """Which pairs (lines[x], lines[y]) have shingle sets of at least the given Jaccard similarity."""
     out = np.zeros(len(x), bool)
     sets = _shingle_sets(lines) if lines else []
-    for p, (i, j) in enumerate(zip(x.tolist(), y.tolist())):
-        a, b = sets[i], sets[j]
-        least, most = sorted((len(a), len(b)))
-        if least >= threshold * most:
-            both = np.concatenate((a, b))
-            both.sort()
-            common = int(np.count_nonzero(both[1:] == both[:-1]))
-            out[p] = common >= threshold * (least + most - common)
+    sizes = np.array([len(one) for one in sets], int)
+    least, most = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
+    for p in np.nonzero(least >= threshold * most)[0].tolist():
+        both = np.concatenate((sets[x[p]], sets[y[p]]))
+        both.sort()
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        out[p] = common >= threshold * (sizes[x[p]] + sizes[y[p]] - common)
     return out
 
 
@@ -358,10 +373,46 @@ def compare_blocks(rows: DataFrame, bucket: list[str], texts: DataFrame, thresho
     return map_batches(met, work, "a binary, b binary")
 
 
+def repeated_keys(keys: DataFrame) -> DataFrame:
+    """Rows (id, key) of ``keys``, ids of 16 bytes, without most that share their key with no other id.
+
+    Most keys occur once, or with copies of one line. Sorted by the key alone, which is a
+    number, rows stream past their neighbours. A batch loses its repeated rows and the keys
+    that have one id; a key that may go on in another batch keeps its rows. Only what is left needs a window.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            if not len(key):
+                continue
+            same = np.zeros(len(key) + 1, bool)
+            np.equal(key[1:], key[:-1], out=same[1:-1])
+            kept = np.nonzero(same[:-1] | same[1:])[0]
+            ids = np.frombuffer(b"".join(batch.column("id").take(pa.array(kept)).to_pylist()), np.uint64).reshape(-1, 2)
+            order = np.lexsort((ids[:, 1], ids[:, 0], key[kept]))
+            rows, ids = kept[order], ids[order]
+            other = np.ones(len(rows) + 1, bool)  # another key than the row before
+            np.not_equal(key[rows[1:]], key[rows[:-1]], out=other[1:-1])
+            new = other[:-1].copy()
+            new[1:] |= (ids[1:] != ids[:-1]).any(axis=1)
+            rows, first = rows[new], other[:-1][new]
+            lone = first & np.append(first[1:], True)[: len(rows)]
+            ends = {key[0], key[-1]}
+            out = rows[~lone & ~np.isin(key[rows], list(ends))]
+            # of the first and the last key each different row found, or its only row
+            edge = [i for i in (0, len(key) - 1) if not (same[i] or same[i + 1])]
+            edge += rows[np.isin(key[rows], list(ends))].tolist()
+            yield batch.take(pa.array(np.concatenate([out, np.array(sorted(set(edge)), np.int64)])))
+
+    dealt = keys.select("id", "key").repartition("key").sortWithinPartitions("key")
+    return map_batches(dealt, work, dealt.schema, rows=CHUNK)
+
+
 def line_components(docs: DataFrame, found: DataFrame, text_column: str) -> DataFrame:
     """(id, component) of the different lines that have a near copy; ids are line hashes."""
     keys = found.where("keys is not null").select(F.col("lid").alias("id"), F.explode("keys").alias("key"))
-    members = stored(shared_buckets(keys, ["key"]), "line_buckets")
+    members = stored(shared_buckets(repeated_keys(keys), ["key"]), "line_buckets")
     wanted = stored(members.select(F.explode(F.array("id", "leader")).alias("lid")).distinct(), "line_ids")
     texts = stored(line_texts(docs, wanted, text_column), "line_texts")
     return link_buckets(members, ["key"], lambda pairs: similar(pairs, texts), lambda rows, bucket: compare_blocks(rows, bucket, texts))
@@ -386,7 +437,7 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     kept = marked.where(~lone).join(per, "component").select("lid", "keep").unionByName(marked.where(lone).select("lid", F.col("first").alias("keep")))
     return (
         found.select("id", "th", "pos", "lid")
-        .join(kept, "lid")
+        .join(kept.hint("shuffle_hash"), "lid")
         .where(~F.col("keep").eqNullSafe(place))
         .groupBy("id", "th")
         .agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
