@@ -9,7 +9,7 @@ from wearpath.operators import explore, features, rul
 from wearpath.operators.rolling import rolling_by_unit
 from wearpath.operators.sequence import find_long_units
 from wearpath.plans import fixtures as fx
-from wearpath.plans.catalog import QUERIES
+from wearpath.plans.catalog import QUERIES, _scaled
 from wearpath.plans.prepare import enrich
 from wearpath.spec import TelemetrySpec
 
@@ -96,3 +96,9 @@ def test_a_data_set_reads_its_own_files(spark):
     own = typed.where("dataset = '2'")
     assert own.count() == 10 and {f.split("/")[-2] for f in own.select("_metadata.file_path").distinct().toPandas()["file_path"]} == {"dataset=2"}
     assert "PartitionFilters: [isnotnull(dataset" in own._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scaled_table_runs_its_windows_once(spark, sf_dir):
+    """The scale and the result read one written table."""
+    text = plan(_scaled(fx.labelled(spark, sf_dir, SPEC), SPEC))
+    assert "Window" not in text and "Scan parquet" in text.replace("FileScan", "Scan")
