@@ -659,6 +659,35 @@ def test_keys_of_one_line_are_gone_before_the_window(spark):
     assert len(found) < 3_000
 
 
+def test_arrays_of_keys_are_packed_by_parts(spark, monkeypatch):
+    """Keys come as arrays, null and empty ones too; a part with too many rows goes on in pieces that keep every key."""
+    name = lambda i: i.to_bytes(16, "big")
+    rows = [(name(i), [i, -i - 1, 90_000 + i // 3]) for i in range(3_000)] + [(name(7), [7]), (name(8), []), (name(9), None)]
+    shared = {(name(i), 90_000 + i // 3) for i in range(3_000)}
+    table = spark.createDataFrame(rows, "id binary, key array<bigint>").repartition(3)
+    kept = [(bytes(r["id"]), r["key"]) for r in linededup.repeated_keys(table).collect()]
+    assert sorted(kept) == sorted(shared)
+    for name_, value in (("PARTS", 2), ("PACKED", 100), ("MOST", 300)):
+        monkeypatch.setattr(linededup, name_, value)
+    cut = {(bytes(r["id"]), r["key"]) for r in linededup.repeated_keys(table).collect()}
+    assert shared <= cut <= {(i, k) for i, keys in rows for k in keys or ()}
+    assert linededup.repeated_keys(table.where("false")).count() == 0
+
+
+def test_sketches_rule_out_no_similar_pair():
+    """Most other pairs are ruled out, and lines of more shingles than a sketch has bits too are compared right."""
+    rng = np.random.default_rng(8)
+    base = ["".join(rng.choice(list("abcdefgh "), n)) for n in [*rng.integers(1, 400, 60), 9_000, 30_000]]
+    edited = ["".join(c if rng.random() > rate else "z" for c in line) for line in base for rate in (0.005, 0.015, 0.03)]
+    lines = base + edited + [line * 3 for line in base[:10]]
+    x, y = (np.array(v) for v in zip(*((i, j) for i in range(len(lines)) for j in range(i))))
+    left = linededup._may_be_alike([linededup._normal(line) for line in lines], x, y, 0.8)
+    sets = [linededup.shingles(line) for line in lines]
+    like = np.array([len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i, j in zip(x, y)])
+    assert like.sum() > 50 and not (like & ~left).any() and left.sum() < 2 * like.sum()
+    assert (linededup.alike_pairs(lines, x, y) == like).all()
+
+
 def test_pairs_are_alike_whatever_the_alphabet():
     """Shingles are numbered by tables, in one sort or line by line, and compared as sets all the same."""
     rng = np.random.default_rng(3)

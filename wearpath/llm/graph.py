@@ -95,8 +95,10 @@ def _hubs(both: DataFrame, rows: int) -> dict:
     """Nodes with over a thousandth of the rows, so fewer than a thousand, and the smallest neighbour of each."""
     if rows <= HUB:
         return {}
-    many = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).where(F.col("n") > max(HUB, rows // 1000))
-    return {r["u"]: r["m"] for r in many.select("u", "m").collect()}
+    many = [r["u"] for r in both.groupBy("u").count().where(F.col("count") > max(HUB, rows // 1000)).collect()]
+    if not many:  # as most often: then no smallest neighbour is searched
+        return {}
+    return {r["u"]: r["m"] for r in both.where(F.col("u").isin(many)).groupBy("u").agg(F.min("v").alias("m")).collect()}
 
 
 def _linker(hubs: dict) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,14 @@ SHINGLE, THRESHOLD, BANDS, ROWS = 8, 0.8, 8, 3
 FILTER_BITS, MOST_FILTER_BITS, LINE_BITS = 1 << 25, 1 << 29, 8
 #: Lines whose signatures are computed at once; their hashes stay in a processor's cache.
 SLICE = 500
+#: Parts that band keys are dealt out to, rows that a task packs at once, and most rows of a part that are sorted at once.
+PARTS, PACKED, MOST = 4096, 1 << 20, 1 << 21
 #: Lines of one bucket that a task compares with as many others at once.
 BLOCK = 256
+#: Largest group that is gathered with others and compared by sketches first; at most about its square of pairs at once.
+SMALL = 128
+#: Bits of the sketch that rules out pairs before their shingles are compared, and pairs looked at by sketch at once.
+SKETCH, PAIRS = 2048, 4096
 #: Largest number of possible shingles that are numbered by a table.
 TABLE = 1 << 19
 
@@ -47,22 +54,25 @@ def shingles(line: str, k: int = SHINGLE) -> set[str]:
 
 
 def _shingle_hashes(normal: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the shingles of all lines, line after line and repeats included, and how many each line has."""
+    """64-bit hashes of all windows of ``k`` characters, and how many of them are each line's shingles, repeats included.
+
+    The windows run on over the lines' ends: between the shingles of two lines stand ``k`` - 1 that belong to neither.
+    """
     padded = [t if len(t) >= k else t.ljust(k, "\0") for t in normal]
     sizes = np.array([len(t) for t in padded])
-    code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    spare = np.empty_like(h)  # the arrays are used again, as fresh memory costs more than the arithmetic
     with np.errstate(over="ignore"):
-        h, width, power = code, 1, _MUL
+        width, power = 1, _MUL
         while width < k:  # doubling: a window of 2w is two of w; k is a power of two
-            h = h[:-width] + h[width:] * power
+            np.multiply(h[width:], power, out=spare[:-width])
+            h, spare = h[:-width], spare[:-width]
+            h += spare
             width, power = 2 * width, power * power
-        ends = np.cumsum(sizes)
-        valid = np.ones(len(code), bool)
-        for back in range(1, k):
-            valid[ends - back] = False
-        h = h[valid[: len(h)]]
-        h = (h ^ (h >> np.uint64(32))) * _MIX
-    return h ^ (h >> np.uint64(29)), sizes - k + 1
+        h ^= np.right_shift(h, np.uint64(32), out=spare)
+        h *= _MIX
+    h ^= np.right_shift(h, np.uint64(29), out=spare)
+    return h, sizes - k + 1
 
 
 def band_keys(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -74,20 +84,55 @@ def band_keys(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: int
 def _band_keys(lines: list[str], k: int, bands: int, rows: int) -> np.ndarray:
     h, counts = _shingle_hashes(list(map(_normal, lines)), k)
     h32 = (h >> np.uint64(32)).astype(np.uint32)
-    starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    starts = np.cumsum(counts + k - 1) - counts - k + 1
+    bounds = np.stack([starts, starts + counts], axis=1).ravel()[:-1]  # every second stretch is between two lines
     factors = _multipliers(bands * rows)
-    keys = np.empty((len(lines), bands), np.uint64)
+    keys, product = np.empty((len(lines), bands), np.uint64), np.empty_like(h32)
     with np.errstate(over="ignore"):
         for b in range(bands):
             key = np.full(len(lines), b + 1, np.uint64)
             for r in range(rows):
-                low = np.minimum.reduceat(h32 * factors[b * rows + r], starts)
+                low = np.minimum.reduceat(np.multiply(h32, factors[b * rows + r], out=product), bounds)[::2]
                 key = (key ^ low) * _MUL
                 key ^= key >> np.uint64(29)
             keys[:, b] = key
     return keys.view(np.int64)
 
 
+def _sketches(normal: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """For each line a row of ``SKETCH`` bits, those of its shingles' hashes set, and how many shingles it has, repeats included."""
+    bits, sizes, flags = [], [], np.zeros((SLICE + 1, SKETCH), bool)  # the last row is for what is between two lines
+    for i in range(0, len(normal), SLICE):
+        h, counts = _shingle_hashes(normal[i : i + SLICE], k)
+        n = len(counts)
+        rows = np.stack([np.arange(n), np.full(n, SLICE)], axis=1).ravel() * SKETCH
+        place = (h & np.uint64(SKETCH - 1)).view(np.int64)
+        place += np.repeat(rows, np.stack([counts, np.full(n, k - 1)], axis=1).ravel())[: len(h)]
+        flags.ravel()[place] = True
+        bits.append(np.packbits(flags[:n], axis=1).view(np.uint64))
+        sizes.append(counts)
+        flags.ravel()[place] = False
+    return np.concatenate(bits), np.concatenate(sizes)
+
+
+def _may_be_alike(normal: list[str], x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs (normal[x], normal[y]) the lines' sketches do not rule out; every similar pair is among them.
+
+    A bit that only one line has stands for at least one shingle that the other line lacks.
+    So the shingles that only one has are at least these bits, and the common ones at most a line's shingles less its own bits.
+    """
+    bits, sizes = _sketches(normal)
+    own = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    out = np.empty(len(x), bool)
+    for i in range(0, len(x), PAIRS):
+        p, q = x[i : i + PAIRS], y[i : i + PAIRS]
+        both = np.bitwise_count(bits[p] & bits[q]).sum(axis=1, dtype=np.int64)
+        lone_p, lone_q = own[p] - both, own[q] - both
+        common = np.minimum(sizes[p] - lone_p, sizes[q] - lone_q)
+        out[i : i + PAIRS] = common + 0.01 >= threshold * (common + lone_p + lone_q)  # well above what rounding may lose
+    return out
+
+
 def _shingle_codes(normal: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the shingles of all lines, equal only for equal shingles, line after line and repeats included; and how many each line has."""
     sizes = np.array([max(len(t), k) for t in normal])
@@ -99,6 +144,8 @@ def _shingle_codes(normal: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.
     for i in np.nonzero(sizes == k)[0]:
         code[ends[i] - k + len(normal[i]) : ends[i]] = 0
     base, width = int(code.max()) + 1, 1
+    if k == 8 and base <= 256:  # a shingle's eight bytes are its number
+        code, width = np.ndarray(len(code) - 7, np.uint64, code.astype(np.uint8), strides=(1,)).copy(), k
     while width < k:  # doubling: a shingle of 2w is two of w; k is a power of two
         if width > 1 and base <= TABLE:  # numbered anew by a table, which needs no sorting
             known = np.zeros(base, bool)
@@ -116,18 +163,19 @@ def _shingle_codes(normal: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.
     return code[valid[: len(code)]], sizes - k + 1
 
 
-def _shingle_sets(lines: list[str]) -> list[np.ndarray]:
+def _shingle_sets(normal: list[str]) -> list[np.ndarray]:
     """For each line the sorted numbers of its different shingles; they hold for this call only."""
-    code, counts = _shingle_codes(list(map(_normal, lines)))
+    code, counts = _shingle_codes(normal)
     base = int(code.max()) + 1
-    if base * len(lines) < 1 << 64:  # all lines in one sort
-        at = np.repeat(np.arange(len(lines), dtype=np.uint64) * np.uint64(base), counts)
+    if base * len(normal) < 1 << 64:  # all lines in one sort
+        at = np.repeat(np.arange(len(normal), dtype=np.uint64) * np.uint64(base), counts)
         code += at
         code.sort()
         code -= at
     else:
-        for one in np.split(code, np.cumsum(counts)[:-1]):
-            one.sort()
+        at = np.cumsum(counts).tolist()
+        for i, j in zip([0, *at], at):
+            code[i:j].sort()
     new = np.ones(len(code), bool)
     np.not_equal(code[1:], code[:-1], out=new[1:])
     starts = np.cumsum(counts) - counts
@@ -140,14 +188,20 @@ def _shingle_sets(lines: list[str]) -> list[np.ndarray]:
 def alike_pairs(lines: list[str], x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
     """Which pairs (lines[x], lines[y]) have shingle sets of at least the given Jaccard similarity."""
     out = np.zeros(len(x), bool)
-    sets = _shingle_sets(lines) if lines else []
+    if not len(x):
+        return out
+    normal = list(map(_normal, lines))
+    left = np.nonzero(_may_be_alike(normal, x, y, threshold))[0]
+    used, at = np.unique(np.concatenate((x[left], y[left])), return_inverse=True)
+    sets = _shingle_sets([normal[i] for i in used.tolist()]) if len(used) else []
     sizes = np.array([len(one) for one in sets], int)
+    x, y = at[: len(left)], at[len(left) :]
     least, most = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
     for p in np.nonzero(least >= threshold * most)[0].tolist():
         both = np.concatenate((sets[x[p]], sets[y[p]]))
         both.sort()
         common = int(np.count_nonzero(both[1:] == both[:-1]))
-        out[p] = common >= threshold * (sizes[x[p]] + sizes[y[p]] - common)
+        out[left[p]] = common >= threshold * (sizes[x[p]] + sizes[y[p]] - common)
     return out
 
 
@@ -285,7 +339,7 @@ def _crowded_links(lines: list[str], comps: list[bytes], first: int, threshold:
 
     Shingle sets become bit sets over the shingles that two lines have at least.
     """
-    sets = _shingle_sets(lines)
+    sets = _shingle_sets(list(map(_normal, lines)))
     sizes = [len(one) for one in sets]
     _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     place = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[number]
@@ -326,44 +380,53 @@ def compare_blocks(rows: DataFrame, bucket: list[str], texts: DataFrame, thresho
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        small: list[list[dict]] = []
+        small: list[list[tuple]] = []
+        pairs = 0
 
-        def links(group: list[dict]) -> list[tuple[bytes, bytes]]:
-            first = next((k for k, r in enumerate(group) if r["own"] == group[-1]["own"]), 0)
-            found = _crowded_links([r["line"] for r in group], [r["c"] for r in group], first, threshold)
-            return [(group[i]["id"], group[j]["id"]) for i, j in found]
+        def links(group: list[tuple]) -> list[tuple[bytes, bytes]]:
+            first = next((k for k, r in enumerate(group) if r[1] == group[-1][1]), 0)
+            found = _crowded_links([r[4] for r in group], [r[3] for r in group], first, threshold)
+            return [(group[i][2], group[j][2]) for i, j in found]
 
         def gathered() -> list[tuple[bytes, bytes]]:
             number: dict[str, int] = {}  # a line is often in several groups
-            x, y, ids = [], [], []
+            comps: dict[bytes, int] = {}
+            ids = [r[2] for group in small for r in group]
+            line = np.array([number.setdefault(r[4], len(number)) for group in small for r in group], int)
+            comp = np.array([comps.setdefault(r[3], len(comps)) for group in small for r in group], int)
+            x, y, start = [np.zeros(0, int)], [np.zeros(0, int)], 0
             for group in small:
-                at = [number.setdefault(r["line"], len(number)) for r in group]
-                for j, one in enumerate(group):
-                    for i in range(j):
-                        if group[i]["c"] != one["c"]:
-                            x.append(at[i])
-                            y.append(at[j])
-                            ids.append((group[i]["id"], one["id"]))
+                j, i = triangle(len(group))
+                x.append(i + start)
+                y.append(j + start)
+                start += len(group)
             small.clear()
-            keep = alike_pairs(list(number), np.array(x, int), np.array(y, int), threshold) if ids else ()
-            return [pair for pair, near in zip(ids, keep) if near]
+            a, b = np.concatenate(x), np.concatenate(y)
+            open_ = comp[a] != comp[b]
+            a, b = a[open_], b[open_]
+            near = alike_pairs(list(number), line[a], line[b], threshold)
+            return [(ids[i], ids[j]) for i, j in zip(a[near].tolist(), b[near].tolist())]
 
         def packed(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
             a, b = zip(*found) if found else ((), ())
             return pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-        def closed(group: list[dict]) -> Iterator[pa.RecordBatch]:
-            if len(group) > 12:
+        def closed(group: list[tuple]) -> Iterator[pa.RecordBatch]:
+            nonlocal pairs
+            if len(group) > SMALL:
                 yield packed(links(group))
             elif group:
                 small.append(group)
-                if len(small) >= 500:
+                pairs += len(group) * (len(group) - 1) // 2
+                if len(small) >= 500 or pairs >= SMALL * SMALL:
+                    pairs = 0
                     yield packed(gathered())
 
-        group: list[dict] = []
+        triangle = cache(lambda n: np.tril_indices(n, -1))
+        group: list[tuple] = []
         for b in batches:
-            for r in b.to_pylist():
-                if group and r["g"] != group[0]["g"]:
+            for r in zip(*(column.to_pylist() for column in b.columns)):  # g, own, id, c, line
+                if group and r[0] != group[0][0]:
                     yield from closed(group)
                     group = []
                 group.append(r)
@@ -374,44 +437,93 @@ def compare_blocks(rows: DataFrame, bucket: list[str], texts: DataFrame, thresho
 
 
 def repeated_keys(keys: DataFrame) -> DataFrame:
-    """Rows (id, key) of ``keys``, ids of 16 bytes, without most that share their key with no other id.
+    """Rows (id, key) of ``keys`` (id, key), ids of 16 bytes and ``key`` a number or an array of them, without those whose key has no other id.
 
-    Most keys occur once, or with copies of one line. Sorted by the key alone, which is a
-    number, rows stream past their neighbours. A batch loses its repeated rows and the keys
-    that have one id; a key that may go on in another batch keeps its rows. Only what is left needs a window.
+    Most keys occur once, or with copies of one line. A task deals its rows out to ``PARTS`` parts by key and
+    packs those of a part into one row, so few rows are shuffled. The rows of a part, or of several small ones, are
+    sorted together and lose repeats and the keys with one id. A part with more than ``MOST`` rows, as a hot
+    key makes it, goes on in pieces of that size that keep all keys; the window after this finds the lone ones.
     """
+    if keys.schema["key"].dataType.typeName() != "array":
+        keys = keys.withColumn("key", F.array("key"))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, rows = [], 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            if not rows:
+                return
+            key, ids = (np.concatenate(c) for c in zip(*found))
+            part = (key % np.uint64(PARTS)).astype(np.uint16)
+            order = np.argsort(part, kind="stable")
+            key, ids = key[order].tobytes(), ids[order].tobytes()
+            counts = np.bincount(part, minlength=PARTS)
+            parts = np.nonzero(counts)[0]
+            at = np.concatenate([[0], np.cumsum(counts[parts])])
+            packs = [pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer((at * n).astype(np.int32)), pa.py_buffer(c)]) for n, c in ((8, key), (16, ids))]
+            yield pa.record_batch([pa.array(parts, pa.int32()), *packs], names=["part", "keys", "ids"])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch.column("key").to_numpy()
-            if not len(key):
-                continue
-            same = np.zeros(len(key) + 1, bool)
-            np.equal(key[1:], key[:-1], out=same[1:-1])
-            kept = np.nonzero(same[:-1] | same[1:])[0]
-            ids = np.frombuffer(b"".join(batch.column("id").take(pa.array(kept)).to_pylist()), np.uint64).reshape(-1, 2)
-            order = np.lexsort((ids[:, 1], ids[:, 0], key[kept]))
-            rows, ids = kept[order], ids[order]
-            other = np.ones(len(rows) + 1, bool)  # another key than the row before
-            np.not_equal(key[rows[1:]], key[rows[:-1]], out=other[1:-1])
+            lists = batch.column("key")
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ids = np.frombuffer(b"".join(batch.column("id").to_pylist()), np.uint64).reshape(-1, 2)
+            found.append((lists.flatten().to_numpy().view(np.uint64), np.repeat(ids, sizes, axis=0)))
+            rows += int(sizes.sum())
+            if rows >= PACKED:
+                yield from packed()
+                found, rows = [], 0
+        yield from packed()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        rows, part, cut = 0, None, False
+
+        def repeated(every: bool) -> Iterator[pa.RecordBatch]:
+            key, ids = (np.concatenate(c) for c in zip(*found))
+            if not every:
+                order = np.argsort(key)
+                ordered = key[order]
+                same = np.zeros(len(key) + 1, bool)
+                np.equal(ordered[1:], ordered[:-1], out=same[1:-1])
+                left = order[same[:-1] | same[1:]]
+                key, ids = key[left], ids[left]
+            order = np.lexsort((ids[:, 1], ids[:, 0], key))
+            key, ids = key[order], ids[order]
+            other = np.ones(len(key) + 1, bool)  # another key than the row before
+            np.not_equal(key[1:], key[:-1], out=other[1:-1])
             new = other[:-1].copy()
             new[1:] |= (ids[1:] != ids[:-1]).any(axis=1)
-            rows, first = rows[new], other[:-1][new]
-            lone = first & np.append(first[1:], True)[: len(rows)]
-            ends = {key[0], key[-1]}
-            out = rows[~lone & ~np.isin(key[rows], list(ends))]
-            # of the first and the last key each different row found, or its only row
-            edge = [i for i in (0, len(key) - 1) if not (same[i] or same[i + 1])]
-            edge += rows[np.isin(key[rows], list(ends))].tolist()
-            yield batch.take(pa.array(np.concatenate([out, np.array(sorted(set(edge)), np.int64)])))
+            key, ids, first = key[new], ids[new], other[:-1][new]
+            if not every:
+                shared = ~(first & np.append(first[1:], True)[: len(key)])
+                key, ids = key[shared], ids[shared]
+            places = pa.py_buffer(np.arange(0, 16 * len(key) + 1, 16, dtype=np.int32))
+            out = pa.Array.from_buffers(pa.binary(), len(key), [None, places, pa.py_buffer(ids.tobytes())])
+            yield pa.record_batch([out, pa.array(key.view(np.int64))], names=["id", "key"])
 
-    dealt = keys.select("id", "key").repartition("key").sortWithinPartitions("key")
-    return map_batches(dealt, work, dealt.schema, rows=CHUNK)
+        for batch in batches:
+            for p, key, ids in zip(*(column.to_pylist() for column in batch.columns)):
+                if p != part:
+                    if rows >= CHUNK or cut:
+                        if rows:
+                            yield from repeated(cut)
+                        found, rows = [], 0
+                    part, cut = p, False
+                elif rows >= MOST:
+                    yield from repeated(True)
+                    found, rows, cut = [], 0, True
+                found.append((np.frombuffer(key, np.uint64), np.frombuffer(ids, np.uint64).reshape(-1, 2)))
+                rows += len(key) // 8
+        if rows:
+            yield from repeated(cut)
+
+    parts = map_batches(keys.select("id", "key"), dealt, "part int, keys binary, ids binary", rows=CHUNK)
+    return map_batches(parts.repartition("part").sortWithinPartitions("part"), work, "id binary, key bigint")
 
 
 def line_components(docs: DataFrame, found: DataFrame, text_column: str) -> DataFrame:
     """(id, component) of the different lines that have a near copy; ids are line hashes."""
-    keys = found.where("keys is not null").select(F.col("lid").alias("id"), F.explode("keys").alias("key"))
+    keys = found.where("keys is not null").select(F.col("lid").alias("id"), F.col("keys").alias("key"))
     members = stored(shared_buckets(repeated_keys(keys), ["key"]), "line_buckets")
     wanted = stored(members.select(F.explode(F.array("id", "leader")).alias("lid")).distinct(), "line_ids")
     texts = stored(line_texts(docs, wanted, text_column), "line_texts")
