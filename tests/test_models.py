@@ -191,3 +191,47 @@ def test_user_vectors_solve_their_normal_equations(spark):
         left = gram + 0.8 * sum(rating > 0 for _, rating in own) * np.eye(5) + sum(20 * rating * np.outer(v, v) for v, rating in own)
         right = sum((1 + 20 * rating) * v for v, rating in own if rating > 0)
         assert r.residual == pytest.approx(np.linalg.norm(left @ y[r.id] - right) / np.linalg.norm(right))
+
+
+def test_factors_of_many_ratings_have_more_blocks(spark, monkeypatch):
+    """Four tasks a step leave a larger cluster idle; what is shuffled grows with the blocks, so there are at most eight."""
+    built = []
+
+    class Recorded(factors.ALS):
+        def fit(self, *args):
+            built.append(self)
+            return super().fit(*args)
+
+    monkeypatch.setattr(factors, "ALS", Recorded)
+    ratings = spark.createDataFrame([(u, i, 5.0) for u in range(4) for i in range(3)], "user INT, item INT, rating FLOAT")
+    for size in (2, 1):
+        monkeypatch.setattr(factors, "RATINGS_PER_BLOCK", size, raising=False)
+        factors.fit_implicit(ratings, rank=2, iterations=1)
+    factors.fit_implicit(ratings, rank=2, iterations=1, blocks=3)
+    assert [(a.getNumUserBlocks(), a.getNumItemBlocks()) for a in built] == [(6, 6), (8, 8), (3, 3)]
+
+
+def test_residuals_add_up_over_batches(spark):
+    """A user's ratings may lie in many batches; unknown and negative ratings count as they do in SQL."""
+    ratings = spark.createDataFrame([(u, i, float((u * i) % 4)) for u in range(9) for i in range(7)], "user INT, item INT, rating FLOAT")
+    model = factors.fit_implicit(ratings, rank=3, iterations=3)
+    odd = ratings.unionByName(spark.createDataFrame([(1, 2, None), (2, 3, -2.0), (None, 1, 1.0)], ratings.schema))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "2")
+        found = {r.id: r.residual for r in factors.user_residuals(model, odd).collect()}
+    finally:
+        spark.conf.set(size, before)
+    x = {r.id: np.array(r.features) for r in model.itemFactors.collect()}
+    y = {r.id: np.array(r.features) for r in model.userFactors.collect()}
+    gram = sum(np.outer(v, v) for v in x.values())
+    assert set(found) == set(y)
+    for u, residual in found.items():
+        own = [(x[r.item], r.rating) for r in odd.collect() if r.user == u and r.rating is not None]
+        left = gram + 0.8 * sum(r > 0 for _, r in own) * np.eye(3) + sum(150 * abs(r) * np.outer(v, v) for v, r in own)
+        right = sum((1 + 150 * r) * v for v, r in own if r > 0) + np.zeros(3)
+        if not right.any():
+            assert residual is None
+        else:
+            assert residual == pytest.approx(np.linalg.norm(left @ y[u] - right) / np.linalg.norm(right), rel=1e-6)
