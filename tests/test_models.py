@@ -235,3 +235,35 @@ def test_residuals_add_up_over_batches(spark):
             assert residual is None
         else:
             assert residual == pytest.approx(np.linalg.norm(left @ y[u] - right) / np.linalg.norm(right), rel=1e-6)
+
+
+def test_many_trees_are_grown_in_parts(spark, monkeypatch, tmp_path):
+    """The parts have seeds of their own and are one model, which is saved, loaded and scored as any forest is."""
+    fitted = []
+
+    class Recorded(models.RandomForestClassifier):
+        def _fit(self, df):
+            fitted.append((self.getNumTrees(), self.getSeed()))
+            return super()._fit(df)
+
+    monkeypatch.setattr(models, "RandomForestClassifier", Recorded)
+    monkeypatch.setattr(models, "TREES_PER_FIT", 3, raising=False)
+    rng = np.random.default_rng(2)
+    x = rng.random((400, 3))
+    rows = [(int(a[0] * 3), Vectors.dense(a.tolist())) for a in x]
+    df = spark.createDataFrame(rows, ["label2", "scaledFeatures"])
+    model = models.train(df, "rf_large", numTrees=8)
+    assert sorted(n for n, _ in fitted) == [2, 3, 3] and len({seed for _, seed in fitted}) == 3
+    forest = models.classifier(model)
+    assert isinstance(forest, models.RandomForestClassificationModel)
+    assert forest.getNumTrees == len(forest.trees) == 8 and forest.getMaxDepth() == 6 and forest.numClasses == 3
+    assert len({tree.toDebugString.split("\n", 1)[1] for tree in forest.trees}) == 8
+    scored = models.score(df, model, "label2")
+    assert scored.where("label = prediction").count() > 380
+    raw = models.PipelineModel(stages=model.stages[1:2]).transform(df).select("rawPrediction", "scaledFeatures").first()
+    own = [t.predictRaw(raw.scaledFeatures).toArray() for t in forest.trees]
+    assert raw.rawPrediction.toArray() == pytest.approx(sum(v / v.sum() for v in own))
+    models.save(model, str(tmp_path / "forest"))
+    back = models.load(str(tmp_path / "forest"), "RF")
+    assert models.classifier(back).getNumTrees == 8
+    assert sorted(models.score(df, back, "label2").select("prediction").collect()) == sorted(scored.select("prediction").collect())
