@@ -1,5 +1,7 @@
 import gzip
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from helpers import assert_same
 from pyspark.ml.functions import vector_to_array
@@ -10,7 +12,7 @@ from wearpath.operators.features import NOT_FEATURES
 from wearpath.operators.rolling import rolling_by_mode
 from wearpath.operators.rul import truncate_units, truth_of_truncation
 from wearpath.plans import fixtures as fx
-from wearpath.plans import learn, prepare
+from wearpath.plans import catalog, learn, prepare
 from wearpath.sources import sinks
 from wearpath.spec import TURBOFAN, TURBOFAN_CYKLE
 
@@ -142,6 +144,50 @@ def test_toy_run(spark, texts, tmp_path):
         assert len(list(folder.glob("part-*.csv"))) == 1
 
 
+def test_work_table_is_gone_before_the_scaled_table_is_written(spark, texts, tmp_path, monkeypatch):
+    """The largest outputs do not lie on disk beside the typed copy of the text."""
+    paths, typed, there = texts[1], [], []
+    made, scaled = prepare._typed, prepare.apply_scaler
+
+    def recorded(*args):
+        table, path = made(*args)
+        typed.append(Path(path))
+        return table, path
+
+    def looked(*args):
+        there.append(typed[-1].exists())
+        return scaled(*args)
+
+    monkeypatch.setattr(prepare, "_typed", recorded)
+    monkeypatch.setattr(prepare, "apply_scaler", looked)
+    done = prepare.prepare_train(spark, paths["train"], str(tmp_path / "train"), seed=3, write_csv=False)
+    prepare.prepare_test(spark, paths["test"], paths["truth"], str(tmp_path / "test"), done)
+    prepare.prepare_forward(spark, paths["train"], str(tmp_path / "forward"), TURBOFAN_CYKLE, seed=3)
+    assert there == [False] * 3 and not any(path.exists() for path in typed)
+
+
+def test_staged_text_is_gzip(spark, texts):
+    path = Path(catalog._staged_text(spark, texts[0], "staged"))
+    names = [p.name for p in path.glob("part-*")]
+    assert names and all(n.endswith(".csv.gz") for n in names)
+    assert spark.read.text(str(path)).count() == texts[0].count()
+
+
+def test_tables_are_packed_in_large_plain_pages(spark, tmp_path):
+    """Rolling columns rarely fit a dictionary; in large pages zstd finds the values that come again."""
+    path = str(tmp_path / "table")
+    df = spark.range(0, 60_000, 1, 1).selectExpr("id", "double(id % 5000) / 7 AS x")
+    sinks.write_parquet(df, path)
+    (part,) = (tmp_path / "table").glob("part-*")
+    chunk = pq.ParquetFile(part).metadata.row_group(0).column(1)
+    assert chunk.compression == "ZSTD" and not any("DICTIONARY" in e for e in chunk.encodings)
+    plain = str(tmp_path / "plain")
+    df.write.parquet(plain, compression="zstd")
+    (other,) = (tmp_path / "plain").glob("part-*")
+    assert part.stat().st_size < other.stat().st_size
+    assert spark.read.parquet(path).exceptAll(df).count() == 0 and spark.read.parquet(path).count() == 60_000
+
+
 def test_train_save_evaluate(spark, prepared, tmp_path):
     model = str(tmp_path / "model")
     trained = learn.train_model(spark, prepared.scaled, model, label=2, kind="rf")
